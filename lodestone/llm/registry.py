@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, oracles, pieces_bpe, quality, urlfilter
+from . import decontaminate, oracles, pieces_bpe, quality, simhash, substrings, urlfilter
 from .common import table
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -36,6 +36,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,11 +48,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept_words(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_quality, op6_decontaminate, op7_sentencepiece, op10_url_filters)
+QUERIES = (op1_quality, op4_simhash, op6_decontaminate, op7_sentencepiece, op8_substring_dedup, op10_url_filters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
