@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, oracles, pieces_bpe, quality, simhash, substrings, urlfilter
+from . import decontaminate, oracles, pieces_bpe, quality, simhash, substrings, urlfilter, warc
 from .common import table
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -52,11 +52,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_words(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_quality, op4_simhash, op6_decontaminate, op7_sentencepiece, op8_substring_dedup, op10_url_filters)
+QUERIES = (op1_quality, op4_simhash, op6_decontaminate, op7_sentencepiece, op8_substring_dedup, op9_warc, op10_url_filters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
