@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, oracles, pieces_bpe, quality, simhash, substrings, urlfilter, warc
+from . import decontaminate, mainblocks, oracles, pieces_bpe, quality, simhash, substrings, tokencounts, topk, urlfilter, warc
 from .common import table
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -36,10 +36,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainblocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,7 +72,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_quality, op4_simhash, op6_decontaminate, op7_sentencepiece, op8_substring_dedup, op9_warc, op10_url_filters)
+QUERIES = (
+    op1_quality,
+    op2_token_counts,
+    op3_topk_search,
+    op4_simhash,
+    op5_main_text,
+    op6_decontaminate,
+    op7_sentencepiece,
+    op8_substring_dedup,
+    op9_warc,
+    op10_url_filters,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
