@@ -219,7 +219,8 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     branching = found.where("not same").select("doc_id", F.col("spans").alias("branches"))
     windows = materialize(window_rows(plain.join(branching, "doc_id"), k), "windows")
     firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    firsts = firsts.where("first_doc <> last_doc").select("h1", "h2", "first_doc")
+    # written out, so that the join below has an exchange on either side and a hot window can be split
+    firsts = materialize(firsts.where("first_doc <> last_doc").select("h1", "h2", "first_doc"), "windows")
     single = (
         windows.join(firsts, ["h1", "h2"])
         .where("doc_id > first_doc")
@@ -230,7 +231,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     out = materialize(
         whole.unionByName(single).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans"
     )
-    release(found, windows)
+    release(found, windows, firsts)
     return out
 
 
