@@ -38,7 +38,7 @@ from .common import map_text, materialize, release
 
 K = 13
 M = 7
-SLICE = 1 << 20
+SLICE = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 RANDOM = np.random.default_rng(20240611)
@@ -71,7 +71,7 @@ class Powers:
     def get(self, base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         found = self.kept.get(int(base))
         if found is None or len(found[0]) < n:
-            size = 1 << max(16, n.bit_length())
+            size = 1 << max(12, n.bit_length())
             found = self.kept[int(base)] = powers(base, size), powers(inverse(base), size)
         return found
 
