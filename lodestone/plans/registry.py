@@ -1,15 +1,21 @@
-"""Named queries over the test tables, each with its SQL counterpart."""
+"""All queries of the library over the test tables, each with its SQL counterpart."""
 
 from __future__ import annotations
 
+from . import history_queries
+from .base import ORACLES, QUERIES
+
+MODULES = (history_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Hotspots of the history."""
+    return QUERIES["hist_hotspots"](spark, sf_dir)
