@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import history_queries
+from . import code_queries, history_queries
 from .base import ORACLES, QUERIES
 
-MODULES = (history_queries,)
+MODULES = (history_queries, code_queries)
 
 
 def queries() -> dict:
@@ -17,5 +17,5 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    """Hotspots of the history."""
-    return QUERIES["hist_hotspots"](spark, sf_dir)
+    """Hybrid search over symbols and units."""
+    return QUERIES["hybrid_search"](spark, sf_dir)
