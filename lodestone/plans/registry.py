@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import code_queries, history_queries
+from . import code_queries, graph_queries, history_queries
 from .base import ORACLES, QUERIES
 
-MODULES = (history_queries, code_queries)
+MODULES = (history_queries, code_queries, graph_queries)
 
 
 def queries() -> dict:
