@@ -35,6 +35,7 @@ from .common import WORD_ONLY, map_text, utf8
 WINDOW = 10
 SHARD_WORDS = 1_000_000
 PAIR_BITS = 22
+N_WORDS, SPANS, ITEMS = "_lodestone_words", "_lodestone_spans", "_lodestone_items"  # so named that they meet no column of the input
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -189,11 +190,11 @@ def shards_of(benchmark: DataFrame, shard_words: int) -> list[list[tuple[int, li
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The documents' columns with n_words, hit_spans (word positions, flattened) and item_ids."""
+    """The documents' columns with N_WORDS, SPANS (hit word positions, flattened) and ITEMS."""
     spark = docs.sparkSession
     names = docs.columns
     out = docs.withColumns(
-        {"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast("array<int>"), "item_ids": F.lit(None).cast("array<long>")}
+        {N_WORDS: F.lit(0).cast("long"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<long>")}
     )
     schema = out.schema
     for shard in shards_of(benchmark, shard_words):
@@ -204,7 +205,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
             if 0 not in kept:
                 kept[0] = SuffixAutomaton(sent.value, window)
             counts, spans, items = [], [], []
-            before = zip(batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)
+            before = zip(batch.column(SPANS).to_pylist(), batch.column(ITEMS).to_pylist(), strict=True)
             for text, (own_spans, own_items) in zip(utf8(batch.column("text")), before, strict=True):
                 words = words_of(text)
                 found, hit = kept[0].scan(words)
@@ -218,7 +219,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
                     pa.array(spans, pa.list_(pa.int32())),
                     pa.array(items, pa.list_(pa.int64())),
                 ],
-                [*names, "n_words", "hit_spans", "item_ids"],
+                [*names, N_WORDS, SPANS, ITEMS],
             )
 
         out = map_text(out, step, schema)
@@ -239,14 +240,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """One row per document: hit words, hit items and whether there are any."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = mark(plain, benchmark, window)
-    signed = F.transform("hit_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
+    signed = F.transform(SPANS, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
     n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
-    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    ids = F.array_sort(F.transform(ITEMS, lambda x: x.cast("string")))
     return marked.select(
         "doc_id",
-        "n_words",
+        F.col(N_WORDS).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"),
+        F.size(ITEMS).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
@@ -276,7 +277,7 @@ def decontaminate(
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, keep = [], []
-        rows = zip(batch.column("text").to_pylist(), batch.column("n_words").to_pylist(), batch.column("hit_spans").to_pylist(), strict=True)
+        rows = zip(batch.column("text").to_pylist(), batch.column(N_WORDS).to_pylist(), batch.column(SPANS).to_pylist(), strict=True)
         for text, n, spans in rows:
             long = [x for s, e in zip(spans[::2], spans[1::2], strict=True) if e - s > max_span for x in (s, e)]
             hit = sum(long[1::2]) - sum(long[::2])
@@ -285,7 +286,7 @@ def decontaminate(
         columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
         if "n_chars" in columns:
             old = columns["n_chars"].to_pylist()
-            changed = [len(t) if s and t is not None else o for t, s, o in zip(texts, batch.column("hit_spans").to_pylist(), old, strict=True)]
+            changed = [len(t) if s and t is not None else o for t, s, o in zip(texts, batch.column(SPANS).to_pylist(), old, strict=True)]
             columns["n_chars"] = pa.array(changed, columns["n_chars"].type)
         return pa.record_batch(list(columns.values()), list(columns)).filter(pa.array(keep))
 

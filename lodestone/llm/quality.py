@@ -169,30 +169,32 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit([np.frombuffer(r["found"], np.int32) for r in got], np.array([r["quality"] for r in got], int))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents' columns with held_out, score and predicted."""
+SCORE = "_lodestone_score"  # so named that it meets no column of the input
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents' columns with their score."""
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = sent.value
         scores = [own.score(features(t)) for t in utf8(batch.column("text"))]
-        return pa.record_batch([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], [*names, "score"])
+        return pa.record_batch([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], [*names, SCORE])
 
-    scored = map_text(docs, step, docs.withColumn("score", F.lit(0.0)).schema)
-    return scored.withColumns(
-        {"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")}
-    )
+    return map_text(docs, step, docs.withColumn(SCORE, F.lit(0.0)).schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(docs, labels, sample_rows)
-    return score(plain, model).select("doc_id", "held_out", "score", "predicted")
+    return score(plain, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted")
+    )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, in the columns of the input."""
     model = train(docs, labels, sample_rows)
-    return score(docs, model).where("predicted = 1").select(*docs.columns)
+    return score(docs, model).where(F.col(SCORE) >= threshold).select(*docs.columns)

@@ -243,7 +243,10 @@ def covered(n_words: int, spans: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def spans_of(batch: pa.RecordBatch, name: str = "spans") -> list[np.ndarray]:
+SPANS = "_lodestone_spans"  # so named that it meets no column of the input
+
+
+def spans_of(batch: pa.RecordBatch, name: str = SPANS) -> list[np.ndarray]:
     """The spans of each row as an array of (start, size); null is none."""
     out = []
     for row in batch.column(name):
@@ -256,8 +259,8 @@ def spans_of(batch: pa.RecordBatch, name: str = "spans") -> list[np.ndarray]:
 
 
 def with_spans(docs: DataFrame, k: int, m: int) -> DataFrame:
-    spans = repeated_spans(docs, k, m).select(F.col("doc_id").alias("span_doc"), "spans")
-    return docs.join(spans, docs.doc_id.cast("long") == spans.span_doc, "left").drop("span_doc")
+    spans = repeated_spans(docs, k, m).select(F.col("doc_id").alias("_lodestone_doc"), F.col("spans").alias(SPANS))
+    return docs.join(spans, docs.doc_id.cast("long") == spans["_lodestone_doc"], "left").drop("_lodestone_doc")
 
 
 def kept_words(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
