@@ -6,10 +6,11 @@ repositories are upserted by id. A table that isn't there reads as none.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
+from ..operators.persist import persisted
 from ..streaming.jobs import upsert_runs
 
 TABLES = ("files", "symbols", "edges", "units", "embeddings", "touches", "branches")
@@ -36,6 +37,10 @@ class Store:
         writer = rows.withColumn("repository_id", F.lit(repository_id)).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(self.path(table))
 
+    def staged(self, rows: DataFrame, label: str) -> DataFrame:
+        """Rows written to the shared folder first, so that what they were read from may be overwritten."""
+        return persisted(rows, f"staged-{label}")
+
     def load(self, table: str, repository_id: str) -> DataFrame:
         """One repository's rows: the other partitions aren't read."""
         rows = self.spark.read.parquet(self.path(table))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from pathlib import Path
 
@@ -16,6 +15,14 @@ from ..operators.units import check_limits
 MAX_FILE, MAX_FILES, MAX_BYTES = 1 << 20, 100_000, 512 << 20
 
 
+def glob_regex(glob: str) -> str:
+    """One path segment of an ignore rule as a regular expression."""
+    out = ""
+    for piece in re.findall(r"\[[^\]]*\]|.", glob):
+        out += "[^/]*" if piece == "*" else "[^/]" if piece == "?" else piece if len(piece) > 1 else re.escape(piece)
+    return out
+
+
 def ignore_rules(lines: list[str]) -> list[tuple[bool, str]]:
     """Ignore-file lines as (keeps, regex over the relative path); a later rule overrules an earlier one."""
     rules = []
@@ -24,11 +31,10 @@ def ignore_rules(lines: list[str]) -> list[tuple[bool, str]]:
         if not rule or rule.startswith("#"):
             continue
         keeps, rule = rule.startswith("!"), rule.removeprefix("!")
-        anchored = "/" in rule.rstrip("/")
-        body = rule.strip("/")
-        parts = [".*" if p == "**" else re.sub(r"\\Z|\\z|\(\?s:|\)$", "", fnmatch.translate(p)).replace(".*", "[^/]*") for p in body.split("/")]
-        inner = "/".join(parts).replace(".*/", "(?:.*/)?")
-        rules.append((keeps, f"^{'' if anchored else '(?:.*/)?'}{inner}{'/.*' if rule.endswith('/') else '(?:/.*)?'}$"))
+        head = "" if "/" in rule.rstrip("/") else "(?:.*/)?"
+        parts = ["(?:.*/)?" if p == "**" else glob_regex(p) + "/" for p in rule.strip("/").split("/")]
+        body = "".join(parts).removesuffix("/")
+        rules.append((keeps, f"^{head}{body}{'/.*' if rule.endswith('/') else '(?:/.*)?'}$"))
     return rules
 
 
