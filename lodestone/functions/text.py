@@ -117,10 +117,9 @@ def handles(text: Column) -> Column:
     marked = F.filter(trimmed, lambda x: x.startswith("//") | x.startswith("#"))
     bare = F.transform(marked, lambda x: F.trim(F.regexp_replace(x, r"^[/#]+", "")))
     comments = F.filter(bare, lambda x: F.octet_length(x) > 3)
-    distinct = F.filter(
-        F.transform(comments, lambda x, i: F.when((i > 0) & (x == F.get(comments, i - 1)), F.lit(None)).otherwise(x)),
-        lambda x: x.isNotNull(),
-    )
+    before = F.concat(F.array(F.lit(None).cast("string")), comments)
+    changed = F.zip_with(comments, before, lambda x, y: F.when(y.isNull() | (x != y), x))
+    distinct = F.filter(changed, lambda x: x.isNotNull())
     telling = F.array_sort(
         F.array_distinct(F.filter(tokenize(text), lambda t: (F.length(t) > 4) & contains_any(t, HANDLE_WORDS)))
     )
