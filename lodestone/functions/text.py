@@ -6,6 +6,8 @@ accented text keeps its letters.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,7 +64,8 @@ def lines(text: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Lower-cased ASCII letter and digit runs, cut before every capital, of two bytes or more."""
     runs = F.regexp_extract_all(text, F.lit("[A-Z][a-z0-9]*|[a-z0-9]+"), F.lit(0))
-    return F.filter(F.transform(runs, ascii_lower), lambda t: F.length(t) >= 2)
+    # the runs are ASCII, so lower() folds nothing else
+    return F.filter(F.transform(runs, lambda r: F.lower(r)), lambda t: F.length(t) >= 2)
 
 
 def query_tokens(question: Column) -> Column:
@@ -93,8 +96,13 @@ def snippet(all_lines: Column, start: Column, end: Column) -> Column:
     return F.substring(F.array_join(F.slice(all_lines, start, count), "\n"), 1, SNIPPET_CHARS)
 
 
+def any_of(needles: tuple[str, ...] | list[str]) -> str:
+    """A pattern for any of some strings, without regard to ASCII case: one pass over a text."""
+    return "(?i)" + "|".join(re.escape(n) for n in needles)
+
+
 def looks_like_secret(text: Column) -> Column:
-    return contains_any(ascii_upper(text), DETECT_MARKERS)
+    return text.rlike(any_of(DETECT_MARKERS))
 
 
 def redact_secrets(text: Column) -> Column:
@@ -106,7 +114,7 @@ def redact_secrets(text: Column) -> Column:
             .when(line.contains(":"), F.concat(F.substring_index(line, ":", 1), F.lit(": [REDACTED]")))
             .otherwise(F.lit("[REDACTED]"))
         )
-        return F.when(contains_any(ascii_upper(line), REDACT_MARKERS), hidden).otherwise(line)
+        return F.when(line.rlike(any_of(REDACT_MARKERS)), hidden).otherwise(line)
 
     return F.array_join(F.transform(lines(text), one), "\n")
 
