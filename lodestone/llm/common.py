@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+BATCH_KEYS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+"""Arrow batches are bounded by bytes of text as well: each is held by the JVM and by the Python worker at once."""
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 """Folds A-Z and nothing else; UTF-8 bytes above 0x7F stay."""
 
@@ -83,6 +86,11 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    for key, value in BATCH_KEYS.items():
+        spark.conf.set(key, value)
+
+
 def map_text(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
@@ -92,6 +100,8 @@ def map_text(
 ) -> DataFrame:
     """``mapInArrow`` over slices of bounded text size; ``fn`` maps one slice to one batch."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, column, limit):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP_KEY, new_path
+from .common import CLEANUP_KEY, new_path, small_batches
 
 CHUNK_BYTES = 1 << 20
 MIN_BYTES = 0
@@ -255,6 +255,7 @@ def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame
 def archive(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write the rows as WARC, read the archives back: one row per record."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, "warc")
     write(typed(payloads(df), min_bytes), path, chunk_bytes)
     found = read(spark, path, keep_payload=False).where("last")
