@@ -12,9 +12,10 @@ vocabulary has a mark after another character and none has a line feed (checked
 when the model is loaded), so no merge crosses such a cut. Chunks repeat a lot
 and are memoised.
 
-Runs of two or more marks are the one exception to the method: the pieces of
-marks alone all share one score, so leftmost order, not rank, decides between
-them and the pair test is not sound there. Such chunks are merged step by step.
+Two kinds of chunks are exceptions to the method and are merged step by step:
+those that begin with two or more marks (the pieces of marks alone all share one
+score, so leftmost order, not rank, decides between them and the pair test is
+not sound there), and those with a character that no piece has.
 
 Defined results: a null text counts as empty; an empty text has the begin and
 end ids alone; characters outside the vocabulary fall back to their bytes. Very
@@ -39,7 +40,7 @@ from .common import map_text
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 300_000
 MEMO_CHARS = 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -99,9 +100,10 @@ class PieceBpe:
         self.automaton = ahocorasick.Automaton()
         for piece in self.rank:
             if self.merged(piece) == [piece]:  # others are never the result of merging
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, self.rank[piece][1])
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.lengths = [len(p) for p, _, _ in self.pieces]
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.shown = [self.show(i) for i in range(len(self.pieces))]
 
@@ -132,46 +134,62 @@ class PieceBpe:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
-    def compatible(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            found = self.merged(left + right) == [left, right]
-            if len(self.pairs) < MEMO_LIMIT:
-                self.pairs[left, right] = found
+    def compatible(self, left: int, right: int) -> bool:
+        """Two pieces, encoded as one text, stay these two."""
+        pair = [self.pieces[left][0], self.pieces[right][0]]
+        found = self.merged("".join(pair)) == pair
+        if len(self.pairs) < MEMO_LIMIT:
+            self.pairs[left * len(self.pieces) + right] = found
         return found
 
-    def tokens(self, chunk: str) -> list[str]:
-        """The pieces of one chunk by the prefix table."""
-        if chunk[:2] == MARK * 2:
-            return self.merged(chunk)
-        ending: list[list[str]] = [[] for _ in chunk]
+    def table(self, chunk: str) -> list[int] | None:
+        """Ids of a chunk by the prefix table; none if it has a character outside the vocabulary.
+
+        The automaton gives the pieces that end at each place, places in order,
+        so the last piece of every shorter prefix is known by then.
+        """
+        last = [-1] * (len(chunk) + 1)
+        lengths, pairs, size = self.lengths, self.pairs, len(self.pieces)
         for at, piece in self.automaton.iter(chunk):
-            ending[at].append(piece)
-        last: list[str | None] = [None] * (len(chunk) + 1)
-        for end in range(1, len(chunk) + 1):
-            options = ending[end - 1] or [chunk[end - 1]]  # an unknown character merges with nothing
-            if len(options[0]) > 1 and options[-1] != chunk[end - 1] and chunk[end - 1] not in self.rank:
-                options.append(chunk[end - 1])
-            for piece in options:
-                start = end - len(piece)
-                if start == 0 or (last[start] is not None and self.compatible(last[start], piece)):
-                    last[end] = piece
-                    break
+            if last[at + 1] >= 0:
+                continue
+            start = at + 1 - lengths[piece]
+            if start:
+                before = last[start]
+                if before < 0:
+                    return None
+                good = pairs.get(before * size + piece)
+                if good is None:
+                    good = self.compatible(before, piece)
+                if not good:
+                    continue
+            last[at + 1] = piece
         found, end = [], len(chunk)
         while end:
-            found.append(last[end])
-            end -= len(last[end])
-        return found[::-1]
+            piece = last[end]
+            if piece < 0:
+                return None
+            found.append(piece)
+            end -= lengths[piece]
+        found.reverse()
+        return found
+
+    def tokens(self, chunk: str) -> list[str]:
+        """The pieces of one chunk."""
+        found = None if chunk[:2] == MARK * 2 else self.table(chunk)
+        return self.merged(chunk) if found is None else [self.pieces[i][0] for i in found]
 
     def ids_of(self, chunk: str) -> bytes:
         """Ids of a chunk as little-endian unsigned 32-bit integers."""
         found = self.memo.get(chunk)
         if found is None:
-            ids: list[int] = []
-            for piece in self.tokens(chunk):
-                hit = self.rank.get(piece)
-                ids.extend([hit[1]] if hit else [self.bytes_id[b] for b in piece.encode()])
-            found = np.array(ids, "<u4").tobytes()
+            ids = None if chunk[:2] == MARK * 2 else self.table(chunk)
+            if ids is None:
+                ids = []
+                for piece in self.merged(chunk):
+                    hit = self.rank.get(piece)
+                    ids.extend([hit[1]] if hit else [self.bytes_id[b] for b in piece.encode()])
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(chunk) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_LIMIT:
                     self.memo.clear()
