@@ -97,8 +97,13 @@ def map_text(
     schema: str,
     column: str = "text",
     limit: int = 4 << 20,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """``mapInArrow`` over slices of bounded text size; ``fn`` maps one slice to one batch."""
+    """``mapInArrow`` over slices of bounded text size; ``fn`` maps one slice to one batch.
+
+    ``after`` runs at the end of a partition: workers are reused by later stages
+    and should hold nothing for them.
+    """
 
     small_batches(df.sparkSession)
 
@@ -108,6 +113,9 @@ def map_text(
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        if after is not None:
+            after()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

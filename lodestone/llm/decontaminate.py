@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -189,19 +190,30 @@ def shards_of(benchmark: DataFrame, shard_words: int) -> list[list[tuple[int, li
     return shards
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The documents' columns with N_WORDS, SPANS (hit word positions, flattened) and ITEMS."""
+Finish = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def mark(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, finish: Finish | None = None
+) -> DataFrame:
+    """The documents' columns with N_WORDS, SPANS (hit word positions, flattened) and ITEMS.
+
+    ``finish`` turns a marked batch into a batch of the documents' columns; it
+    runs in the same Python worker as the last shard.
+    """
     spark = docs.sparkSession
     names = docs.columns
     out = docs.withColumns(
         {N_WORDS: F.lit(0).cast("long"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<long>")}
     )
     schema = out.schema
-    for shard in shards_of(benchmark, shard_words):
+    shards = shards_of(benchmark, shard_words)
+    for k, shard in enumerate(shards):
         sent = spark.sparkContext.broadcast(shard)
         kept: dict[int, SuffixAutomaton] = {}
+        last = finish if k == len(shards) - 1 else None
 
-        def step(batch: pa.RecordBatch, sent=sent, kept=kept) -> pa.RecordBatch:
+        def step(batch: pa.RecordBatch, sent=sent, kept=kept, last=last) -> pa.RecordBatch:
             if 0 not in kept:
                 kept[0] = SuffixAutomaton(sent.value, window)
             counts, spans, items = [], [], []
@@ -212,7 +224,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
                 counts.append(len(words))
                 spans.append(merged((own_spans or []) + found))
                 items.append(sorted(hit | set(own_items or [])))
-            return pa.record_batch(
+            marked = pa.record_batch(
                 [
                     *(batch.column(n) for n in names),
                     pa.array(counts, pa.int64()),
@@ -221,8 +233,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
                 ],
                 [*names, N_WORDS, SPANS, ITEMS],
             )
+            return last(marked) if last else marked
 
-        out = map_text(out, step, schema)
+        out = map_text(out, step, docs.schema if last else schema)
     return out
 
 
@@ -273,7 +286,6 @@ def decontaminate(
     ``n_chars``, if there is one, is counted anew for changed texts.
     """
     names = docs.columns
-    marked = mark(docs, benchmark, window)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, keep = [], []
@@ -290,7 +302,7 @@ def decontaminate(
             columns["n_chars"] = pa.array(changed, columns["n_chars"].type)
         return pa.record_batch(list(columns.values()), list(columns)).filter(pa.array(keep))
 
-    return map_text(marked, step, docs.schema)
+    return mark(docs, benchmark, window, finish=step)
 
 
 def digest(ids: list[int]) -> str:

@@ -271,4 +271,5 @@ def encode_documents(df: DataFrame, model: str | None = None, keep_ids: bool = F
         df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
         run,
         schema + ", ids array<int>, decoded string" * keep_ids,
+        after=lambda: model_at(path).memo.clear(),
     )
