@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -73,6 +74,16 @@ def release(*tables: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def splittable(df: DataFrame, key: str) -> DataFrame:
+    """An aggregate by ``key``, so put that a join by ``key`` can split a hot key of its other side.
+
+    Spark splits a skewed partition only where both sides of a join come straight
+    from an exchange. An aggregate brings its own, below it; the key taken anew
+    (a long, unchanged) makes Spark exchange its rows, one a key, once more.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of one column each, one row at least."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, splittable
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    joined = near.join(splittable(least, "u"), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, map_text, materialize, release, utf8
+from .common import LOWER, map_text, materialize, splittable, utf8
 from .components import components
 
 SHINGLE = 3
@@ -126,7 +126,8 @@ def neighbours(crowded: DataFrame) -> DataFrame:
 
 def shared(rows: DataFrame, key: str) -> DataFrame:
     """Keys with two fingerprints or more, with the least of them."""
-    return rows.groupBy(key).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select(key, "low")
+    ends = rows.groupBy(key).agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    return splittable(ends.where("low <> high").select(key, "low"), key)
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lookup = grouped.join(least, "root").select("fp", "component_id")
+    lookup = grouped.join(splittable(least, "root"), "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return own.join(lookup, "fp").select("doc_id", hexed, "component_id")
 
