@@ -176,18 +176,23 @@ class SuffixAutomaton:
                 spans += [start, end]
 
 
-def shards_of(benchmark: DataFrame, shard_words: int) -> list[list[tuple[int, list[bytes]]]]:
-    """Items in shards of bounded size; the bound holds for what is collected at a time."""
+Shard = list[tuple[int, list[bytes]]]
+
+
+def shards_of(benchmark: DataFrame, shard_words: int) -> list[DataFrame]:
+    """The items in shards of bounded size, not collected yet."""
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     count = max(1, -(-total // (shard_words * 6)))
-    shards = []
-    for k in range(count):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else items
-        shards.append([(r["item_id"], words_of(r["text"].encode())) for r in part.collect()])
-    return shards
+    if count == 1:
+        return [items]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
+
+
+def words_of_items(shard: DataFrame) -> Shard:
+    return [(r["item_id"], words_of(r["text"].encode())) for r in shard.collect()]
 
 
 Finish = Callable[[pa.RecordBatch], pa.RecordBatch]
@@ -209,7 +214,7 @@ def mark(
     schema = out.schema
     shards = shards_of(benchmark, shard_words)
     for k, shard in enumerate(shards):
-        sent = spark.sparkContext.broadcast(shard)
+        sent = spark.sparkContext.broadcast(words_of_items(shard))  # one at a time; the driver keeps it in a file
         kept: dict[int, SuffixAutomaton] = {}
         last = finish if k == len(shards) - 1 else None
 
