@@ -13,7 +13,8 @@ size of its whole payload.
 
 Records with equal payloads of at least ``min_bytes`` bytes: the one with the
 largest key is a response, the others are revisits of it. Equal payloads meet by
-digest in an aggregate and a join that Spark can split when a digest is hot.
+digest in an aggregate and a join that Spark can split when a digest is hot; of
+the digests only those with two records or more come to the join.
 
 Defined results: a null payload is empty. A null key is written as an empty
 record id; it is nobody's referent, and it revisits a keyed record with equal
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP_KEY, new_path, small_batches
+from .common import CLEANUP_KEY, materialize, new_path, small_batches
 
 CHUNK_BYTES = 1 << 20
 MIN_BYTES = 0
@@ -65,7 +66,9 @@ def payloads(df: DataFrame, key: str = "page_id", url: str = "url", payload: str
 def typed(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``payloads`` with record_type and refers_to; payloads are joined by key, so none is hot."""
     keys = rows.select("page_id", "hexed", F.octet_length("payload").alias("size")).where(F.col("size") >= min_bytes)
-    keepers = keys.groupBy("hexed").agg(F.max("page_id").alias("keeper")).where("keeper is not null")
+    keepers = keys.groupBy("hexed").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
+    # written out, so that the join has an exchange on either side and a hot digest can be split
+    keepers = materialize(keepers.where("keeper is not null and copies > 1").select("hexed", "keeper"), "keepers")
     marked = keys.select("page_id", "hexed").distinct().join(keepers, "hexed").where("page_id is null or page_id <> keeper")
     marked = marked.select(F.col("page_id").alias("marked_id"), F.col("hexed").alias("marked_hex"), F.col("keeper").alias("refers_to"))
     same = rows.page_id.eqNullSafe(marked.marked_id) & (rows.hexed == marked.marked_hex)
