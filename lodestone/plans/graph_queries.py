@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -193,9 +194,9 @@ imported AS (
 def import_facts(spark, sf_dir):
     files = views.files(spark, sf_dir)
     after = files.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("next_path"), F.col("file_id").alias("next_file"))
-    names = views.symbols(spark, sf_dir).where("ord <= 400").groupBy(F.col("file_id").alias("next_file")).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("ord", "name"))), 1, 3).alias("n")
-    )
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("ord", "name"))
+    heads = views.symbols(spark, sf_dir).select("file_id", "ord", "name", place.alias("place")).where("place <= 3")
+    names = heads.groupBy(F.col("file_id").alias("next_file")).agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("n"))
     rows = files.select("doc_id", "file_id").join(after, "doc_id").join(names, "next_file", "left")
     listed = F.when(F.col("doc_id") % 2 == 1, F.coalesce(F.transform("n", lambda x: x["name"]), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     module = F.concat(F.lit("/"), F.regexp_replace("next_path", r"\.[^./]*$", ""))
@@ -236,8 +237,6 @@ SELECT use_id, arg_min(target_id, (rank, a, b, target_id)) AS target_id FROM eve
 )
 def join_resolve_names(spark, sf_dir):
     """Names resolved in the file, then through imports, then through any imported file."""
-    from pyspark.sql import Window
-
     symbols = views.symbols(spark, sf_dir)
     other = F.lead("name", 3).over(Window.partitionBy("ord").orderBy("file_id"))
     uses = symbols.select("file_id", F.col("symbol_id").alias("use_id"), F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(other).alias("name"))
