@@ -4,41 +4,56 @@ A window of ``k`` words is an edge of the graph. Each window belongs to its
 minimizer, the word m-mer within it whose hash is least (the leftmost of
 equals); windows in a row with the same minimizer make one stretch, a path of
 the graph. Equal windows have equal minimizers, so the graph falls apart by
-minimizer:
+minimizer, and only stretches, not single edges, are shuffled:
 
 1. Per minimizer hash: the least and largest document, and whether all its
-   stretches are the same words (by a second hash). A minimizer of one document
-   is dropped.
-2. A minimizer whose stretches are all the same is a nonbranching path, compacted
-   to one row: in every document but the least, all windows of the stretch go.
+   stretches look the same (by a second hash). A minimizer of one document is
+   dropped.
+2. A minimizer whose stretches all look the same is a nonbranching path: each
+   stretch is joined to that of the least document, its source.
 3. Where stretches differ (the path branches, or a passage ends inside it), the
-   windows are compared one by one: their two hashes are taken from the texts at
-   the source coordinates (document, start, number of windows), and a window
-   goes where a smaller document has it.
-
-Everything is a join or an aggregate by hash, so that hot passages are combined
-before a shuffle or split by a skewed join; a text crosses the network twice.
-Equality is by 128 bits: two independent 64-bit hashes of the words.
+   edges are joined one by one, by two hashes of their words: a window's source
+   is the least document that has it.
+4. Windows of a document that follow each other and whose sources do too share
+   a node of ``k - 1`` words and are joined to one long span: (document, start,
+   number of windows) with its source (document, start).
+5. The words at both coordinates of each span are read from the texts and
+   compared, in blocks of 64 words. Where any differ (the hashes collided), the
+   windows of those minimizers are grouped by their words themselves instead.
+
+So hashes only choose candidates, and every removed word was compared with its
+source. Hot passages are combined before a shuffle or split by a skewed join.
 
 Defined results: a null text has no words. Documents with fewer than ``k`` words
 lose nothing. Rows with a null id are kept whole and are nobody's source. Rows
-that repeat an id count as one document: none of them loses what only they have.
+that repeat an id count as one document, whether their texts are equal or not:
+none of them loses what only rows of that id have. Very long texts are handled a
+slice of rows at a time, one row at least. An empty table gives an empty table.
+Extra columns are ignored by ``kept_words`` and pass through ``remove``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize, release
+from .common import map_text, materialize, release, utf8
 
 K = 13
 M = 7
 SLICE = 1 << 18
+BLOCK = 64
+PLACE = 64  # a place is start * PLACE + size; a stretch has at most k - m + 1 windows
+FIELDS = ("start", "size", "src_doc", "src_digest", "src_start")
+SPAN_TYPE = "array<struct<" + ", ".join(f"{f}: long" for f in FIELDS) + ">>"
+PAIR_TYPE = "array<struct<start: long, size: long>>"
+PAIRS = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 RANDOM = np.random.default_rng(20240611)
@@ -118,6 +133,10 @@ class Words:
         total = self.totals[kind]
         return mix((total[start + size] - total[start]) * down[start])
 
+    def joined(self, first: int, stop: int) -> str:
+        """Words ``first`` to ``stop``, one space between them."""
+        return b" ".join(self.raw[self.starts[first] : self.ends[stop - 1]].tobytes().split()).decode() if stop > first else ""
+
     def stretches(self, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
         """(document index, first window, number of windows, minimizer hash) of every stretch."""
         n = len(self.starts)
@@ -149,89 +168,249 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    texts = [v or b"" for v in batch.column("text").cast(pa.binary()).to_pylist()]
-    return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), texts
+def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def lists(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """A column of arrays of structs as (row of each element, field, field, ...); null is no element."""
+    column = batch.column(name)
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    return rows, *(values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
+
+
+def offsets_within(sizes: np.ndarray) -> np.ndarray:
+    """0 ... size-1 for each size in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def stretch_rows(docs: DataFrame, k: int, m: int, places: bool) -> DataFrame:
-    """(gram, doc_id, path hash) of every stretch, or its (gram, doc_id, start, size)."""
+    """(gram, doc_id, path hash) of every stretch, or its (gram, doc_id, digest, place); a place is start * 64 + size."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = read(batch)
-        words = Words(texts, 1 if places else 2)
+        ids = numbers(batch, "doc_id")
+        words = Words(utf8(batch.column("text")), 1 if places else 2)
         doc, first, count, gram = words.stretches(k, m)
         out = {"gram": signed(gram), "doc_id": ids[doc]}
         if places:
-            out |= {"start": (first - words.first_word[doc]).astype(np.int32), "size": count.astype(np.int32)}
+            out |= {"digest": numbers(batch, "digest")[doc], "place": (first - words.first_word[doc]) * PLACE + count}
         else:
             out |= {"path": signed(words.spans(1, first, count + k - 1))}
         return batch_of(out)
 
-    schema = "gram long, doc_id long, " + ("start int, size int" if places else "path long")
+    schema = "gram long, doc_id long, " + ("digest long, place long" if places else "path long")
     return map_text(docs, step, schema, limit=SLICE)
 
 
-def window_rows(joined: DataFrame, k: int) -> DataFrame:
-    """(h1, h2, doc_id, start) of every window of the branching stretches of each document."""
+def window_rows(joined: DataFrame, k: int, words_too: bool = False) -> DataFrame:
+    """(h1, h2, doc_id, digest, start) of every window of ``places``; with their words instead of the hashes if asked."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = read(batch)
-        words = Words(texts, 2)
-        spans = spans_of(batch, "branches")
-        base = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-        start, size = np.concatenate(spans).astype(np.int64).T
+        texts = utf8(batch.column("text"))
+        words = Words(texts, 0 if words_too else 2)
+        column = batch.column("places")
+        place = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        base = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+        start, size = place // PLACE, place % PLACE
         each = np.repeat(np.arange(len(size)), size)
-        offset = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-        local = start[each] + offset
-        at = words.first_word[base[each]] + local
-        return batch_of(
-            {
-                "h1": signed(words.spans(0, at, k)),
-                "h2": signed(words.spans(1, at, k)),
-                "doc_id": ids[base[each]],
-                "start": local.astype(np.int32),
-            }
-        )
+        local, row = start[each] + offsets_within(size), base[each]
+        at = words.first_word[row] + local
+        where = {"doc_id": numbers(batch, "doc_id")[row], "digest": numbers(batch, "digest")[row], "start": local}
+        if words_too:
+            return batch_of({"words": [words.joined(a, a + k) for a in at.tolist()]} | where)
+        return batch_of({"h1": signed(words.spans(0, at, k)), "h2": signed(words.spans(1, at, k))} | where)
+
+    schema = "doc_id long, digest long, start long"
+    return map_text(joined, step, ("words string, " if words_too else "h1 long, h2 long, ") + schema, limit=SLICE)
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """Windows in a row whose sources are in a row too, as one span of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, size, *source = lists(batch, "spans", FIELDS)
+            order = np.lexsort((start, row))
+            row, start, size = row[order], start[order], size[order]
+            src, digest, at = (x[order] for x in source)
+            new = np.ones(len(row), bool)
+            same = (row[1:] == row[:-1]) & (src[1:] == src[:-1]) & (digest[1:] == digest[:-1])
+            new[1:] = ~(same & (start[1:] == start[:-1] + size[:-1]) & (at[1:] == at[:-1] + size[:-1]))
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(size, first) if len(first) else size
+            values = pa.StructArray.from_arrays([pa.array(x) for x in (start[first], total, src[first], digest[first], at[first])], list(FIELDS))
+            edges = np.searchsorted(row[first], np.arange(batch.num_rows + 1)).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(edges), values)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), spans], ["doc_id", "digest", "spans"])
+
+    return found.mapInArrow(run, f"doc_id long, digest long, spans {SPAN_TYPE}")
+
+
+def coordinate_words(joined: DataFrame, k: int) -> DataFrame:
+    """The words of source blocks and of spans, cut where blocks of their source end.
+
+    A source row has (src_doc, src_digest, block, words); a row of a span has the
+    same key, the first word and number of words within the block, its own words,
+    and (doc_id, digest, start).
+    """
 
-    return map_text(joined, step, "h1 long, h2 long, doc_id long, start int", limit=SLICE)
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(utf8(batch.column("text")), 0)
+        ids, digests = numbers(batch, "doc_id"), numbers(batch, "digest")
+        column = batch.column("blocks")
+        block = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        b_row = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        row, start, size, src, src_digest, at = lists(batch, "spans", FIELDS)
+        stop = at + size + k - 1
+        cuts = (stop - 1) // BLOCK - at // BLOCK + 1
+        each = np.repeat(np.arange(len(row)), cuts)
+        t_block = at[each] // BLOCK + offsets_within(cuts)
+        low = np.maximum(at[each], t_block * BLOCK)
+        n = np.minimum(stop[each], (t_block + 1) * BLOCK) - low
+        local = start[each] + low - at[each]
+        begin = np.concatenate([words.first_word[b_row] + block * BLOCK, words.first_word[row[each]] + local])
+        own = np.concatenate([b_row, row[each]])
+        end = np.minimum(begin + np.concatenate([np.full(len(block), BLOCK), n]), words.first_word[own + 1])
+        none = np.zeros(len(block), bool)
+        target = np.concatenate([none, ~np.zeros(len(each), bool)])
+
+        def both(left: np.ndarray, right: np.ndarray) -> pa.Array:
+            return pa.array(np.concatenate([left, right]))
+
+        def only(right: np.ndarray) -> pa.Array:
+            return pa.array(np.concatenate([np.zeros(len(block), np.int64), right]), mask=~target)
+
+        text = pa.array([words.joined(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.string())
+        return pa.record_batch(
+            [
+                both(ids[b_row], src[each]), both(digests[b_row], src_digest[each]), both(block, t_block), text,
+                only(low - t_block * BLOCK), only(n), only(ids[row[each]]), only(digests[row[each]]), only(local),
+            ],
+            ["src_doc", "src_digest", "block", "words", "low", "n", "doc_id", "digest", "start"],
+        )
 
+    schema = "src_doc long, src_digest long, block long, words string, low long, n long, doc_id long, digest long, start long"
+    return map_text(joined, step, schema, limit=SLICE)
 
-def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """(doc_id, spans): the windows that go, as an array of (first window, number of windows)."""
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text) of the rows that take part; the digest tells texts of a repeated id apart."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.where("doc_id is not null and text is not null")
+    return plain.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+
+
+def candidate_spans(plain: DataFrame, k: int, m: int) -> DataFrame:
+    """(doc_id, digest, spans): the windows that a smaller document seems to have, with their sources."""
     paths = stretch_rows(plain, k, m, places=False).groupBy("gram").agg(
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("path").alias("p"), F.max("path").alias("q")
     )
     kinds = materialize(
         paths.where("first_doc <> last_doc").select("gram", "first_doc", (F.col("p") == F.col("q")).alias("same")), "paths"
     )
-    found = materialize(
-        stretch_rows(plain, k, m, places=True)
-        .join(kinds, "gram")
-        .where("not same or doc_id > first_doc")
-        .groupBy("doc_id", "same")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans")),
-        "stretches",
+    found = materialize(stretch_rows(plain, k, m, places=True).join(kinds, "gram"), "stretches")
+    heads = found.where("same and doc_id = first_doc").groupBy("gram")
+    heads = heads.agg(F.min("doc_id").alias("src_doc"), F.min_by("digest", "place").alias("src_digest"), F.min("place").alias("src_place"))
+    # written out, so that the join below has an exchange on either side and a hot path can be split
+    heads = materialize(heads, "heads")
+    whole = (
+        found.where("same and doc_id > first_doc")
+        .join(heads, "gram")
+        .selectExpr(
+            "doc_id", "digest", f"place div {PLACE} as start", f"place % {PLACE} as size", "src_doc", "src_digest", f"src_place div {PLACE} as src_start"
+        )
     )
-    release(kinds)
-    branching = found.where("not same").select("doc_id", F.col("spans").alias("branches"))
-    windows = materialize(window_rows(plain.join(branching, "doc_id"), k), "windows")
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    # written out, so that the join below has an exchange on either side and a hot window can be split
-    firsts = materialize(firsts.where("first_doc <> last_doc").select("h1", "h2", "first_doc"), "windows")
+    branching = found.where("not same").groupBy("doc_id", "digest").agg(F.collect_set("place").alias("places"))
+    windows = materialize(window_rows(plain.join(branching, ["doc_id", "digest"]), k), "windows")
+    firsts = windows.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"),
+        F.min_by("digest", "doc_id").alias("src_digest"), F.min_by("start", "doc_id").alias("src_start"),
+    )
+    firsts = materialize(firsts.where("src_doc <> last_doc").drop("last_doc"), "windows")
     single = (
         windows.join(firsts, ["h1", "h2"])
-        .where("doc_id > first_doc")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", F.lit(1).alias("size"))).alias("spans"))
+        .where("doc_id > src_doc")
+        .select("doc_id", "digest", "start", F.lit(1).cast("long").alias("size"), "src_doc", "src_digest", "src_start")
     )
-    whole = found.where("same").select("doc_id", "spans")
-    out = materialize(
-        whole.unionByName(single).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans"
-    )
-    release(found, windows, firsts)
+    each = whole.unionByName(single).groupBy("doc_id", "digest").agg(F.collect_set(F.struct(*FIELDS)).alias("spans"))
+    out = materialize(merged(each), "spans")
+    release(kinds, found, heads, windows, firsts)
+    return out
+
+
+def differing(plain: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """(doc_id, digest, start, n): words of spans that are not those at the coordinates of their source."""
+    each = spans.select(F.explode("spans").alias("s")).select("s.*")
+    last = F.floor((F.col("src_start") + F.col("size") + (k - 2)) / BLOCK)
+    blocks = each.select(
+        F.col("src_doc").alias("doc_id"), F.col("src_digest").alias("digest"),
+        F.explode(F.sequence(F.floor(F.col("src_start") / BLOCK), last)).alias("block"),
+    )
+    sources = blocks.groupBy("doc_id", "digest").agg(F.collect_set("block").alias("blocks"))
+    wanted = sources.join(spans, ["doc_id", "digest"], "full")
+    rows = materialize(coordinate_words(plain.join(wanted, ["doc_id", "digest"]), k), "words")
+    key = ["src_doc", "src_digest", "block"]
+    sources = materialize(rows.where("doc_id is null").groupBy(*key).agg(F.first("words").alias("source")), "sources")
+    own = F.array_join(F.slice(F.split("source", " "), (F.col("low") + 1).cast("int"), F.col("n").cast("int")), " ")
+    out = rows.where("doc_id is not null").join(sources, key, "left").where(F.coalesce(own != F.col("words"), F.lit(True)))
+    out = materialize(out.select("doc_id", "digest", "start", "n"), "differing")
+    release(rows, sources)
+    return out
+
+
+def regrouped(plain: DataFrame, spans: DataFrame, wrong: DataFrame, k: int, m: int) -> DataFrame:
+    """Spans without the windows over differing words, and all windows of their minimizers as their words decide."""
+    parts = wrong.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", F.col("n").alias("size"))).alias("wrong"))
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, size = lists(batch, "spans", ("start", "size"))
+            w_row, w_start, w_n = lists(batch, "wrong", ("start", "size"))
+            out = []
+            for i in range(batch.num_rows):
+                each = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(start[row == i], size[row == i], strict=True)] or [np.zeros(0, np.int64)]))
+                for a, n in zip(w_start[w_row == i], w_n[w_row == i], strict=True):
+                    each = each[(each <= a - k) | (each >= a + n)]
+                out.append([{"start": int(x), "size": 1} for x in each])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), pa.array(out, PAIRS)], ["doc_id", "digest", "spans"])
+
+    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(utf8(batch.column("text")), 1)
+        doc, first, count, gram = words.stretches(k, m)
+        local = first - words.first_word[doc]
+        row, start, n = lists(batch, "wrong", ("start", "size"))
+        hit = np.zeros(len(gram), bool)
+        for r, a, size in zip(row, start, n, strict=True):
+            hit |= (doc == r) & (local < a + size) & (local + count + k - 1 > a)
+        return batch_of({"gram": signed(np.unique(gram[hit]))})
+
+    key = ["doc_id", "digest"]
+    rest = spans.join(parts, key, "left").mapInArrow(without, f"doc_id long, digest long, spans {PAIR_TYPE}")
+    again = materialize(map_text(plain.join(parts, key), grams, "gram long", limit=SLICE).distinct(), "grams")
+    places = stretch_rows(plain, k, m, places=True).join(again, "gram").groupBy(*key).agg(F.collect_set("place").alias("places"))
+    windows = materialize(window_rows(plain.join(places, key), k, words_too=True), "windows")
+    firsts = windows.groupBy("words").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"))
+    firsts = materialize(firsts.where("src_doc <> last_doc").drop("last_doc"), "windows")
+    exact = windows.join(firsts, "words").where("doc_id > src_doc").groupBy(*key)
+    exact = exact.agg(F.collect_set(F.struct("start", F.lit(1).cast("long").alias("size"))).alias("spans"))
+    out = materialize(rest.unionByName(exact).groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    release(again, windows, firsts)
+    return out
+
+
+def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """(doc_id, digest, spans): the windows that go, as an array of (start, size, ...), size windows from word start."""
+    plain = numbered(docs)
+    spans = candidate_spans(plain, k, m)
+    wrong = differing(plain, spans, k)
+    if wrong.isEmpty():
+        out = spans
+    else:
+        out = regrouped(plain, spans, wrong, k, m)
+        release(spans)
+    release(wrong)
     return out
 
 
@@ -248,19 +427,17 @@ SPANS = "_lodestone_spans"  # so named that it meets no column of the input
 
 def spans_of(batch: pa.RecordBatch, name: str = SPANS) -> list[np.ndarray]:
     """The spans of each row as an array of (start, size); null is none."""
-    out = []
-    for row in batch.column(name):
-        values = row.values
-        if values is None or not len(values):
-            out.append(np.zeros((0, 2), np.int32))
-        else:
-            out.append(np.stack([values.field(0).to_numpy(), values.field(1).to_numpy()], axis=1))
-    return out
+    row, start, size = lists(batch, name, ("start", "size"))
+    edges = np.searchsorted(row, np.arange(1, batch.num_rows))
+    return np.split(np.stack([start, size], axis=1), edges)
 
 
 def with_spans(docs: DataFrame, k: int, m: int) -> DataFrame:
-    spans = repeated_spans(docs, k, m).select(F.col("doc_id").alias("_lodestone_doc"), F.col("spans").alias(SPANS))
-    return docs.join(spans, docs.doc_id.cast("long") == spans["_lodestone_doc"], "left").drop("_lodestone_doc")
+    spans = repeated_spans(docs, k, m).select(
+        F.col("doc_id").alias("_lodestone_doc"), F.col("digest").alias("_lodestone_digest"), F.col("spans").alias(SPANS)
+    )
+    same = (docs.doc_id.cast("long") == spans["_lodestone_doc"]) & (F.xxhash64(docs.text.cast("string")) == spans["_lodestone_digest"])
+    return docs.join(spans, same, "left").drop("_lodestone_doc", "_lodestone_digest")
 
 
 def kept_words(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
@@ -268,7 +445,7 @@ def kept_words(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [v or b"" for v in batch.column("text").cast(pa.binary()).to_pylist()]
+        texts = utf8(batch.column("text"))
         total, removed, digests = [], [], []
         for text, spans in zip(texts, spans_of(batch), strict=True):
             words = text.split()

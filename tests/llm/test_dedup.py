@@ -134,6 +134,35 @@ def test_substrings_defined_cases(spark):
     assert substrings.kept_words(documents(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_substrings_compare_words_not_hashes(spark):
+    """The Thue-Morse word and its complement collide under every hash of the module; nothing of them repeats."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"r{k}" for k in range(12))
+    hashes = substrings.Words([word.encode(), other.encode()], 2).hashes
+    assert all(h[0] == h[1] for h in hashes)
+    texts = [(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"new {other} {rest} more"), (4, f"{word} {rest}")]
+    check_substrings(spark, texts)
+    check_substrings(spark, [(1, f"{word} {rest} {word} tail"), (2, f"{other} {rest} {word} tail"), (3, f"x y z {other} {rest} {other} tail")])
+
+
+def test_substrings_of_an_id_with_two_texts(spark):
+    shared = " ".join(f"s{k}" for k in range(20))
+    long = f"{shared} " + " ".join(f"l{k}" for k in range(40))
+    rows = [(1, shared), (2, long), (2, "short one"), (2, long), (3, f"short one {long[40:]}"), (2, f"only here {shared}")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.kept_words(documents(spark, rows)).collect())
+    first = {1: [shared], 2: [long, long, "short one", f"only here {shared}"], 3: [rows[4][1]]}
+    want = []
+    for i, texts in first.items():
+        before = " | ".join(t for j, ts in first.items() if j < i for t in ts).replace("|", "\0")
+        for t in texts:
+            want.append((i, len(t.split()), sum(brute.repeated_words({0: before, 1: t})[1])))
+    assert got == sorted(want)
+    assert len(substrings.remove(documents(spark, rows)).collect()) == 6
+
+
 def test_word_hashes_depend_on_words_alone():
     a = substrings.Words([b"one two  three", b"four\none two three"], 2)
     for k in range(2):
