@@ -68,34 +68,83 @@ def tokenizer():
     return tokencounts.tokenizer_at(*tokencounts.default_tokenizer())
 
 
+def check_counted(counted, own):
+    fresh = tokencounts.CountedText(counted.text, own)
+    assert counted.ends.tolist() == fresh.ends.tolist() and counted.counts.tolist() == fresh.counts.tolist()
+    assert counted.tree.total == len(own.encoding.encode_ordinary(counted.text)) == sum(counted.tree.levels[0])
+    assert counted.blocks.sum() == len(counted.ends) and len(counted.blocks) == len(counted.tree.levels[0])
+    edges = np.concatenate([[0], np.cumsum(counted.blocks)])
+    assert [int(counted.counts[a:b].sum()) for a, b in zip(edges, edges[1:], strict=False)] == counted.tree.levels[0].tolist()
+    for below, above in zip(counted.tree.levels, counted.tree.levels[1:], strict=False):
+        assert tokencounts.pair_sums(below).tolist() == above.tolist()
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_edits_like_counting_anew(seed):
+def test_edits_like_counting_anew(seed, monkeypatch):
     rng = random.Random(seed)
+    monkeypatch.setattr(tokencounts, "BLOCK", 4)
     parts = ["a", "Z", "7", " ", "  ", "\n", " \n", "'ll", "'", "é", "!", "??", "日", "abc de", " 12", "\t"]
     make = lambda n: "".join(rng.choice(parts) for _ in range(rng.randint(0, n)))
     own = tokenizer()
     for _ in range(300):
-        counted = tokencounts.CountedText(make(25), own)
+        counted = tokencounts.CountedText(make(60), own)
         for _ in range(3):
-            start = rng.randint(0, len(counted.text))
-            counted.edit(start, min(len(counted.text), start + rng.randint(0, 4)), make(3))
-            fresh = tokencounts.CountedText(counted.text, own)
-            assert counted.ends.tolist() == fresh.ends.tolist()
-            assert [x.tolist() for x in counted.tree.levels] == [x.tolist() for x in fresh.tree.levels]
-            assert counted.tree.total == len(own.encoding.encode_ordinary(counted.text))
+            places = sorted(rng.randint(0, len(counted.text)) for _ in range(2 * rng.randint(0, 5)))
+            edits = [(a, b, make(3)) for a, b in zip(places[::2], places[1::2], strict=True)]
+            text = counted.text
+            for a, b, new in reversed(edits):
+                text = text[:a] + new + text[b:]
+            counted.edit_all(edits)
+            assert counted.text == text
+            check_counted(counted, own)
+            counted = tokencounts.CountedText.restored(text, own, *counted.stored()[2:])
+            check_counted(counted, own)
 
 
 def test_edits_touch_little():
     counted = tokencounts.CountedText("some words here " * 5000, tokenizer())
     counted.edit(40_000, 40_003, "new")
     assert 0 < counted.encoded < 10
-    low, high = 100, 9000
-    assert counted.tree.range_sum(low, high) == int(counted.tree.levels[0][low:high].sum())
+    for low, high in ((100, 9000), (3, 5), (64, 128), (0, 15_000)):
+        assert counted.range_sum(low, high) == int(counted.counts[low:high].sum())
+
+
+def test_many_edits_cost_less_than_counting_anew():
+    import time
+
+    rng = random.Random(4)
+    text = " ".join(f"{rng.choice(['plain', 'words', 'between'])} {rng.choice(['them', 'stay'])} as they are {rng.randint(10**8, 10**9)} or so, {rng.choice(['in', 'on'])} this text of many edited numbers and words that stay as they were" for _ in range(16_000))
+    own = tokenizer()
+    counted = tokencounts.CountedText(text, own)
+    edits = tokencounts.redactions(text)
+    assert len(text) > 1_500_000 and len(edits) == 16_000
+    began = time.process_time()
+    counted.edit_all(edits)
+    edited = time.process_time() - began
+    began = time.process_time()
+    fresh = tokencounts.CountedText(counted.text, own)
+    anew = time.process_time() - began
+    assert counted.counts.tolist() == fresh.counts.tolist() and counted.encoded < 10 * len(edits)
+    print(f"edits {edited:.2f} s, anew {anew:.2f} s")
+    assert edited < anew
 
 
 def test_overlapping_edits_are_refused():
     with pytest.raises(ValueError, match="overlap"):
         tokencounts.CountedText("abcdef", tokenizer()).edit_all([(0, 3, ""), (2, 4, "")])
+    with pytest.raises(ValueError, match="beyond"):
+        tokencounts.CountedText("abcdef", tokenizer()).edit_all([(5, 7, "")])
+
+
+def test_token_counts_of_repeated_and_null_ids(spark):
+    rows = [(1, "call 12345678", 0), (1, "call 12345678", 0), (1, "mail a@b.cd", 0), (None, "x@y.zz", 0), (None, "x@y.zz", 0), (None, None, 0), (2, "no edit", 0)]
+    got = tokencounts.token_counts(spark.createDataFrame(rows, "doc_id long, text string, digest int")).collect()
+    count = lambda t: len(tokenizer().encoding.encode_ordinary(t))
+    want = []
+    for i, text, _ in rows:
+        edited, n = tokencounts.EDITS.subn(lambda m: tokencounts.PLACEHOLDERS[m.lastgroup], text or "")
+        want.append((str(i), count(text or ""), n, count(edited)))
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_edits, r.n_tokens_after) for r in got) == sorted(want)
 
 
 def test_token_count_rows(spark):
