@@ -2,18 +2,25 @@
 
 A page is cut into flat blocks of text at block-level tags. Each block has its
 word count and link density, those of the blocks before and after it, the kind
-of its tag and where it stands: inside an article, inside a menu, advert, notice
-or the like (by tag, role, class or id), or neither. A small decision tree,
-trained here on the labelled table below, decides which blocks are main text.
+of its tag, and how the page's running text lies around it: ``inside`` tells
+whether it stands in the container that holds most of that text, ``branch``
+what share of that container's text its own part of it has. Both come from word
+counts and link densities alone. What tags, roles, classes and ids call a
+container (``named``) is one feature more. A small decision tree, trained here
+on the labelled table below, decides which blocks are main text.
 
 Defined results: a null, empty or markup-only page has an empty text. Unclosed
 tags end where their container does; an unclosed comment, script or style runs
-to the end of the page; a ``<`` that opens no tag is text.
+to the end of the page; a ``<`` that opens no tag is text. Repeated rows give a
+row each, null ids and urls stay null. Very long pages are handled one at a
+time, in time linear in their length. An empty table gives an empty table;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -36,7 +43,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label map mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
-CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure blockquote details dialog body".split())
+CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table details dialog body".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_TAGS = frozenset("nav footer aside form dialog menu".split())
 GOOD_WORDS = frozenset("article content main post entry story articlebody maincontent".split())
@@ -49,93 +56,131 @@ BAD_WORDS = frozenset(
 BAD_OUTSIDE = frozenset("header masthead topbar".split())  # within an article these hold its title
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-FEATURES = ("place", "kind", "words", "links", "words_before", "links_before", "words_after", "links_after")
-# place: 2 inside an article, 1 page without an article, 0 beside the article, -1 inside a menu, advert, notice or the like
+FEATURES = ("inside", "branch", "named", "kind", "words", "links", "words_before", "links_before", "words_after", "links_after")
+# inside: 2 in the container of most running text, 1 no such container (the whole page is it), 0 outside of it
+# branch: the share of that container's running text in the block's own part of it, 1 for blocks directly in it
+# named: 1 inside an article or the like, -1 inside a menu, advert, notice or the like, 0 neither
 # kind: 2 heading, 1 paragraph, 0 anything else; words are counted up to 60
 LABELLED = (
-    # (place, kind, words, links, words_before, links_before, words_after, links_after), main text
-    ((2, 2, 9, 0.0, 8, 0.0, 30, 0.0), 1),
-    ((2, 2, 4, 0.0, 40, 0.0, 25, 0.0), 1),
-    ((2, 2, 1, 0.0, 5, 0.0, 3, 0.0), 1),
-    ((2, 1, 45, 0.0, 9, 0.0, 38, 0.0), 1),
-    ((2, 1, 60, 0.1, 40, 0.0, 60, 0.1), 1),
-    ((2, 1, 1, 0.0, 20, 0.0, 12, 0.0), 1),
-    ((2, 1, 2, 0.0, 1, 0.0, 9, 0.0), 1),
-    ((2, 1, 7, 0.0, 60, 0.0, 11, 0.0), 1),
-    ((2, 1, 12, 0.3, 33, 0.0, 2, 1.0), 1),
-    ((2, 1, 24, 0.5, 33, 0.0, 40, 0.0), 1),
-    ((2, 0, 14, 0.0, 30, 0.0, 22, 0.0), 1),
-    ((2, 0, 5, 0.0, 4, 0.0, 6, 0.0), 1),
-    ((2, 0, 3, 0.0, 60, 0.0, 8, 0.0), 1),
-    ((2, 1, 2, 0.0, 10, 0.0, 2, 1.0), 1),
-    ((2, 1, 6, 0.0, 1, 0.0, 3, 0.9), 1),
-    ((2, 0, 4, 0.0, 3, 0.0, 1, 1.0), 1),
-    ((2, 2, 3, 0.0, 3, 1.0, 5, 1.0), 1),
-    ((2, 1, 9, 0.4, 50, 0.0, 1, 0.0), 1),
-    ((2, 1, 5, 0.5, 1, 0.0, 1, 0.0), 1),
-    ((2, 0, 4, 0.5, 2, 1.0, 0, 0.0), 1),
-    ((2, 1, 1, 0.0, 1, 0.0, 1, 0.0), 1),
-    ((2, 0, 2, 1.0, 2, 1.0, 2, 1.0), 0),
-    ((2, 0, 4, 1.0, 30, 0.0, 3, 1.0), 0),
-    ((2, 0, 6, 0.9, 5, 1.0, 9, 0.0), 0),
-    ((2, 1, 2, 1.0, 40, 0.0, 12, 0.0), 0),
-    ((2, 1, 3, 1.0, 18, 0.1, 0, 0.0), 0),
-    ((-1, 0, 1, 1.0, 1, 1.0, 1, 1.0), 0),
-    ((-1, 0, 3, 1.0, 0, 0.0, 2, 1.0), 0),
-    ((-1, 0, 9, 0.0, 1, 1.0, 9, 0.0), 0),
-    ((-1, 0, 20, 0.0, 4, 0.0, 30, 0.0), 0),
-    ((-1, 1, 35, 0.0, 12, 0.0, 28, 0.0), 0),
-    ((-1, 1, 60, 0.1, 60, 0.0, 44, 0.0), 0),
-    ((-1, 1, 6, 0.0, 60, 0.0, 0, 0.0), 0),
-    ((-1, 2, 2, 0.0, 60, 0.0, 20, 0.0), 0),
-    ((-1, 2, 5, 1.0, 3, 1.0, 40, 0.0), 0),
-    ((-1, 0, 11, 0.0, 30, 0.0, 0, 0.0), 0),
-    ((0, 0, 3, 1.0, 2, 1.0, 4, 1.0), 0),
-    ((0, 0, 8, 0.0, 2, 1.0, 9, 0.0), 0),
-    ((0, 2, 4, 0.0, 0, 0.0, 3, 1.0), 0),
-    ((0, 1, 15, 0.1, 40, 0.0, 10, 0.2), 0),
-    ((0, 1, 40, 0.0, 40, 0.0, 10, 0.2), 0),
-    ((0, 1, 60, 0.2, 50, 0.0, 60, 0.0), 0),
-    ((0, 0, 60, 0.0, 4, 0.0, 0, 0.0), 0),
-    ((1, 1, 60, 0.0, 8, 0.0, 45, 0.0), 1),
-    ((1, 1, 40, 0.1, 60, 0.0, 60, 0.2), 1),
-    ((1, 1, 25, 0.0, 3, 0.0, 40, 0.0), 1),
-    ((1, 1, 18, 0.2, 50, 0.0, 4, 1.0), 1),
-    ((1, 1, 16, 0.0, 6, 1.0, 3, 0.5), 1),
-    ((1, 1, 8, 0.0, 40, 0.0, 30, 0.0), 1),
-    ((1, 1, 5, 0.0, 30, 0.0, 45, 0.1), 1),
-    ((1, 1, 3, 0.0, 25, 0.0, 14, 0.0), 1),
-    ((1, 1, 4, 0.0, 2, 1.0, 2, 1.0), 0),
-    ((1, 1, 6, 0.0, 3, 1.0, 4, 0.8), 0),
-    ((1, 1, 9, 0.8, 30, 0.0, 20, 0.0), 0),
-    ((1, 1, 20, 0.7, 3, 1.0, 5, 1.0), 0),
-    ((1, 1, 12, 1.0, 12, 1.0, 11, 1.0), 0),
-    ((1, 2, 7, 0.0, 3, 1.0, 50, 0.0), 1),
-    ((1, 2, 4, 0.0, 40, 0.0, 32, 0.0), 1),
-    ((1, 2, 3, 0.0, 2, 1.0, 24, 0.1), 1),
-    ((1, 2, 3, 0.0, 2, 1.0, 3, 1.0), 0),
-    ((1, 2, 2, 0.0, 30, 0.0, 2, 1.0), 0),
-    ((1, 2, 4, 1.0, 1, 1.0, 20, 0.0), 0),
-    ((1, 0, 2, 1.0, 1, 1.0, 1, 1.0), 0),
-    ((1, 0, 6, 0.0, 2, 1.0, 3, 1.0), 0),
-    ((1, 0, 9, 0.0, 60, 0.0, 0, 0.0), 0),
-    ((1, 0, 8, 0.2, 12, 0.0, 2, 1.0), 0),
-    ((1, 0, 5, 0.5, 40, 0.0, 40, 0.0), 0),
-    ((1, 0, 30, 0.0, 25, 0.0, 40, 0.0), 1),
-    ((1, 0, 60, 0.1, 8, 0.0, 35, 0.1), 1),
-    ((1, 0, 22, 0.0, 3, 0.0, 26, 0.0), 1),
-    ((1, 0, 45, 0.7, 4, 1.0, 6, 1.0), 0),
-    ((1, 0, 26, 0.9, 30, 0.0, 3, 1.0), 0),
+    # (inside, branch, named, kind, words, links, words_before, links_before, words_after, links_after), main text
+    ((2, 1.0, 1, 2, 9, 0.0, 8, 0.0, 30, 0.0), 1),
+    ((2, 1.0, 0, 2, 4, 0.0, 40, 0.0, 25, 0.0), 1),
+    ((2, 1.0, 0, 2, 1, 0.0, 5, 0.0, 3, 0.0), 1),
+    ((2, 1.0, 1, 1, 45, 0.0, 9, 0.0, 38, 0.0), 1),
+    ((2, 1.0, 0, 1, 60, 0.1, 40, 0.0, 60, 0.1), 1),
+    ((2, 1.0, 0, 1, 1, 0.0, 20, 0.0, 12, 0.0), 1),
+    ((2, 1.0, 1, 1, 2, 0.0, 1, 0.0, 9, 0.0), 1),
+    ((2, 1.0, 0, 1, 7, 0.0, 60, 0.0, 11, 0.0), 1),
+    ((2, 1.0, 0, 1, 12, 0.3, 33, 0.0, 2, 1.0), 1),
+    ((2, 1.0, 1, 1, 24, 0.5, 33, 0.0, 40, 0.0), 1),
+    ((2, 1.0, 0, 0, 14, 0.0, 30, 0.0, 22, 0.0), 1),
+    ((2, 0.3, 0, 0, 5, 0.0, 4, 0.0, 6, 0.0), 1),
+    ((2, 0.2, 1, 0, 3, 0.0, 60, 0.0, 8, 0.0), 1),
+    ((2, 1.0, 0, 1, 2, 0.0, 10, 0.0, 2, 1.0), 1),
+    ((2, 1.0, 1, 1, 6, 0.0, 1, 0.0, 3, 0.9), 1),
+    ((2, 0.1, 0, 0, 12, 0.0, 30, 0.0, 11, 0.0), 1),
+    ((2, 0.6, 0, 1, 40, 0.0, 6, 0.0, 28, 0.0), 1),
+    ((2, 0.4, 0, 1, 30, 0.1, 5, 0.0, 0, 0.0), 1),
+    ((2, 0.4, 0, 2, 5, 0.0, 30, 0.0, 30, 0.0), 1),
+    ((2, 0.1, 0, 1, 18, 0.0, 40, 0.0, 35, 0.0), 1),
+    ((2, 0.05, 0, 0, 6, 0.0, 20, 0.0, 3, 0.0), 1),
+    ((2, 0.03, 1, 0, 8, 0.0, 14, 0.0, 12, 0.0), 1),
+    ((2, 0.03, 0, 1, 8, 0.0, 40, 0.0, 30, 0.0), 1),
+    ((2, 0.06, 1, 0, 5, 0.2, 7, 0.0, 0, 0.0), 1),
+    ((2, 1.0, 0, 2, 3, 0.0, 3, 1.0, 5, 1.0), 1),
+    ((2, 1.0, 1, 1, 9, 0.4, 50, 0.0, 1, 0.0), 1),
+    ((2, 1.0, 0, 1, 5, 0.5, 1, 0.0, 1, 0.0), 1),
+    ((2, 1.0, 0, 1, 1, 0.0, 1, 0.0, 1, 0.0), 1),
+    ((2, 0.0, 0, 0, 2, 1.0, 2, 1.0, 2, 1.0), 0),
+    ((2, 0.0, 0, 0, 4, 1.0, 30, 0.0, 3, 1.0), 0),
+    ((2, 0.0, 1, 0, 6, 0.9, 5, 1.0, 9, 0.0), 0),
+    ((2, 1.0, 0, 1, 2, 1.0, 40, 0.0, 12, 0.0), 0),
+    ((2, 1.0, 1, 1, 3, 1.0, 18, 0.1, 0, 0.0), 0),
+    ((2, 0.0, 0, 0, 12, 0.8, 40, 0.0, 8, 0.9), 0),
+    ((2, 0.05, -1, 0, 7, 0.0, 40, 0.0, 35, 0.0), 0),
+    ((2, 0.05, -1, 1, 20, 0.0, 3, 1.0, 30, 0.0), 0),
+    ((2, 0.2, -1, 1, 35, 0.0, 4, 0.0, 28, 0.0), 0),
+    ((2, 0.2, -1, 2, 2, 0.0, 60, 0.0, 20, 0.0), 0),
+    ((2, 0.1, -1, 0, 9, 0.0, 1, 1.0, 9, 0.0), 0),
+    ((0, 0.0, 0, 0, 1, 1.0, 1, 1.0, 1, 1.0), 0),
+    ((0, 0.0, -1, 0, 3, 1.0, 0, 0.0, 2, 1.0), 0),
+    ((0, 0.0, 0, 0, 9, 0.0, 1, 1.0, 9, 0.0), 0),
+    ((0, 0.0, -1, 0, 20, 0.0, 4, 0.0, 30, 0.0), 0),
+    ((0, 0.0, 0, 1, 15, 0.0, 12, 0.0, 8, 0.0), 0),
+    ((0, 0.0, -1, 1, 60, 0.1, 60, 0.0, 44, 0.0), 0),
+    ((0, 0.0, 0, 1, 6, 0.0, 60, 0.0, 0, 0.0), 0),
+    ((0, 0.0, 0, 2, 2, 0.0, 60, 0.0, 20, 0.0), 0),
+    ((0, 0.0, -1, 2, 5, 1.0, 3, 1.0, 40, 0.0), 0),
+    ((0, 0.0, 0, 0, 11, 0.0, 30, 0.0, 0, 0.0), 0),
+    ((0, 0.0, 0, 0, 3, 1.0, 2, 1.0, 4, 1.0), 0),
+    ((0, 0.0, 0, 0, 8, 0.0, 2, 1.0, 9, 0.0), 0),
+    ((0, 0.0, 0, 2, 4, 0.0, 0, 0.0, 3, 1.0), 0),
+    ((0, 0.0, 0, 1, 12, 0.1, 40, 0.0, 10, 0.2), 0),
+    ((0, 0.0, 0, 0, 60, 0.0, 4, 0.0, 0, 0.0), 0),
+    ((0, 0.0, 0, 0, 30, 0.4, 60, 0.0, 0, 0.0), 0),
+    ((1, 1.0, 0, 1, 60, 0.0, 8, 0.0, 45, 0.0), 1),
+    ((1, 1.0, 0, 1, 40, 0.1, 60, 0.0, 60, 0.2), 1),
+    ((1, 1.0, 0, 1, 25, 0.0, 3, 0.0, 40, 0.0), 1),
+    ((1, 0.5, 1, 1, 18, 0.2, 50, 0.0, 4, 1.0), 1),
+    ((1, 0.4, 0, 1, 16, 0.0, 6, 1.0, 3, 0.5), 1),
+    ((1, 1.0, 0, 1, 32, 0.0, 50, 0.0, 1, 1.0), 1),
+    ((1, 1.0, 1, 1, 60, 0.1, 60, 0.0, 2, 1.0), 1),
+    ((1, 0.8, 0, 1, 19, 0.0, 24, 0.0, 3, 1.0), 1),
+    ((1, 0.3, 0, 1, 40, 0.0, 30, 0.0, 35, 0.0), 1),
+    ((1, 0.2, 0, 1, 25, 0.0, 5, 0.0, 38, 0.0), 1),
+    ((1, 0.3, 1, 1, 12, 0.0, 30, 0.0, 26, 0.1), 1),
+    ((1, 0.3, 0, 2, 5, 0.0, 40, 0.0, 30, 0.0), 1),
+    ((1, 0.2, 1, 2, 3, 0.0, 12, 0.0, 34, 0.0), 1),
+    ((1, 1.0, 0, 1, 8, 0.0, 40, 0.0, 30, 0.0), 1),
+    ((1, 0.5, 1, 1, 5, 0.0, 30, 0.0, 45, 0.1), 1),
+    ((1, 1.0, 0, 1, 3, 0.0, 25, 0.0, 14, 0.0), 1),
+    ((1, 1.0, 0, 1, 4, 0.0, 2, 1.0, 2, 1.0), 0),
+    ((1, 1.0, 0, 1, 6, 0.0, 3, 1.0, 4, 0.8), 0),
+    ((1, 1.0, 0, 1, 9, 0.8, 30, 0.0, 20, 0.0), 0),
+    ((1, 0.3, 0, 1, 20, 0.7, 3, 1.0, 5, 1.0), 0),
+    ((1, 0.2, 0, 1, 12, 1.0, 12, 1.0, 11, 1.0), 0),
+    ((1, 0.3, -1, 1, 30, 0.0, 5, 0.0, 40, 0.0), 0),
+    ((1, 0.3, -1, 1, 12, 0.0, 30, 0.0, 20, 0.0), 0),
+    ((1, 1.0, 0, 2, 7, 0.0, 3, 1.0, 50, 0.0), 1),
+    ((1, 1.0, 0, 2, 4, 0.0, 40, 0.0, 32, 0.0), 1),
+    ((1, 0.5, 1, 2, 3, 0.0, 2, 1.0, 24, 0.1), 1),
+    ((1, 1.0, 0, 2, 3, 0.0, 2, 1.0, 3, 1.0), 0),
+    ((1, 1.0, 0, 2, 2, 0.0, 30, 0.0, 2, 1.0), 0),
+    ((1, 0.2, -1, 2, 2, 0.0, 30, 0.0, 20, 0.0), 0),
+    ((1, 0.35, -1, 0, 15, 0.0, 3, 0.0, 0, 0.0), 0),
+    ((1, 0.35, 0, 0, 15, 0.0, 4, 0.0, 0, 0.0), 0),
+    ((1, 0.3, 0, 0, 9, 0.0, 1, 1.0, 3, 0.0), 0),
+    ((1, 0.06, 0, 0, 6, 0.0, 1, 1.0, 9, 0.0), 0),
+    ((1, 0.15, 0, 0, 10, 0.0, 1, 1.0, 7, 0.0), 0),
+    ((1, 0.2, 0, 0, 13, 0.0, 12, 0.0, 5, 0.0), 0),
+    ((1, 0.1, 0, 0, 8, 0.0, 30, 0.0, 12, 0.0), 0),
+    ((1, 1.0, 0, 2, 4, 1.0, 1, 1.0, 20, 0.0), 0),
+    ((1, 0.0, 0, 0, 2, 1.0, 1, 1.0, 1, 1.0), 0),
+    ((1, 0.0, 0, 0, 6, 0.0, 2, 1.0, 3, 1.0), 0),
+    ((1, 0.1, 0, 0, 9, 0.0, 60, 0.0, 0, 0.0), 0),
+    ((1, 0.1, 0, 0, 8, 0.2, 12, 0.0, 2, 1.0), 0),
+    ((1, 0.1, 0, 0, 5, 0.5, 40, 0.0, 40, 0.0), 0),
+    ((1, 1.0, 0, 0, 30, 0.0, 25, 0.0, 40, 0.0), 1),
+    ((1, 0.5, 0, 0, 60, 0.1, 8, 0.0, 35, 0.1), 1),
+    ((1, 1.0, 0, 0, 22, 0.0, 3, 0.0, 26, 0.0), 1),
+    ((1, 0.3, 0, 0, 45, 0.7, 4, 1.0, 6, 1.0), 0),
+    ((1, 0.3, 0, 0, 26, 0.9, 30, 0.0, 3, 1.0), 0),
 )
+MOST = 0.65  # what share of the running text a part must hold for the search for its container to go into it
+PARAGRAPH, TITLE = 3, 20  # the words that a paragraph and a main heading count for beside their own
 
 
 @dataclass
 class Block:
     text: str
     linked: int
-    place: int
+    named: int
     kind: int
+    title: bool
+    holder: int
     words: int = 0
+    inside: int = 0
+    branch: float = 0.0
 
 
 def hint(tag: str, attributes: str, inside: int) -> int:
@@ -152,16 +197,17 @@ def hint(tag: str, attributes: str, inside: int) -> int:
 def blocks_of(html: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     found: list[Block] = []
-    open_tags: list[tuple[str, int]] = []  # containers with their standing, which children take on
+    open_tags: list[tuple[str, int, int]] = [("", 0, 0)]  # containers with what they are called, which children take on, and their number
+    open_count: Counter[str] = Counter()
+    parents = [0]
     parts: list[str] = []
     linked: list[str] = []
-    kind, in_link, at, good_seen = 0, False, 0, False
+    kind, title, in_link, at = 0, False, False, 0
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            place = open_tags[-1][1] if open_tags else 0
-            found.append(Block(text, len("".join(linked).split()), place, kind))
+            found.append(Block(text, len("".join(linked).split()), open_tags[-1][1], kind, title, open_tags[-1][2]))
         parts.clear()
         linked.clear()
 
@@ -194,32 +240,65 @@ def blocks_of(html: str) -> list[Block]:
         flush()
         in_link = False if tag != "br" else in_link
         if tag in CONTAINERS:
-            if closing:
-                for k in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[k][0] == tag:
-                        del open_tags[k:]
+            if closing and open_count[tag]:
+                while True:
+                    name = open_tags.pop()[0]
+                    open_count[name] -= 1
+                    if name == tag:
                         break
-            elif not attributes.endswith("/"):
-                inside = open_tags[-1][1] if open_tags else 0
-                own = inside if inside < 0 else hint(tag, attributes, inside) or inside
-                good_seen = good_seen or own > 0
-                open_tags.append((tag, own))
-            kind = 0
+            elif not closing and not attributes.endswith("/"):
+                outer = open_tags[-1]
+                named = outer[1] if outer[1] < 0 else hint(tag, attributes, outer[1]) or outer[1]
+                open_tags.append((tag, named, len(parents)))
+                open_count[tag] += 1
+                parents.append(outer[2])
+            kind, title = 0, False
         elif tag != "br":
             kind = 0 if closing else 2 if tag in HEADINGS else 1 if tag == "p" else 0
+            title = kind == 2 and tag == "h1"
     add(html[at:])
     flush()
-    for b in found:
-        b.words = len(b.text.split())
-        b.place = -1 if b.place < 0 else 2 if b.place > 0 else 0 if good_seen else 1
+    place(found, parents)
     return found
 
 
+def running(b: Block) -> float:
+    """How much running text a block has: its words outside links, short scraps counted half."""
+    plain = b.words - min(b.linked, b.words)
+    return (plain if b.kind or plain >= 10 else plain / 2) + (PARAGRAPH if b.kind == 1 and plain else TITLE if b.title and plain else 0)
+
+
+def place(blocks: list[Block], parents: list[int]) -> None:
+    """Set words, ``inside`` and ``branch`` of the blocks; a container's number is greater than its parent's."""
+    mass = [0.0] * len(parents)
+    for b in blocks:
+        b.words = len(b.text.split())
+        mass[b.holder] += running(b)
+    for c in range(len(parents) - 1, 0, -1):
+        mass[parents[c]] += mass[c]
+    main = 0
+    for c in range(1, len(parents)):  # in page order, so each step goes from a container to one within it
+        if parents[c] == main and mass[c] >= MOST * mass[main] > 0:
+            main = c
+    part = [-1.0] * len(parents)
+    part[main] = 1.0
+    for c in range(main + 1, len(parents)):
+        if parents[c] == main:
+            part[c] = mass[c] / mass[main] if mass[main] else 0.0
+        else:
+            part[c] = part[parents[c]]
+    alone = all(part[b.holder] >= 0 for b in blocks)  # a container around everything is no choice
+    for b in blocks:
+        own = part[b.holder]
+        b.inside = 0 if own < 0 else 1 if alone else 2
+        b.branch = max(own, 0.0)
+
+
 def feature_rows(blocks: list[Block]) -> np.ndarray:
     words = np.array([0, *(min(b.words, 60) for b in blocks), 0], float)
     links = np.array([0, *(min(b.linked / b.words, 1.0) for b in blocks), 0], float)
-    place, kind = np.array([b.place for b in blocks], float), np.array([b.kind for b in blocks], float)
-    columns = (place, kind, words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:])
+    own = (np.array([getattr(b, f) for b in blocks], float) for f in ("inside", "branch", "named", "kind"))
+    columns = (*own, words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:])
     return np.stack(columns, axis=1)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import random
+import re
+from html.parser import HTMLParser
 from zlib import crc32
 
 import numpy as np
@@ -186,6 +188,64 @@ def test_extract_rows(spark):
     assert mainblocks.extract(df.limit(0)).count() == 0
 
 
+class ArticleText(HTMLParser):
+    """The words within the article element, by the standard library's parser: right for the pages of the test tables alone."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in ("p", "h1", "br") and self.depth:
+            self.words.append(" ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag in ("p", "h1"):
+            self.words.append(" ")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.words.append(data)
+
+
+def article_text(html):
+    parser = ArticleText()
+    parser.feed(html or "")
+    parser.close()
+    return " ".join("".join(parser.words).split())
+
+
+def without_names(html):
+    """A page whose containers are all plain ``div`` elements without class, id or role."""
+    return re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", re.sub(r' (?:class|id|role)="[^"]*"', "", html))
+
+
+def test_main_text_of_all_pages_like_a_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r.page_id: article_text(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in mainblocks.extract(pages).collect()} == want
+    bare = spark.createDataFrame([(r.page_id, r.url, without_names(r.html)) for r in pages.collect()], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in mainblocks.extract(bare).collect()} == want
+
+
+def test_main_text_among_notices_sidebars_and_comments():
+    prose = ["One " + "running text of the article goes on here. " * n for n in (6, 4, 7)]
+    body = "".join(f"<p>{p}</p>" for p in prose)
+    comments = "".join(f"<div class='comment'><p>Reader {k} has a word to say about all of this.</p></div>" for k in range(4))
+    page = f"<body><div><a href=/>Start</a> <a href=/n>News</a></div><div class='notice'>Our terms have changed today.</div><div><div><h1>Head line</h1>{body}</div><div id='side'><h3>More</h3><ul><li><a href=1>One other story</a><li><a href=2>Yet another story</a></ul></div></div><div id='comments'>{comments}</div><div>All rights with the paper</div></body>"
+    want = " ".join(["Head line", *(p.strip() for p in prose)])
+    assert mainblocks.main_text(page) == want
+    deep = "<div>" * 20_000 + "<p>x" + "</section></div>" * 20_000
+    assert mainblocks.main_text(deep) == "x"
+
+
+def test_extract_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<article><h1>T</h1><p>a b")] * 3 + [(None, None, "")], "page_id long, url string, html string")
+    assert sorted((str(r.page_id), r.text) for r in mainblocks.extract(df).collect()) == [("1", "T a b")] * 3 + [("None", "")]
+
+
 def test_tree_fits_its_table():
     x = np.array([row for row, _ in mainblocks.LABELLED], float)
     assert mainblocks.judge(mainblocks.tree(), x).tolist() == [bool(y) for _, y in mainblocks.LABELLED]
