@@ -44,7 +44,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     This cuts the lineage with files that survive the loss of an executor. The
@@ -55,7 +55,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(CLEANUP_KEY)
     spark.conf.set(CLEANUP_KEY, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
     finally:
         spark.conf.set(CLEANUP_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)

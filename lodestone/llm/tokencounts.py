@@ -48,6 +48,7 @@ LOOK = 2
 """How far past its end a match may have looked: one character ends a run; a space run gives one back after looking past its end."""
 MEMO_LIMIT = 300_000
 EDITS = regex.compile(r"(?P<mail>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<digits>\d{7,})")
+MAY_EDIT = r"@|\p{Nd}{7}"  # in the JVM's dialect: every text with a redaction has one of these
 PLACEHOLDERS = {"mail": "[EMAIL]", "digits": "[NUMBER]"}
 
 
@@ -290,15 +291,19 @@ def keyed(df: DataFrame) -> DataFrame:
 
 
 def build_state(docs: DataFrame, own: tuple[str, str]) -> DataFrame:
-    """The tree of every text of ``keyed`` rows."""
+    """The tree of every text of ``keyed`` rows; other columns than the text stay."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokenizer = tokenizer_at(*own)
         rows = [CountedText(text, tokenizer).stored() for text in batch.column("text").to_pylist()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)]
-        return pa.record_batch([batch.column("doc_id"), batch.column("digest"), *columns], [*KEY, *STATE_COLUMNS])
+        return pa.record_batch([*(batch.column(c) for c in kept), *columns], [*kept, *STATE_COLUMNS])
 
-    return map_text(docs, step, STATE)
+    schema = docs.select(*kept).schema
+    for name in STATE_COLUMNS:
+        schema = schema.add(name, "binary" if name in PACKED else "long")
+    return map_text(docs, step, schema)
 
 
 def redaction_edits(docs: DataFrame) -> DataFrame:
@@ -322,7 +327,10 @@ def with_key(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame
 
 
 def apply_edits(docs: DataFrame, state: DataFrame, edits: DataFrame, own: tuple[str, str]) -> DataFrame:
-    """The state after the edits, of the documents that have some, with n_edits and n_encoded_again."""
+    """The state after the edits, of the documents that have some, with n_edits and n_encoded_again.
+
+    Texts and trees go through a shuffle by key, so leave out documents that are known to have no edit.
+    """
     listed = edits.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "end", "new"))).alias("edits"))
     # repeated rows have one state; taken once, so that the join below has a row per document row
     touched = with_key(state.select(*KEY, *PACKED), listed).dropDuplicates(list(KEY))
@@ -346,8 +354,9 @@ def token_counts(df: DataFrame, path: str | None = None, pattern: str | None = N
     """Per document: tokens and pre-tokens as it is, edits, pre-tokens encoded again, tokens after the edits."""
     own = default_tokenizer() if path is None else (path, pattern)
     docs = keyed(df)
-    state = materialize(build_state(docs, own), "trees")
-    after = apply_edits(docs, state, redaction_edits(docs), own)
+    state = materialize(build_state(docs.withColumn("may_edit", F.col("text").rlike(MAY_EDIT)), own), "trees", compression="zstd")
+    some = docs.where(F.col("text").rlike(MAY_EDIT))
+    after = apply_edits(some, state.where("may_edit"), redaction_edits(some), own)
     after = after.groupBy(*KEY).agg(F.max("n_edits").alias("n_edits"), F.max("n_encoded_again").alias("n_encoded_again"), F.max("n_tokens").alias("n_tokens_after"))
     rows = with_key(state.select(*KEY, "n_tokens", "n_pretokens"), materialize(after, "edited"), "left")
     return rows.select(
