@@ -1,40 +1,53 @@
 """Benchmark decontamination with a generalised suffix automaton over words.
 
-The test items (normalised to words) go into one suffix automaton. A document
-is streamed through it word by word; the automaton keeps the length of the
-longest suffix of what was read that some item contains. Once that length
-reaches the window, the last ``window`` words are a window of an item, and the
-state says of which items. An item shorter than the window is one window.
+The test items (normalised to words) go into suffix automata. A document is
+streamed through one word by word; the automaton keeps the length of the longest
+suffix of what was read that some item contains. Once that length reaches the
+window, the last ``window`` words are a window of an item, and the state says of
+which items. An item shorter than the window is one window.
 
 Only stretches whose every adjacent pair of words is a pair of some item are
 streamed: elsewhere the matched length is at most one, so that the automaton
 would be back at its root. Pairs are looked up in a bitmap; its false hits only
 cost time.
 
-The automaton is broadcast, so its size is bounded: items are dealt into shards
-of at most ``shard_words`` words, and the documents pass through one automaton
-after another in the same stage.
+Items are cut into pieces of bounded length that overlap by a window less one
+word, repeated pieces are dropped, and the pieces are dealt into shards of about
+``shard_words`` words. Spark builds a shard's automaton in one task, as flat
+arrays, and writes it to a table; the driver passes them on one by one as
+broadcasts (about 60 bytes a word of a shard). The documents go through all
+automata in one Python worker, which builds nothing: it unpacks an automaton
+once, and keeps up to ``RESIDENT_WORDS`` words of them, reading the rest anew
+for each batch.
 
 Defined results: a null text has no words and no hits. Items without words, or
-with a null id, take no part. Repeated item ids count once. Empty tables give
-no hits, or no rows.
+with a null id, take no part. Repeated item ids count once. Repeated documents
+give a row each; very long texts are handled one at a time. Empty tables give no
+hits, or no rows. Extra columns are ignored by ``contamination`` and pass
+through ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_ONLY, map_text, utf8
+from .common import WORD_ONLY, map_text, materialize, release, utf8
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
+RESIDENT_WORDS = 1_000_000
+PIECE_WORDS = 2_000
 PAIR_BITS = 22
 N_WORDS, SPANS, ITEMS = "_lodestone_words", "_lodestone_spans", "_lodestone_items"  # so named that they meet no column of the input
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -44,40 +57,12 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_ONLY).split()
 
 
-class SuffixAutomaton:
-    """All factors of some word sequences; for each state the items that contain it."""
+class Builder:
+    """A suffix automaton while it is being built, with a dict of moves per state."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        coded = []
-        for item, words in items:
-            if words and item is not None:
-                coded.append((item, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]))
-        for _, codes in coded:
-            last = 0
-            for code in codes:
-                last = self.extend(last, code)
-        self.items: list[set[int]] = [set() for _ in self.next]
-        self.short: list[list[tuple[int, int]]] = [[] for _ in self.next]
-        for item, codes in coded:
-            self.own(item, codes)
-        self.anchor = [self.climb(v) for v in range(len(self.next))]
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
-        for v in order:  # parents first: a state also ends whatever its suffixes end
-            self.short[v] = self.short[v] + self.short[self.link[v]]
-        self.least = min([window, *(len(codes) for _, codes in coded)])
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
-        for _, codes in coded:
-            c = np.array(codes, np.int64)
-            self.pairs[self.slot(c[:-1], c[1:])] = True
-
-    @staticmethod
-    def slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
     def extend(self, last: int, code: int) -> int:
         known = self.next[last].get(code)
@@ -112,21 +97,96 @@ class SuffixAutomaton:
             at = self.link[at]
         return copy
 
-    def own(self, item: int, codes: list[int]) -> None:
-        """Mark the states of the item's windows."""
-        v = matched = 0
-        for i, code in enumerate(codes):
-            v, matched = self.next[v][code], i + 1
-            if len(codes) >= self.window and matched >= self.window:
-                self.items[self.climb(v)].add(item)
-        if len(codes) < self.window:
-            self.short[v].append((len(codes), item))
-
-    def climb(self, v: int) -> int:
-        """The state of the last ``window`` words of what state ``v`` holds."""
-        while v > 0 and self.length[self.link[v]] >= self.window:
-            v = self.link[v]
-        return v
+
+def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def rows_of(pairs: set[tuple[int, ...]], n: int) -> tuple[np.ndarray, ...]:
+    """Tuples that begin with a state as flat columns, and where each state's begin."""
+    table = np.array(sorted(pairs), np.int64).reshape(len(pairs), -1) if pairs else np.zeros((0, 3), np.int64)
+    return np.searchsorted(table[:, 0], np.arange(n + 1)).astype(np.int32), *table.T[1:]
+
+
+@dataclass
+class SuffixAutomaton:
+    """All factors of some word sequences as flat arrays; for each state the items whose windows end in it."""
+
+    window: int
+    least: int
+    size: int
+    words: bytes
+    root: np.ndarray  # target per code
+    first: np.ndarray  # where a state's moves begin
+    codes: np.ndarray
+    targets: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    anchor: np.ndarray  # the state of the last ``window`` words
+    own_first: np.ndarray
+    own_items: np.ndarray
+    short_state: np.ndarray  # the nearest state on the way to the root with items shorter than the window
+    short_first: np.ndarray
+    short_sizes: np.ndarray
+    short_items: np.ndarray
+    pairs: np.ndarray
+
+    @classmethod
+    def build(cls, items: list[tuple[int, list[bytes]]], window: int = WINDOW) -> SuffixAutomaton:
+        """From (item, words); an item may come in pieces, of which only a whole item is shorter than the window."""
+        vocabulary: dict[bytes, int] = {}
+        made, coded = Builder(), []
+        for item, words in items:
+            if words and item is not None:
+                coded.append((item, [vocabulary.setdefault(w, len(vocabulary)) for w in words]))
+        for _, codes in coded:
+            last = 0
+            for code in codes:
+                last = made.extend(last, code)
+        n = len(made.next)
+        length, link = made.length, made.link
+        anchor = list(range(n))
+        order = np.argsort(length, kind="stable").tolist()
+        for v in order[1:]:  # shorter ones first
+            anchor[v] = anchor[link[v]] if length[link[v]] >= window else v
+        own: set[tuple[int, ...]] = set()
+        short: set[tuple[int, ...]] = set()
+        for item, codes in coded:
+            v = 0
+            for i, code in enumerate(codes):
+                v = made.next[v][code]
+                if i + 1 >= window:
+                    own.add((anchor[v], item))
+            if len(codes) < window:
+                short.add((v, len(codes), item))
+        own_first, own_items = rows_of({(*o, 0) for o in own}, n)[:2]
+        short_first, short_sizes, short_items = rows_of(short, n)
+        short_state = [0] * n
+        for v in order[1:]:
+            short_state[v] = v if short_first[v + 1] > short_first[v] else short_state[link[v]]
+        root = np.full(len(vocabulary), -1, np.int32)
+        root[list(made.next[0])] = list(made.next[0].values())
+        moves = [sorted(m.items()) for m in made.next[1:]]
+        first = np.concatenate([[0, 0], np.cumsum([len(m) for m in moves])]).astype(np.int32)
+        flat = np.array([x for m in moves for x in m], np.int32).reshape(-1, 2)
+        pairs = np.zeros(1 << PAIR_BITS, bool)
+        for _, codes in coded:
+            c = np.array(codes, np.int64)
+            pairs[pair_slot(c[:-1], c[1:])] = True
+        return cls(
+            window, min([window, *(len(codes) for _, codes in coded)]), sum(len(codes) for _, codes in coded), b" ".join(vocabulary), root, first,
+            np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1]), np.array(link, np.int32), np.array(length, np.int32),
+            np.array(anchor, np.int32), own_first, own_items, np.array(short_state, np.int32), short_first, short_sizes, short_items, pairs,
+        )
+
+    def unpacked(self) -> SuffixAutomaton:
+        """Ready to scan: the dict of words, and views of the arrays that give plain numbers."""
+        self.vocabulary = {w: i for i, w in enumerate(self.words.split())}
+        names = ("root", "first", "codes", "targets", "link", "length", "anchor", "own_first", "short_state", "short_first", "short_sizes")
+        for name in names:
+            setattr(self, f"_{name}", memoryview(getattr(self, name)))
+        return self
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[int]]:
         """Merged hit spans as [start, end, start, end ...] in words, and the items hit."""
@@ -137,37 +197,59 @@ class SuffixAutomaton:
         if self.least == 1:
             runs = [(0, len(words))]
         else:
-            good = self.pairs[self.slot(codes[:-1], codes[1:])] & (codes[:-1] >= 0) & (codes[1:] >= 0)
+            good = self.pairs[pair_slot(codes[:-1], codes[1:])] & (codes[:-1] >= 0) & (codes[1:] >= 0)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], good.view(np.int8), [0]])))
             starts, ends = edges[::2], edges[1::2] + 1
             long = ends - starts >= self.least
             runs = list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
         spans: list[int] = []
-        hit: set[int] = set()
+        whole: set[int] = set()
+        parts: set[int] = set()
         for start, end in runs:
-            self.stream(codes[start:end].tolist(), start, spans, hit)
+            self.stream(codes[start:end].tolist(), start, spans, whole, parts)
+        hit: set[int] = set()
+        for v in whole:
+            hit.update(self.own_items[self.own_first[v] : self.own_first[v + 1]].tolist())
+        for row in parts:
+            hit.add(int(self.short_items[row]))
         return spans, hit
 
-    def stream(self, codes: list[int], base: int, spans: list[int], hit: set[int]) -> None:
+    def move(self, v: int, code: int) -> int:
+        """Where a word leads from a state; -1 nowhere."""
+        if not v:
+            return self._root[code] if code >= 0 else -1
+        low, high = self._first[v], self._first[v + 1]
+        at = low if high - low == 1 else bisect_left(self._codes, code, low, high)
+        return self._targets[at] if at < high and self._codes[at] == code else -1
+
+    def stream(self, codes: list[int], base: int, spans: list[int], whole: set[int], parts: set[int]) -> None:
+        """Follow the words; note the states of whole windows and the rows of short items that end at a word."""
         v = matched = 0
-        moves, link, length, window = self.next, self.link, self.length, self.window
+        link, length, window, move = self._link, self._length, self.window, self.move
         for i, code in enumerate(codes):
-            while v and code not in moves[v]:
+            to = move(v, code)
+            while to < 0 and v:
                 v = link[v]
                 matched = length[v]
-            if code in moves[v]:
-                v = moves[v][code]
-                matched += 1
-            else:
+                to = move(v, code)
+            if to < 0:
                 matched = 0
+                continue
+            v, matched = to, matched + 1
             reach = 0
-            if matched >= window and (own := self.items[self.anchor[v]]):
-                reach = window
-                hit |= own
-            for size, item in self.short[v]:
-                if size <= matched:
-                    reach = max(reach, size)
-                    hit.add(item)
+            if matched >= window:
+                state = self._anchor[v]
+                if self._own_first[state + 1] > self._own_first[state]:
+                    reach = window
+                    whole.add(state)
+            u = self._short_state[v]
+            while u:
+                for row in range(self._short_first[u], self._short_first[u + 1]):
+                    if self._short_sizes[row] > matched:
+                        break
+                    reach = max(reach, self._short_sizes[row])
+                    parts.add(row)
+                u = self._short_state[link[u]]
             if reach:
                 start, end = base + i + 1 - reach, base + i + 1
                 while spans and spans[-1] >= start:
@@ -176,23 +258,60 @@ class SuffixAutomaton:
                 spans += [start, end]
 
 
-Shard = list[tuple[int, list[bytes]]]
+def pieces_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, n, words): distinct pieces of the items, overlapping by a window less one word."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for item, text in zip(batch.column("item_id").to_pylist(), utf8(batch.column("text")), strict=True):
+            words = words_of(text)
+            for at in range(0, max(len(words) - window + 1, min(len(words), 1)), PIECE_WORDS):
+                piece = words[at : at + PIECE_WORDS + window - 1]
+                rows.append((item, len(piece), b" ".join(piece).decode()))
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["item_id", "n", "words"])
+
+    rows = map_text(items.where("item_id is not null and text is not null"), step, "item_id long, n long, words string")
+    return rows.distinct()
+
+
+def shards_of(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(shard, n, automaton): the items' automata, each built by one task from pieces of bounded size."""
+    pieces = materialize(pieces_of(benchmark, window), "pieces")
+    total = pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
+    count = max(1, -(-total // shard_words))
+
+    def build(table: pa.Table) -> pa.Table:
+        items = zip(table.column("item_id").to_pylist(), table.column("words").to_pylist(), strict=True)
+        made = SuffixAutomaton.build([(i, w.encode().split()) for i, w in items], window)
+        data = pickle.dumps(made, protocol=5)
+        return pa.table([table.column("shard").slice(0, 1), pa.array([made.size], pa.int64()), pa.array([data], pa.binary())], ["shard", "n", "automaton"])
+
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item_id", "words"), F.lit(count)))
+    out = materialize(dealt.groupBy("shard").applyInArrow(build, "shard long, n long, automaton binary"), "automata")
+    release(pieces)
+    return out
 
 
-def shards_of(benchmark: DataFrame, shard_words: int) -> list[DataFrame]:
-    """The items in shards of bounded size, not collected yet."""
-    items = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
-    ).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    count = max(1, -(-total // (shard_words * 6)))
-    if count == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
+LOADED: dict[int, SuffixAutomaton] = {}
+"""Automata of this worker by the id of their broadcast."""
 
 
-def words_of_items(shard: DataFrame) -> Shard:
-    return [(r["item_id"], words_of(r["text"].encode())) for r in shard.collect()]
+def automata(sent: list[tuple[Broadcast, int]]) -> Iterator[SuffixAutomaton]:
+    """The automata one after the other; as many stay as the bound on words allows."""
+    for old in set(LOADED) - {number for _, number in sent}:
+        del LOADED[old]
+    room = RESIDENT_WORDS - sum(a.size for a in LOADED.values())
+    for value, number in sent:
+        found = LOADED.get(number)
+        if found is None:
+            found = pickle.loads(value.value).unpacked()
+            value.__dict__.pop("_value", None)  # a broadcast would keep its bytes as well
+            if found.size <= room:
+                LOADED[number] = found
+                room -= found.size
+        yield found
 
 
 Finish = Callable[[pa.RecordBatch], pa.RecordBatch]
@@ -204,44 +323,40 @@ def mark(
     """The documents' columns with N_WORDS, SPANS (hit word positions, flattened) and ITEMS.
 
     ``finish`` turns a marked batch into a batch of the documents' columns; it
-    runs in the same Python worker as the last shard.
+    runs in the same Python worker.
     """
     spark = docs.sparkSession
     names = docs.columns
-    out = docs.withColumns(
-        {N_WORDS: F.lit(0).cast("long"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<long>")}
-    )
-    schema = out.schema
-    shards = shards_of(benchmark, shard_words)
-    for k, shard in enumerate(shards):
-        sent = spark.sparkContext.broadcast(words_of_items(shard))  # one at a time; the driver keeps it in a file
-        kept: dict[int, SuffixAutomaton] = {}
-        last = finish if k == len(shards) - 1 else None
-
-        def step(batch: pa.RecordBatch, sent=sent, kept=kept, last=last) -> pa.RecordBatch:
-            if 0 not in kept:
-                kept[0] = SuffixAutomaton(sent.value, window)
-            counts, spans, items = [], [], []
-            before = zip(batch.column(SPANS).to_pylist(), batch.column(ITEMS).to_pylist(), strict=True)
-            for text, (own_spans, own_items) in zip(utf8(batch.column("text")), before, strict=True):
-                words = words_of(text)
-                found, hit = kept[0].scan(words)
-                counts.append(len(words))
-                spans.append(merged((own_spans or []) + found))
-                items.append(sorted(hit | set(own_items or [])))
-            marked = pa.record_batch(
-                [
-                    *(batch.column(n) for n in names),
-                    pa.array(counts, pa.int64()),
-                    pa.array(spans, pa.list_(pa.int32())),
-                    pa.array(items, pa.list_(pa.int64())),
-                ],
-                [*names, N_WORDS, SPANS, ITEMS],
-            )
-            return last(marked) if last else marked
-
-        out = map_text(out, step, docs.schema if last else schema)
-    return out
+    shards = shards_of(benchmark, window, shard_words)
+    sent = []
+    for r in shards.select("shard").orderBy("shard").collect():  # a number per shard
+        data = shards.where(F.col("shard") == r["shard"]).first()["automaton"]  # one at a time; the driver keeps it in a file
+        one = spark.sparkContext.broadcast(bytes(data))
+        sent.append((one, one._jbroadcast.id()))
+    release(shards)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [words_of(t) for t in utf8(batch.column("text"))]
+        spans: list[list[int]] = [[] for _ in texts]
+        items: list[set[int]] = [set() for _ in texts]
+        for automaton in automata(sent):
+            for k, words in enumerate(texts):
+                found, hit = automaton.scan(words)
+                spans[k] += found
+                items[k] |= hit
+        marked = pa.record_batch(
+            [
+                *(batch.column(n) for n in names),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([merged(s) for s in spans], pa.list_(pa.int32())),
+                pa.array([sorted(i) for i in items], pa.list_(pa.int64())),
+            ],
+            [*names, N_WORDS, SPANS, ITEMS],
+        )
+        return finish(marked) if finish else marked
+
+    schema = docs.withColumns({N_WORDS: F.lit(0).cast("long"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<long>")}).schema
+    return map_text(docs, step, docs.schema if finish else schema)
 
 
 def merged(spans: list[int]) -> list[int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import pickle
 import random
 import re
 from html.parser import HTMLParser
@@ -96,10 +97,39 @@ def test_shards_agree(spark):
     docs = documents(spark, [(k, f"see {items[k][1]} end {items[(k * 7) % 40][1]}") for k in range(40)])
     bench = spark.createDataFrame(items, "item_id long, text string")
     pick = lambda df: sorted((r.doc_id, r[decontaminate.N_WORDS], r[decontaminate.SPANS], r[decontaminate.ITEMS]) for r in df.collect())
-    assert len(decontaminate.shards_of(bench, 60)) > 3
+    assert decontaminate.shards_of(bench, shard_words=60).count() > 3
     assert pick(decontaminate.mark(docs, bench, shard_words=60)) == pick(decontaminate.mark(docs, bench))
 
 
+def test_long_items_are_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(n))) for k, n in enumerate((1, 9, 10, 16, 17, 60))]
+    texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(5)) + " " + items[5][1][10 * i : 10 * i + 50]) for i in range(8)]
+    check_contamination(spark, texts, items)
+    assert decontaminate.pieces_of(spark.createDataFrame(items, "item_id long, text string"), 10).count() > 10
+
+
+def test_many_equal_short_items_and_eviction(monkeypatch):
+    items = [(k, [b"x", b"y"]) for k in range(2000)] + [(5000 + k, [b"x"] * 9 + [b"z%d" % k]) for k in range(200)]
+    made = decontaminate.SuffixAutomaton.build(items).unpacked()
+    assert len(made.short_items) == 2000
+    spans, hit = made.scan([b"q", b"x", b"y", b"x", b"y"] * 3)
+    assert spans == [1, 5, 6, 10, 11, 15] and hit == set(range(2000))
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    sent = [(Held(pickle.dumps(decontaminate.SuffixAutomaton.build([(k, [b"a", b"b", b"c%d" % k])]))), k) for k in range(4)]
+    monkeypatch.setattr(decontaminate, "RESIDENT_WORDS", 6)
+    decontaminate.LOADED.clear()
+    for _ in range(2):
+        assert [a.scan([b"a", b"b", b"c2"])[1] for a in decontaminate.automata(sent)] == [set(), set(), {2}, set()]
+        assert sorted(decontaminate.LOADED) == [0, 1]
+    decontaminate.LOADED.clear()
+
+
 def test_decontaminate_cuts_passages(spark):
     item = " ".join(f"k{j}" for j in range(12))
     clean = "Clean text, with some  spaces\nand lines. " * 3
