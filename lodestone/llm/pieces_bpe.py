@@ -12,14 +12,19 @@ vocabulary has a mark after another character and none has a line feed (checked
 when the model is loaded), so no merge crosses such a cut. Chunks repeat a lot
 and are memoised.
 
-Two kinds of chunks are exceptions to the method and are merged step by step:
-those that begin with two or more marks (the pieces of marks alone all share one
-score, so leftmost order, not rank, decides between them and the pair test is
-not sound there), and those with a character that no piece has.
+A chunk is cut further at characters that no piece has (they become their bytes
+and merge with nothing) and behind all but the last of its leading marks: the
+pieces of several marks hold nothing else and are scored below all others
+(checked as well), so they merge after everything else. What is left to merging
+step by step are runs of marks alone: their pieces all share one score, so
+leftmost order, not rank, decides between them and the pair test isn't sound. A
+run depends on its length only.
 
 Defined results: a null text counts as empty; an empty text has the begin and
-end ids alone; characters outside the vocabulary fall back to their bytes. Very
-long words cost time in proportion to their length.
+end ids alone; characters outside the vocabulary fall back to their bytes.
+Repeated rows and null ids give a row each. Very long words cost time in
+proportion to their length; very long texts are handled one at a time. An empty
+table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,6 +100,17 @@ class PieceBpe:
             raise ValueError("the model has no byte fallback")
         if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.rank):
             raise ValueError("a piece has a line feed, or a space mark after another character")
+        marks = [p for p in self.rank if p[:2] == MARK * 2]
+        worst = max([self.rank[p][0] for p in marks], default=0)
+        others = max((score for p, (score, _) in self.rank.items() if len(p) > 1 and p not in set(marks)), default=0)
+        letters = set("".join(self.rank))
+        if any(set(p) != {MARK} for p in marks) or (marks and (others >= worst or len({self.rank[p][0] for p in marks}) > 1)):
+            raise ValueError("pieces of several space marks hold other characters or aren't scored below all others")
+        if MARK not in self.rank or not letters <= set(self.rank):
+            raise ValueError("a character of a piece is no piece")
+        self.strange = re.compile("([^" + re.escape("".join(sorted(letters))) + "]+)")
+        self.mark = self.rank[MARK][1]
+        self.runs: dict[int, list[int]] = {}
         names = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == CONTROL}
         self.begin, self.end = names["<s>"], names["</s>"]
         self.automaton = ahocorasick.Automaton()
@@ -174,21 +190,36 @@ class PieceBpe:
         found.reverse()
         return found
 
-    def tokens(self, chunk: str) -> list[str]:
-        """The pieces of one chunk."""
-        found = None if chunk[:2] == MARK * 2 else self.table(chunk)
-        return self.merged(chunk) if found is None else [self.pieces[i][0] for i in found]
+    def run(self, n: int) -> list[int]:
+        """Ids of ``n`` marks alone."""
+        found = self.runs.get(n)
+        if found is None:
+            found = [self.rank[p][1] for p in self.merged(MARK * n)]
+            if n <= MEMO_CHARS:
+                self.runs[n] = found
+        return found
+
+    def chunk_ids(self, chunk: str) -> list[int]:
+        """Ids of a chunk: marks before the last by their number, the rest by prefix tables between strange characters."""
+        n = len(chunk) - len(chunk.lstrip(MARK))
+        if n == len(chunk):
+            return self.run(n)
+        if n > 1:
+            rest = self.chunk_ids(chunk[n - 1 :])
+            # a last mark that the word didn't take joins the others
+            return self.run(n) + rest[1:] if rest[0] == self.mark else self.run(n - 1) + rest
+        found = self.table(chunk)
+        if found is None:
+            found = []
+            for k, part in enumerate(self.strange.split(chunk)):
+                found += [self.bytes_id[b] for b in part.encode()] if k % 2 else self.table(part)
+        return found
 
     def ids_of(self, chunk: str) -> bytes:
         """Ids of a chunk as little-endian unsigned 32-bit integers."""
         found = self.memo.get(chunk)
         if found is None:
-            ids = None if chunk[:2] == MARK * 2 else self.table(chunk)
-            if ids is None:
-                ids = []
-                for piece in self.merged(chunk):
-                    hit = self.rank.get(piece)
-                    ids.extend([hit[1]] if hit else [self.bytes_id[b] for b in piece.encode()])
+            ids = self.chunk_ids(chunk)
             found = struct.pack(f"<{len(ids)}I", *ids)
             if len(chunk) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_LIMIT:

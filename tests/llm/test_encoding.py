@@ -39,8 +39,22 @@ def test_prefix_table_like_merging():
     coder = pieces_bpe.model_at(MODEL)
     rng = random.Random(2)
     for _ in range(2000):
-        chunk = "▁" + "".join(rng.choice("aehinorst🙂é") for _ in range(rng.randint(0, 25)))
-        assert coder.tokens(chunk) == coder.merged(chunk)
+        chunk = "▁" * rng.choice([0, 1, 1, 2, 3, 15, 16, 17, 40]) + "".join(rng.choice("aehinorst🙂é\x01𐍈") for _ in range(rng.randint(0, 25)))
+        want = []
+        for piece in coder.merged(chunk):
+            want += [coder.rank[piece][1]] if piece in coder.rank else [coder.bytes_id[b] for b in piece.encode()]
+        assert (coder.chunk_ids(chunk) if chunk else []) == want
+
+
+def test_only_runs_of_marks_are_merged_step_by_step(monkeypatch):
+    coder = pieces_bpe.PieceBpe(open(MODEL, "rb").read())
+    coder.table("▁warm")
+    stepped, merged = [], coder.merged
+    monkeypatch.setattr(coder, "compatible", lambda left, right: merged(coder.pieces[left][0] + coder.pieces[right][0]) == [coder.pieces[left][0], coder.pieces[right][0]])
+    monkeypatch.setattr(coder, "merged", lambda text: stepped.append(text) or merged(text))
+    for text in ODD + random_texts(7, 500):
+        coder.encode(text)
+    assert any(stepped) and all(set(t) <= {"▁"} for t in stepped)
 
 
 def test_decode_like_the_library(library):
