@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
+import re
+from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -180,6 +184,70 @@ def digest(html) -> str:
 PAGES = [(1, "http://a/", "same"), (2, "http://b/\r\nx", "same"), (3, None, None), (4, "u", ""), (5, "u", "l1\r\n\r\nWARC/1.1\r\n\r\nl2\n"), (6, "u", "é" * 5000), (7, "u", "same"), (8, "u", "\n\n"), (9, "u", "é" * 5000 + "x"), (10, "u", "\r\n\r\n" * 700)]
 
 
+def records_in(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """(fields, block) of the records of a WARC file, cut as the standard says."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:end].decode().split("\r\n")
+        assert version == "WARC/1.1"
+        fields = dict(line.split(": ", 1) for line in lines)
+        assert len(fields) == len(lines)
+        stop = end + 4 + int(fields["Content-Length"])
+        assert data[stop : stop + 4] == b"\r\n\r\n"
+        out.append((fields, data[end + 4 : stop]))
+        at = stop + 4
+    return out
+
+
+def check_archive(path, payloads, want):
+    """The files of an archive, read without the module."""
+    found, names = {}, [f for f in Path(path).iterdir() if not f.name.startswith((".", "_"))]
+    assert names and all(f.name.endswith(".warc.gz") for f in names)
+    heads = []
+    for file in names:
+        origin = None
+        for fields, block in records_in(gzip.decompress(file.read_bytes())):
+            assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Target-URI"} <= set(fields)
+            assert re.fullmatch(r"<[a-z]+:\S+>", fields["WARC-Record-ID"]) and datetime.fromisoformat(fields["WARC-Date"]).tzinfo
+            heads.append(fields)
+            if fields["WARC-Type"] == "continuation":
+                assert fields["WARC-Segment-Origin-ID"] == origin["WARC-Record-ID"] and fields["WARC-Target-URI"] == origin["WARC-Target-URI"]
+                found[origin["WARC-Record-ID"]].append((int(fields["WARC-Segment-Number"]), block))
+                if "WARC-Segment-Total-Length" in fields:
+                    assert int(fields["WARC-Segment-Total-Length"]) == sum(len(b) for _, b in found[origin["WARC-Record-ID"]])
+            else:
+                origin = fields
+                found[fields["WARC-Record-ID"]] = [(1, block)]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads)
+    firsts = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] != "continuation"}
+    assert len(firsts) == len(payloads)
+    for name, head in firsts.items():
+        key, parts = int(name.rstrip(">").rpartition(":")[2]), found[name]
+        assert [n for n, _ in parts] == list(range(1, len(parts) + 1)) and head["WARC-Type"] == want[key][2]
+        assert head["WARC-Payload-Digest"] == f"sha1:{want[key][1]}"
+        if head["WARC-Type"] == "revisit":
+            assert parts == [(1, b"")] and "revisit/identical-payload-digest" in head["WARC-Profile"]
+            referent = firsts[head["WARC-Refers-To"]]
+            assert referent["WARC-Type"] == "response" and referent["WARC-Payload-Digest"] == head["WARC-Payload-Digest"]
+        else:
+            status, body = b"".join(b for _, b in parts).split(b"\r\n\r\n", 1)
+            assert status.startswith(b"HTTP/1.1 200") and body == payloads[key]
+
+
+def test_payload_of_several_default_chunks(spark, tmp_path):
+    long = "".join(f"{k} zeile é\r\n\r\nWARC/1.1\r\n" for k in range(150_000))
+    df = spark.createDataFrame([(1, "u", long), (2, None, "x"), (3, "v", long), (4, "w", long[:-1])], "page_id long, url string, html string")
+    table = warc.chunk_table(df).cache()
+    sizes = [len(r.payload) for r in table.orderBy("page_id", "chunk").where("page_id = 1").collect()]
+    assert len(sizes) > 3 and set(sizes[:-1]) == {1 << 20} and sum(sizes) == len(long.encode())
+    warc.write(table, warc.typed(table), str(tmp_path / "w"))
+    want = {1: (0, digest(long), "revisit"), 2: (0, digest("x"), "response"), 3: (0, digest(long), "response"), 4: (0, digest(long[:-1]), "response")}
+    check_archive(str(tmp_path / "w"), {r.page_id: r.html.encode() for r in df.collect()}, want)
+    rows = {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.archive(df).collect()}
+    assert rows == {i: (len(h.encode()), digest(h), 3 if i == 1 else None) for i, _, h in df.collect()}
+
+
 @pytest.mark.parametrize("chunk_bytes", [7, 1000, 1 << 20])
 def test_archive_round_trip(spark, chunk_bytes, tmp_path):
     df = spark.createDataFrame([(*p, "e") for p in PAGES], "page_id long, url string, html string, record_type string").repartition(3)
@@ -190,7 +258,10 @@ def test_archive_round_trip(spark, chunk_bytes, tmp_path):
     want = {i: (len((h or "").encode()), digest(h), "response" if last[digest(h)] == i else "revisit", None if last[digest(h)] == i else last[digest(h)]) for i, _, h in PAGES}
     assert rows == want
     path = str(tmp_path / "w")
-    warc.write(warc.typed(warc.payloads(df)), path, chunk_bytes)
+    table = warc.chunk_table(df, chunk_bytes)
+    assert all(len(r.payload) <= chunk_bytes for r in table.collect())
+    warc.write(table, warc.typed(table), path)
+    check_archive(path, {i: (h or "").encode() for i, _, h in PAGES}, want)
     chunks: dict[int, list] = {}
     for r in warc.read(spark, path).where("record_type = 'response'").collect():
         assert len(r.payload) <= max(chunk_bytes, 1)
