@@ -302,8 +302,16 @@ def test_top_k_like_brute_force(spark, n, dim, spread):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_many_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=1 + i % 5).astype(np.float32).tolist()) for i in range(600)] + [(7, [0.5, 0.5])] * 200
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, shard_numbers=300).collect())
+    assert got == brute_top_k(rows)
+
+
 def test_top_k_ties_and_hot_vector(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(1000 + i, [0.5, float(i % 7), 1.0]) for i in range(100)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, shard_rows=90).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, shard_numbers=90).collect())
     assert got == brute_top_k(rows)
