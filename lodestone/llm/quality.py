@@ -4,17 +4,26 @@ Features are hashed unigrams and bigrams of the words and of their shapes
 (letters by case, digits, other bytes as they are). Each present n-gram has the
 value of its class log-count ratio; a row is scaled by the root of its length.
 A hinge-loss linear model is fitted by dual coordinate descent, interpolated
-with its mean weight, and its margins are turned into probabilities by a
-sigmoid fitted on sampled rows that the descent did not see.
-
-The fit takes at most ``sample_rows`` labelled rows of each class, those with
-the smallest hash of their id; the ids of that bounded sample are broadcast.
-Scoring covers all rows and uses their text alone.
+with its mean weight. Its margins become probabilities by a sigmoid, fitted on
+cross-fitted margins at every size: the rows of each class, in their order, are cut
+into ``FOLDS`` parts, and a row's margin comes from a model of the other parts (zero where
+these hold one class alone).
+
+The fit takes a bounded sample: at most ``sample_rows`` labelled documents of each
+class, those with the smallest hash of their id, and of these, in that order, as
+many as have ``SAMPLE_FEATURES`` n-grams together (the first one always). Only
+this sample comes to the driver; its ids are broadcast. Of repeated ids the text
+with the smallest hash stands for all. Scoring covers all rows and uses their
+text alone.
 
 Defined results: a null text counts as empty, and an empty text is scored by
 the bias alone. Labels other than 0 and 1, or without a document, take no part;
 of repeated labels of a document the larger holds. With one class alone every
-score is the share of label 1; with no labels it is 0.5.
+score is the share of label 1; with no labels it is 0.5. Repeated rows and null
+ids are scored like any other; a score of exactly the threshold is predicted 1.
+Very long texts are handled one at a time; a text has at most 2**BITS n-grams.
+An empty table gives an empty table; extra columns are ignored by ``classify``
+and pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -27,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, utf8
+from pyspark.sql import Window
+
+from .common import map_text, materialize, release, utf8
 
 BITS = 18
 SAMPLE_ROWS = 3000
+SAMPLE_FEATURES = 4_000_000
+FOLDS = 3
 THRESHOLD = 0.7
 SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 
@@ -77,9 +90,9 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smoothing: floa
 
 
 def descend(
-    rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 7
-) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L1-loss SVM; classes weigh alike. Returns weights and bias."""
+    rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 7, tolerance: float = 1e-3
+) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent for the L1-loss SVM; classes weigh alike. Returns weights, bias and dual variables."""
     random = np.random.default_rng(seed)
     signs = np.where(labels == 1, 1.0, -1.0)
     share = np.bincount(labels, minlength=2) / len(labels)
@@ -98,9 +111,9 @@ def descend(
                 bias += step * y
                 alpha[i] = new
                 moved = max(moved, abs(step))
-        if moved < 1e-3:
+        if moved < tolerance:
             break
-    return w, bias
+    return w, bias, alpha
 
 
 def sigmoid_fit(margins: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[float, float]:
@@ -121,21 +134,31 @@ def sigmoid_fit(margins: np.ndarray, labels: np.ndarray, rounds: int = 100) -> t
     return float(a), float(b)
 
 
+def linear(rows: list[np.ndarray], labels: np.ndarray, interpolation: float) -> Model:
+    """Weights and bias of the rows; nothing where a class is missing."""
+    if len(set(labels.tolist())) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, 0.0)
+    ratios = log_count_ratios(rows, labels)
+    w, bias, _ = descend(rows, labels, ratios)
+    w = interpolation * w + (1 - interpolation) * np.abs(w).mean()
+    return Model((w * ratios).astype(np.float32), bias, 1.0, 0.0)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, interpolation: float = 0.9) -> Model:
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.5
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    held = np.arange(len(rows)) % 5 == 0
-    if len(rows) < 40 or len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
-        held[:] = False
-    own = [r for r, h in zip(rows, held, strict=True) if not h]
-    ratios = log_count_ratios(own, labels[~held])
-    w, bias = descend(own, labels[~held], ratios)
-    w = interpolation * w + (1 - interpolation) * np.abs(w).mean()
-    model = Model((w * ratios).astype(np.float32), bias, 1.0, 0.0)
-    rest = held if held.any() else ~held
-    margins = np.array([model.margin(r) for r, h in zip(rows, rest, strict=True) if h])
-    return Model(model.weights, bias, *sigmoid_fit(margins, labels[rest]))
+    fold = np.zeros(len(rows), int)
+    for label in (0, 1):
+        own = np.flatnonzero(labels == label)
+        fold[own] = np.arange(len(own)) * FOLDS // max(len(own), 1)
+    margins = np.zeros(len(rows))
+    for k in range(FOLDS):
+        other = linear([r for r, f in zip(rows, fold, strict=True) if f != k], labels[fold != k], interpolation)
+        for i in np.flatnonzero(fold == k):
+            margins[i] = other.margin(rows[i])
+    model = linear(rows, labels, interpolation)
+    return Model(model.weights, model.bias, *sigmoid_fit(margins, labels))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,14 +181,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return fit([], np.zeros(0, int))
     ids = spark.createDataFrame(chosen, "doc_id long, quality int")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = sample.join(F.broadcast(ids), "doc_id")
+    sample = sample.join(F.broadcast(ids), "doc_id")  # sample_rows of each class at most
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(t).tobytes() for t in utf8(batch.column(1))]
-        return pa.record_batch([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "quality", "found"])
-
-    got = map_text(sample, step, "doc_id long, quality int, found binary").collect()
-    got.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["found"])))
+        found = [features(t) for t in utf8(batch.column("text"))]
+        columns = [pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
+        return pa.record_batch([batch.column("doc_id"), batch.column("quality"), *columns], ["doc_id", "quality", "n", "found"])
+
+    rows = materialize(map_text(sample, step, "doc_id long, quality int, n long, found binary"), "sample")
+    # sample_rows rows a class at most
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    held = rows.select("doc_id", F.sum("n").over(order).alias("so_far"), F.row_number().over(order).alias("place"))
+    kept = held.where((F.col("so_far") <= SAMPLE_FEATURES) | (F.col("place") == 1)).select("doc_id")
+    got = rows.join(kept, "doc_id").collect()
+    release(rows)
+    got.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return fit([np.frombuffer(r["found"], np.int32) for r in got], np.array([r["quality"] for r in got], int))
 
 

@@ -56,6 +56,102 @@ def test_quality_defined_cases(spark):
     assert kept.columns == docs.columns and kept.count() == 5
 
 
+def plain_features(text):
+    """The n-grams' numbers with Python's own integers."""
+    words = text.split()
+    shapes = [bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in w) for w in words]
+    own, shape = [crc32(w) for w in words], [crc32(w) for w in shapes]
+    grams = own + [s ^ 1 << 40 for s in shape]
+    grams += [3 * a + b * 0x100000001 for a, b in zip(own, own[1:], strict=False)]
+    grams += [(5 * a + b * 0x200000003) % 2**64 ^ 1 << 50 for a, b in zip(shape, shape[1:], strict=False)]
+    return {(g * 0x9E3779B97F4A7C15 % 2**64) >> 64 - quality.BITS for g in grams}
+
+
+def test_quality_like_plain_version(spark):
+    """Ratios, objective, cross-fitted sigmoid and scores, from their definitions."""
+    rng = random.Random(8)
+    word = lambda good: rng.choice(["fine", "clear", "Text", "idea", "é1"] if good else ["BUY", "now!!", "$$$", "click", "44"]) if rng.random() < 0.6 else rng.choice(["the", "a", "of", "it"])
+    texts = [(i, " ".join(word(i % 3 > 0) for _ in range(rng.randint(3, 30)))) for i in range(90)] + [(200, ""), (201, "never seen words")]
+    learned = [(i, t, int(i % 3 > 0)) for i, t in texts[:90] if crc32(str(i).encode()) % 4 != 2]
+    learned.sort(key=lambda r: (crc32(str(r[0]).encode()), r[0]))
+
+    def parts(rows):
+        counts = [{}, {}]
+        for _, t, y in rows:
+            for f in plain_features(t.encode()):
+                counts[y][f] = counts[y].get(f, 0) + 1
+        size = 1 << quality.BITS
+        totals = [sum(c.values()) + size for c in counts]
+        seen = sorted(set(counts[0]) | set(counts[1]))
+        base = np.log(totals[0] / totals[1])
+        ratio = {f: float(np.log((counts[1].get(f, 0) + 1) / (counts[0].get(f, 0) + 1)) + base) for f in seen}
+        found = [np.array(sorted(plain_features(t.encode())), np.int32) for _, t, _ in rows]
+        labels = np.array([y for _, _, y in rows])
+        assert all(np.array_equal(f, quality.features(t.encode())) for f, (_, t, _) in zip(found, rows, strict=True))
+        got = quality.log_count_ratios(found, labels)
+        assert np.allclose([got[f] for f in seen], [ratio[f] for f in seen])
+        w, bias, alpha = quality.descend(found, labels, got)
+        values = [{int(f): ratio[int(f)] / len(fs) ** 0.5 for f in fs} for fs in found]
+        signs = [1 if y else -1 for y in labels]
+        cost = [len(rows) / (2 * sum(1 for z in labels if z == y)) for y in labels]
+        plain_w = {f: sum(a * y * v.get(f, 0.0) for a, y, v in zip(alpha, signs, values, strict=True)) for f in seen}
+        assert np.allclose([w[f] for f in seen], [plain_w[f] for f in seen], atol=1e-6)
+        assert abs(bias - sum(a * y for a, y in zip(alpha, signs, strict=True))) < 1e-6
+        assert all(-1e-9 <= a <= c + 1e-9 for a, c in zip(alpha, cost, strict=True))
+        half = (sum(x * x for x in plain_w.values()) + bias * bias) / 2
+        margins = [sum(plain_w[f] * x for f, x in v.items()) + bias for v in values]
+        primal = half + sum(c * max(0, 1 - y * m) for c, y, m in zip(cost, signs, margins, strict=True))
+        dual = sum(alpha) - half
+        assert dual <= primal + 1e-9 and primal - dual < 0.05 * primal  # the rounds are bounded; with more the gap closes
+        long_w, long_bias, long_alpha = quality.descend(found, labels, got, rounds=2000, tolerance=1e-6)
+        long_half = (long_w @ long_w + long_bias**2) / 2
+        long_margins = [sum(long_w[f] * x for f, x in v.items()) + long_bias for v in values]
+        long_primal = long_half + sum(c * max(0, 1 - y * m) for c, y, m in zip(cost, signs, long_margins, strict=True))
+        assert -1e-9 <= long_primal - (sum(long_alpha) - long_half) < 0.005 * long_primal
+        mean = sum(abs(x) for x in plain_w.values()) / size
+
+        def margin(text):
+            fs = plain_features(text.encode())
+            unseen = base  # the ratio of an n-gram that no row has
+            return (sum((0.9 * plain_w.get(f, 0.0) + 0.1 * mean) * ratio.get(f, unseen) for f in fs) / len(fs) ** 0.5 if fs else 0.0) + bias
+
+        return margin
+
+    place, fold = [0, 0], []
+    for _, _, y in learned:
+        fold.append(place[y] * quality.FOLDS // sum(1 for r in learned if r[2] == y))
+        place[y] += 1
+    margins = np.zeros(len(learned))
+    for k in range(quality.FOLDS):
+        other = parts([r for r, f in zip(learned, fold, strict=True) if f != k])
+        for i, f in enumerate(fold):
+            if f == k:
+                margins[i] = other(learned[i][1])
+    slope, shift = quality.sigmoid_fit(margins, np.array([y for _, _, y in learned]))
+    margin = parts(learned)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality.classify(documents(spark, texts), labels).collect()}
+    for i, text in texts:
+        want = 1 / (1 + np.exp(-(slope * margin(text) + shift)))
+        assert abs(rows[i].score - want) < 1e-4, (i, text)
+        assert rows[i].held_out == (crc32(str(i).encode()) % 4 == 2)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    docs = documents(spark, [(i, f"row {i} " + "word " * (i % 5)) for i in range(60)] + [(1, "another text of one id")] * 50)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: seen.append((len(rows), sum(map(len, rows)), np.bincount(labels).tolist())) or quality.Model(np.zeros(1 << quality.BITS), 0.0, 0.0, float(np.log(0.7 / 0.3))))
+    rows = quality.classify(docs, labels).collect()
+    assert seen[0][0] == sum(crc32(str(i).encode()) % 4 != 2 for i in range(60))
+    assert {(round(r.score, 9), r.predicted) for r in rows} == {(0.7, 1)} or all(r.predicted == (r.score >= 0.7) for r in rows)
+    monkeypatch.setattr(quality, "SAMPLE_FEATURES", 60)
+    quality.classify(docs, labels)
+    assert seen[1][1] <= 120 and min(seen[1][2]) >= 1
+    quality.classify(docs, labels, sample_rows=4)
+    assert seen[2][2] == [4, 4]
+
+
 def test_descent_separates():
     rows = [np.array([0, 1 + i % 3], np.int32) for i in range(30)] + [np.array([0, 10 + i % 3], np.int32) for i in range(30)]
     labels = np.array([1] * 30 + [0] * 30)
