@@ -43,10 +43,10 @@ LABELS = {
     "components": "Components", "hooks": "Hooks", "pages": "Pages", "external": "External APIs", "other": "Other",
 }
 SENSITIVE = (
-    r"(?:^|/)(?:\.env|\.env\.[^/]*|[^/]*\.pem|[^/]*\.key|id_rsa|id_dsa|id_ecdsa|id_ed25519|credentials|credentials\.json)\z"
+    r"(?:^|/)(?:\.env|\.env\.[^/]*|[^/]*\.pem|[^/]*\.key|id_rsa|id_ed25519|credentials|credentials\.json|secret\.json)\z"
     r"|(?:^|/)secrets/|/\.git/"
 )
-TEST = r"(?:^|/)(?:test|tests|__tests__)/|(?:^|/)(?:[^/]*\.(?:test|spec)\.[^/]*|[^/]*_test\.rs|[^/]*_test\.py|test_[^/]*)\z"
+TEST = r"/(?:test|tests|__tests__)/|(?:^|/)(?:[^/]*\.(?:test|spec)\.[^/]*|[^/]*_test\.rs|[^/]*_test\.py|test_[^/]*)\z"
 ROUTE = (
     r"(?:^|[/.\-_])(?:route|routes|pages|handlers|handler)(?=[/.\-_]|\z)|/api/"
     r"|(?:^|/)(?:page\.tsx|page\.jsx|page\.ts|route\.ts|route\.tsx|layout\.tsx)\z"
@@ -92,7 +92,7 @@ def is_sensitive(path: Column) -> Column:
 
 def is_test(path: Column) -> Column:
     lowered = normal(path)
-    return lowered.rlike(TEST) & ~lowered.rlike(r"(?:^|/)fixtures/")
+    return lowered.rlike(TEST) & ~lowered.contains("/fixtures/")
 
 
 def is_route(path: Column) -> Column:
@@ -101,7 +101,8 @@ def is_route(path: Column) -> Column:
 
 def is_component(path: Column, name: Column, kind: Column) -> Column:
     exact = path.rlike(r"(?:^|[/\\.\-_])components?(?=[/\\.\-_]|\z)")
-    return (kind == "component") | exact | (uses_jsx(path) & name.rlike(r"^\p{Lu}"))
+    jsx = path.endswith(".tsx") | path.endswith(".jsx")
+    return (kind == "component") | exact | (jsx & name.rlike(r"^\p{Lu}"))
 
 
 def layer(path: Column) -> Column:

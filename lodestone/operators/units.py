@@ -72,6 +72,6 @@ def check_limits(files: DataFrame, max_file: int = 1 << 20, max_files: int = 100
     """The files within the size limit; too many files or bytes are an error."""
     kept = files.where((F.col("size_bytes") <= max_file) & (F.col("size_bytes") > 0))
     total = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
-    if total["n"] >= max_files or total["b"] > max_bytes:
+    if total["n"] > max_files or total["b"] > max_bytes:
         raise ValueError(f"too many files ({total['n']}) or bytes ({total['b']})")
     return kept

@@ -45,9 +45,9 @@ def bucket(c: str) -> str:
 
 DIRECTORIES = (
     "src/api", "src/services", "src/db", "src/pages", "src/components", "src/hooks", "src/workers", "src/clients",
-    "src/repository", "lib", "secrets", "tests", "src/handlers", "src/routes",
+    "src/repository", "lib", "secrets", "tests", "src/handlers", "src/routes", "src/tests", "fixtures", "pkg/fixtures/test",
 )
-SUFFIXES = (".ts", ".tsx", ".js", ".rs", ".py", ".test.ts", ".env", ".jsx", ".pem")
+SUFFIXES = (".ts", ".tsx", ".js", ".rs", ".py", ".test.ts", ".env", ".jsx", ".pem", "/secret.json", "/id_dsa", "_test.py")
 KINDS = ("function", "method", "class", "struct", "enum", "trait", "interface", "component", "constant", "variable")
 
 
@@ -60,8 +60,8 @@ def lines_sql(c: str) -> str:
     return f"CASE WHEN {c} = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split({body}, chr(10)), lambda x: CASE WHEN ends_with(x, chr(13)) THEN substr(x, 1, length(x) - 1) ELSE x END) END"
 
 
-SENSITIVE = """(base = '.env' OR starts_with(base, '.env.') OR ends_with(base, '.pem') OR ends_with(base, '.key')
-  OR base IN ('id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519', 'credentials', 'credentials.json')
+SENSITIVE = """(base IN ('.env', 'id_rsa', 'id_ed25519', 'credentials', 'credentials.json', 'secret.json')
+  OR starts_with(base, '.env.') OR ends_with(base, '.pem') OR ends_with(base, '.key')
   OR starts_with(lpath, 'secrets/') OR contains(lpath, '/secrets/') OR contains(lpath, '/.git/'))"""
 
 FILES = f"""
@@ -129,6 +129,6 @@ edges AS (
   UNION ALL SELECT 'part:' || p_partkey, p_name, 'class', 'src/db/p' || p_partkey || '.rs' FROM part
   UNION ALL SELECT 'supp:' || s_suppkey, s_name, 'struct', 'src/services/s' || s_suppkey || '.py' FROM supplier
   UNION ALL SELECT 'cust:' || c_custkey, c_name, 'function', 'src/components/c' || c_custkey || '.tsx' FROM customer
-  UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'enum', 'tests/n' || n_nationkey || '.ts' FROM nation
+  UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'enum', 'src/tests/n' || n_nationkey || '.ts' FROM nation
   UNION ALL SELECT 'region:' || r_regionkey, r_name, 'trait', 'lib/r' || r_regionkey || '.js' FROM region
 )"""

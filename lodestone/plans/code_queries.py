@@ -29,9 +29,9 @@ LAYER = f"""CASE
   WHEN {seg("hook|hooks")} THEN 'hooks'
   WHEN {seg("client|clients|external|integration|integrations")} THEN 'external'
   ELSE 'other' END"""
-TEST = """((starts_with(lpath, 'tests/') OR contains(lpath, '/tests/') OR contains(lpath, '/test/') OR contains(lpath, '/__tests__/')
+TEST = """((contains(lpath, '/tests/') OR contains(lpath, '/test/') OR contains(lpath, '/__tests__/')
   OR contains(base, '.test.') OR contains(base, '.spec.') OR ends_with(base, '_test.rs') OR ends_with(base, '_test.py') OR starts_with(base, 'test_'))
-  AND NOT contains('/' || lpath, '/fixtures/'))"""
+  AND NOT contains(lpath, '/fixtures/'))"""
 ROUTE = f"""({seg("route|routes|pages|handlers|handler")} OR contains(lpath, '/api/')
   OR base IN ('page.tsx', 'page.jsx', 'page.ts', 'route.ts', 'route.tsx', 'layout.tsx'))"""
 ORDER = "list_position(['api','services','repositories','database','workers','components','hooks','pages','external','other'], layer) - 1"
@@ -56,7 +56,7 @@ def path_classes(spark, sf_dir):
 
 
 COMPONENT = f"""(kind = 'component' OR regexp_matches(path, '(?:^|[/.\\-_])components?(?:[/.\\-_]|$)')
-  OR (regexp_matches({low("path")}, '\\.(tsx|jsx)$') AND regexp_matches(name, '^\\p{{Lu}}')))"""
+  OR (regexp_matches(path, '\\.(tsx|jsx)$') AND regexp_matches(name, '^\\p{{Lu}}')))"""
 
 
 @query(

@@ -96,7 +96,7 @@ IMPACT = f"""WITH RECURSIVE {EDGES}, back AS (SELECT DISTINCT target_id AS a, so
 walk(symbol_id, depth) AS (SELECT '{ORIGIN}', 0 UNION SELECT b, depth + 1 FROM walk JOIN back ON a = symbol_id WHERE depth < 16),
 reached AS (SELECT symbol_id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY symbol_id),
 report AS (SELECT r.symbol_id, n.name, n.path, r.depth, r.depth = 1 AS direct, r.depth > 1 AS indirect,
-  r.depth > 0 AND starts_with(n.path, 'tests/') AS is_test, r.depth > 0 AND contains(n.path, '/api/') AS is_route,
+  r.depth > 0 AND contains(n.path, '/tests/') AS is_test, r.depth > 0 AND contains(n.path, '/api/') AS is_route,
   r.depth > 0 AND (contains(n.path, '/components/') OR (ends_with(n.path, '.tsx') AND regexp_matches(n.name, '^\\p{{Lu}}'))) AS is_component
  FROM reached r JOIN nodes n USING (symbol_id))"""
 
@@ -114,7 +114,7 @@ def graph_impact(spark, sf_dir):
 @query(
     IMPACT
     + """, g AS (SELECT path, count(*) AS symbols, bool_or(is_component) AS c FROM report GROUP BY path)
- SELECT path, symbols, coalesce(nullif(concat_ws(',', CASE WHEN starts_with(path, 'tests/') THEN 'test' END, CASE WHEN contains(path, '/api/') THEN 'route' END,
+ SELECT path, symbols, coalesce(nullif(concat_ws(',', CASE WHEN contains(path, '/tests/') THEN 'test' END, CASE WHEN contains(path, '/api/') THEN 'route' END,
   CASE WHEN c THEN 'component' END, CASE WHEN contains(path, '/services/') THEN 'service' END), ''), 'other') AS roles FROM g"""
 )
 def graph_impact_files(spark, sf_dir):

@@ -100,7 +100,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("part", "part", "p_partkey", F.col("p_name"), "class", "src/db/p", ".rs"),
         ("supplier", "supp", "s_suppkey", F.col("s_name"), "struct", "src/services/s", ".py"),
         ("customer", "cust", "c_custkey", F.col("c_name"), "function", "src/components/c", ".tsx"),
-        ("nation", "nation", "n_nationkey", F.col("n_name"), "enum", "tests/n", ".ts"),
+        ("nation", "nation", "n_nationkey", F.col("n_name"), "enum", "src/tests/n", ".ts"),
         ("region", "region", "r_regionkey", F.col("r_name"), "trait", "lib/r", ".js"),
     ]
     out = None

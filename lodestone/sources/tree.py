@@ -2,66 +2,179 @@
 
 from __future__ import annotations
 
+import os
 import re
-from pathlib import Path
+from collections.abc import Iterator
+from pathlib import PurePosixPath
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.text import uuid5
-from ..operators.units import check_limits
 
 MAX_FILE, MAX_FILES, MAX_BYTES = 1 << 20, 100_000, 512 << 20
+LISTED = "path string, size_bytes long"
+SENSITIVE = re.compile(P.SENSITIVE.replace(r"\z", r"\Z"))  # the end of a text in this dialect
+
+
+def limits() -> dict[str, int]:
+    """The limits of a walk, as the environment sets them (bytes of a file, files, bytes in all)."""
+    keys = {"max_file": ("LODESTONE_MAX_FILE_BYTES", MAX_FILE), "max_files": ("LODESTONE_MAX_FILES", MAX_FILES), "max_bytes": ("LODESTONE_MAX_REPO_BYTES", MAX_BYTES)}
+    return {name: int(os.environ.get(key) or default) for name, (key, default) in keys.items()}
 
 
 def glob_regex(glob: str) -> str:
     """One path segment of an ignore rule as a regular expression."""
     out = ""
-    for piece in re.findall(r"\[[^\]]*\]|.", glob):
-        out += "[^/]*" if piece == "*" else "[^/]" if piece == "?" else piece if len(piece) > 1 else re.escape(piece)
+    for piece in re.findall(r"\\.|\[[!^]?\]?[^\]]*\]|.", glob):
+        if piece in "*?":
+            out += "[^/]*" if piece == "*" else "[^/]"
+        elif len(piece) > 1 and piece[0] == "[":
+            out += re.sub(r"^\[[!^]", "[^/", piece)
+        else:
+            out += re.escape(piece[-1])
     return out
 
 
-def ignore_rules(lines: list[str]) -> list[tuple[bool, str]]:
-    """Ignore-file lines as (keeps, regex over the relative path); a later rule overrules an earlier one."""
+def ignore_rules(lines: list[str]) -> list[tuple[bool, bool, re.Pattern]]:
+    """Ignore-file lines as (keeps, folders only, pattern over the path below the file's folder); the last that fits holds."""
     rules = []
     for line in lines:
-        rule = line.strip()
+        rule = re.sub(r"(?<!\\)\s+$", "", line)
         if not rule or rule.startswith("#"):
             continue
-        keeps, rule = rule.startswith("!"), rule.removeprefix("!")
-        head = "" if "/" in rule.rstrip("/") else "(?:.*/)?"
-        parts = ["(?:.*/)?" if p == "**" else glob_regex(p) + "/" for p in rule.strip("/").split("/")]
-        body = "".join(parts).removesuffix("/")
-        rules.append((keeps, f"^{head}{body}{'/.*' if rule.endswith('/') else '(?:/.*)?'}$"))
+        keeps = rule.startswith("!")
+        rule = rule[keeps:]
+        folders, rule = rule.endswith("/"), rule.rstrip("/")
+        if not rule:
+            continue
+        segments = rule.lstrip("/").split("/")
+        body = "" if "/" in rule else "(?:.*/)?"
+        for k, part in enumerate(segments):
+            last = k == len(segments) - 1
+            body += (".+" if last else "(?:.*/)?") if part == "**" else glob_regex(part) + ("" if last else "/")
+        rules.append((keeps, folders, re.compile(body, re.S)))
     return rules
 
 
+def verdict(rules: list[tuple[bool, bool, re.Pattern]], path: str, is_folder: bool) -> bool | None:
+    """Whether the rules ignore a path; None if none fits."""
+    for keeps, folders, pattern in reversed(rules):
+        if (is_folder or not folders) and pattern.fullmatch(path):
+            return not keeps
+    return None
+
+
+def opened(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder (a local path or a URI) and its path there."""
+    if "://" in root or root.startswith("file:"):
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
+
+
+def read_lines(store: fs.FileSystem, path: str) -> list[str]:
+    if store.get_file_info(path).type != fs.FileType.File:
+        return []
+    with store.open_input_stream(path) as stream:
+        return stream.read().decode("utf-8", "replace").splitlines()
+
+
+class Ignores:
+    """The ignore rules above an entry: ``.ignore`` files, then version control's files where there is a repository.
+
+    Of each kind the nearest folder with a rule that fits decides. A user's
+    global ignore file isn't read.
+    """
+
+    def __init__(self, store: fs.FileSystem, root: str):
+        self.store = store
+        self.levels: dict[str, tuple[list, list]] = {}
+        ancestors = [PurePosixPath(root), *PurePosixPath(root).parents]
+        repository = next((a for a in ancestors if store.get_file_info(f"{a}/.git").type != fs.FileType.NotFound), None)
+        self.in_repository = repository is not None
+        above = ancestors[: ancestors.index(repository) + 1] if repository else ancestors[:1]
+        self.exclude = ignore_rules(read_lines(store, f"{repository}/.git/info/exclude")) if repository else []
+        self.top = str(above[-1])
+        for folder in above:
+            self.enter(str(folder))
+
+    def enter(self, folder: str) -> None:
+        git = ignore_rules(read_lines(self.store, f"{folder}/.gitignore")) if self.in_repository else []
+        self.levels[folder] = ignore_rules(read_lines(self.store, f"{folder}/.ignore")), git
+
+    def ignored(self, path: str, is_folder: bool) -> bool:
+        for kind in (0, 1):
+            for folder in map(str, PurePosixPath(path).parents):
+                rules = self.levels.get(folder, ([], []))[kind]
+                found = verdict(rules, path[len(folder.rstrip("/")) + 1 :], is_folder) if rules else None
+                if found is not None:
+                    return found
+        return bool(verdict(self.exclude, path[len(self.top.rstrip("/")) + 1 :], is_folder))
+
+
+def language_of(path: str) -> str | None:
+    """The language of a file name, as ``paths.language`` has it for columns."""
+    ext = PurePosixPath(path).name.rpartition(".")[2].lower() if "." in path else ""
+    return next((name for name, exts in P.EXTENSIONS.items() if ext in exts), None)
+
+
+def listing(root: str, max_file: int = MAX_FILE, max_files: int = MAX_FILES) -> list[tuple[str, int]]:
+    """(path below the folder, bytes) of the source files that count, names beginning with ``.`` or ``_`` too.
+
+    Only names and sizes come to the driver, and no more than the limit: beyond
+    it is an error. Empty, oversize and ignored files and pruned folders are
+    passed over.
+    """
+    store, base = opened(root)
+    ignores, out = Ignores(store, base), []
+    folders = [base]
+    while folders:
+        for info in sorted(store.get_file_info(fs.FileSelector(folders.pop())), key=lambda i: i.path, reverse=True):
+            if info.type == fs.FileType.Directory:
+                if info.base_name not in P.PRUNED_DIRECTORIES and not ignores.ignored(info.path, True):
+                    ignores.enter(info.path)
+                    folders.append(info.path)
+            elif info.type == fs.FileType.File and language_of(info.base_name) and 0 < info.size <= max_file:
+                path = info.path[len(base.rstrip("/")) + 1 :]
+                if not ignores.ignored(info.path, False) and not SENSITIVE.search(path.replace("\\", "/").lower()):
+                    out.append((path, info.size))
+                    if len(out) > max_files:
+                        raise ValueError(f"too many files (over {max_files})")
+    return sorted(out)
+
+
+def contents_of(names: DataFrame, root: str) -> DataFrame:
+    """(path, size_bytes, content): the files of a listing, read by the executors that hold their names."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(f"{base}/{path}") as stream:
+                    data = stream.read()
+                yield pa.record_batch([pa.array([path]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], ["path", "size_bytes", "content"])
+
+    return names.select("path").mapInArrow(read, "path string, size_bytes long, content binary")
+
+
 def walk(spark: SparkSession, root: str, max_file: int = MAX_FILE, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, repository_id: str | None = None) -> DataFrame:
     """Files of the four languages below a folder: file_id, path, language, size_bytes, hash, text.
 
     Pruned directories, ignored, sensitive, empty and oversize files are left
     out; too many files or bytes are an error. Bytes that aren't UTF-8 become
-    replacement characters.
+    replacement characters. The folder must be one that all executors see.
     """
-    base = str(Path(root).resolve())
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.substr(F.regexp_replace("path", r"^file:/+", "/"), F.lit(len(base) + 2))
-    rows = found.withColumn("path", F.url_decode(path)).withColumnRenamed("length", "size_bytes")
-    pruned = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, P.PRUNED_DIRECTORIES)))
-    ignored = F.lit(False)
-    listed = Path(root) / ".gitignore"
-    for keeps, regex in ignore_rules(listed.read_text().splitlines() if listed.exists() else []):
-        ignored = F.when(F.col("path").rlike(regex), F.lit(not keeps)).otherwise(ignored)
-    rows = rows.withColumn("language", P.language(F.col("path"))).where(
-        F.col("language").isNotNull() & ~pruned & ~ignored & ~P.is_sensitive(F.col("path"))
-    )
-    checked = check_limits(rows.select("path", "size_bytes"), max_file, max_files, max_bytes)
-    kept = rows.join(checked.select("path"), "path", "left_semi")
+    rows = listing(root, max_file, max_files)
+    if sum(size for _, size in rows) > max_bytes:
+        raise ValueError(f"too many bytes in {len(rows)} files")
+    names = spark.createDataFrame(rows, LISTED).repartition(max(1, min(256, len(rows) // 64 + 1)), "path")
+    read = contents_of(names, root).withColumn("language", P.language(F.col("path")))
     text = F.decode("content", "UTF-8")
     file_id = uuid5(F.lit(repository_id), F.col("path")) if repository_id else F.sha1(F.col("path").cast("binary"))
-    return kept.select(file_id.alias("file_id"), "path", "language", "size_bytes", F.sha2("content", 256).alias("hash"), text.alias("text"))
+    return read.select(file_id.alias("file_id"), "path", "language", "size_bytes", F.sha2("content", 256).alias("hash"), text.alias("text"))
 
 
 def contents(files: DataFrame, path: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_paths(spark):
     found = one(spark, P.module_candidates(F.lit("src/a/x.ts"), F.lit("../b.c")))
     assert found[0] == "src/b.ts" and found[6] == "src/b.c/index.ts" and found[-1] == "src/b.c" and len(found) == 11
     assert one(spark, P.module_candidates(F.lit("src/a/x.ts"), F.lit("react"))) == []
-    for path, want in (("src/a.test.ts", True), ("tests/x.py", True), ("a_test.rs", True), ("test_a.py", True), ("tests/fixtures/a.ts", False), ("src/latest/x.ts", False)):
+    for path, want in (("src/a.test.ts", True), ("tests/x.py", False), ("src/tests/x.py", True), ("fixtures/test_a.py", True), ("src/fixtures/a.test.ts", False), ("a_test.rs", True), ("test_a.py", True), ("tests/fixtures/a.ts", False), ("src/latest/x.ts", False)):
         assert one(spark, P.is_test(F.lit(path))) is want, path
     for path, want in (("src/routes/a.ts", True), ("src/api/a.ts", True), ("app/layout.tsx", True), ("src/router.ts", False)):
         assert one(spark, P.is_route(F.lit(path))) is want, path

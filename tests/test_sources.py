@@ -106,6 +106,7 @@ def root(tmp_path_factory):
     for path, text in SOURCES.items():
         (base / path).parent.mkdir(parents=True, exist_ok=True)
         (base / path).write_text(text)
+    run(str(base), "init", "-q", "-b", "main")  # ignore files count within a repository only
     return str(base)
 
 
@@ -117,6 +118,26 @@ def facts(spark, root):
     return {name: [(paths[r.file_id].rpartition("/")[2], r) for r in rows.collect()] for name, rows in found.items()}
 
 
+def test_walk_keeps_hidden_names_and_nested_ignore_rules(spark, tmp_path):
+    kept = ["pkg/b.py", "pkg/__init__.py", "pkg/_private.py", "src/__tests__/a.ts", ".github/tool.js", "sub/keep/x.py", "sub/deep/build_me.py", "odd name+%41.py"]
+    gone = [
+        "sub/gen/x.py", "sub/x_gen.py", "sub/deep/local.py", "top.gen.ts", "secrets/a.py", "node_modules/a.js", "docs/a/b/c.py", "excluded.py",
+        "sub/dotignored.py", "empty.py", "a.txt",
+    ]
+    for name in kept + gone:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.py" else "x = 1\n")
+    (tmp_path / ".git/info").mkdir(parents=True)
+    (tmp_path / ".git/info/exclude").write_text("excluded.py\nsub/keep/\n")
+    (tmp_path / ".gitignore").write_text("# made\n*.gen.ts\n/local.py\ndocs/**/c.py\n")
+    (tmp_path / "sub/.gitignore").write_text("gen/\n*_gen.py\nkeep/\n!keep/\ndeep/l[a-o]cal.py\n")
+    (tmp_path / "sub/.ignore").write_text("dotignored.py\n")
+    assert sorted(r.path for r in tree.walk(spark, str(tmp_path)).collect()) == sorted(kept)
+    with pytest.raises(ValueError):
+        tree.walk(spark, str(tmp_path), max_files=len(kept) - 1)
+    assert tree.walk(spark, str(tmp_path), max_files=len(kept)).count() == len(kept)
+
+
 def test_walk(spark, root):
     rows = tree.walk(spark, root).collect()
     assert sorted(r.path for r in rows) == ["src/auth.rs", "src/clients/mail.ts", "src/components/Button.tsx", "src/jobs/sync.py", "src/services/orders.ts"]
