@@ -30,18 +30,19 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of long values -> one row (node, root) per node that has an edge.
 
     The root is the least node of the component. Edges may repeat and may run
     either way. Every round is written to the shared folder, so no lineage grows
-    and a lost executor costs one round.
+    and a lost executor costs one round; the number of rounds grows with the
+    logarithm of a component's size.
     """
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     seen = None
-    for _ in range(rounds):
+    while True:
         summary = now.agg(
             F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
@@ -53,4 +54,3 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         new = materialize(star(star(now, large=True), large=False), "edges")
         release(now)
         now = new
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
