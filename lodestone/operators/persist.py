@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, unless their path has it already."""
+    path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if getattr(context, "_lodestone_sent", False) or str(ROOT) in path or not ROOT.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp()) / "lodestone.zip"  # the driver's own; Spark sends it on
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((ROOT / "lodestone").rglob("*.py")):
+            out.write(file, file.relative_to(ROOT))
+    context.addPyFile(str(archive))
+    if str(archive) in sys.path:
+        sys.path.remove(str(archive))
+    context._lodestone_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs on one machine, as in tests."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set(CHECKPOINT_KEY, folder)
     return folder.rstrip("/")

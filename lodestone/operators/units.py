@@ -32,10 +32,15 @@ def build_units(symbols: DataFrame, files: DataFrame) -> DataFrame:
     sources = files.where(~P.is_sensitive(F.col("path")) & F.col("text").isNotNull()).select(
         "file_id", "path", "language", X.lines(F.col("text")).alias("all_lines")
     )
-    text = X.snippet(F.col("all_lines"), F.col("start_line"), F.col("end_line"))
+    own = ("symbol_id", "ord", "name", "kind", "start_line", "end_line")
+    # a file's symbols meet its lines in one row, where the snippets are cut; only these leave it
+    listed = symbols.groupBy("file_id").agg(F.collect_list(F.struct(*own)).alias("symbols"))
+    lines = F.col("all_lines")
+    cut = F.transform("symbols", lambda s: F.struct(s.alias("s"), X.snippet(lines, s["start_line"], s["end_line"]).alias("text")))
     return (
-        symbols.join(sources, "file_id")
-        .select("symbol_id", "file_id", "ord", "name", "kind", "path", "language", "start_line", "end_line", text.alias("text"))
+        sources.join(listed, "file_id")
+        .select("file_id", "path", "language", F.explode(cut).alias("u"))
+        .select("u.s.symbol_id", "file_id", "u.s.ord", "u.s.name", "u.s.kind", "path", "language", "u.s.start_line", "u.s.end_line", "u.text")
         .where((F.trim("text", F.lit(" \t\n\r")) != "") & ~X.looks_like_secret(F.col("text")))
     )
 

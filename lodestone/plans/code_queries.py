@@ -340,7 +340,7 @@ def hybrid_sql(q: str) -> str:
 
 @query(hybrid_sql("pages"))
 def hybrid_search(spark, sf_dir):
-    return search.hybrid_search(views.symbols(spark, sf_dir), views.files(spark, sf_dir), views.units(spark, sf_dir), "pages")
+    return search.hybrid_search(views.symbols(spark, sf_dir), views.files(spark, sf_dir), views.stored_units(spark, sf_dir), "pages")
 
 
 @query(f"WITH {SYMBOLS} SELECT symbol_id, name, kind, path FROM symbols JOIN files USING (file_id) WHERE lower(name) LIKE lower('%T_e%') ORDER BY name, symbol_id LIMIT 200")
@@ -413,7 +413,7 @@ top AS (SELECT symbol_id, score, name FROM every ORDER BY score DESC, name, symb
 @query(RETRIEVE + " SELECT symbol_id, CAST(round(score, 6) AS DOUBLE) AS score, name FROM top")
 def retrieve(spark, sf_dir):
     """The ranked candidates of a question (a location: five)."""
-    return retrieval.retrieve(views.units(spark, sf_dir), views.unit_edges(spark, sf_dir), QUESTION)
+    return retrieval.retrieve(views.stored_units(spark, sf_dir), views.unit_edges(spark, sf_dir), QUESTION)
 
 
 @query(
@@ -432,7 +432,7 @@ def context_pack(spark, sf_dir):
 @query()
 def grounded_answer(spark, sf_dir):
     """A question answered with citations (tests check it on a small index)."""
-    rows = retrieval.ask(views.units(spark, sf_dir), views.unit_edges(spark, sf_dir), QUESTION)
+    rows = retrieval.ask(views.stored_units(spark, sf_dir), views.unit_edges(spark, sf_dir), QUESTION)
     return rows.select("text", "mode", "intent", "confidence", "retrieval_summary", F.array_join(F.transform("citations", lambda c: c["place"]), ",").alias("cited"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.persist import ship
 from . import code_queries, graph_queries, history_queries
 from .base import ORACLES, QUERIES
 
@@ -9,7 +10,14 @@ MODULES = (history_queries, code_queries, graph_queries)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    def shipped(query):
+        def run(spark, sf_dir):
+            ship(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict:
@@ -18,4 +26,4 @@ def oracle_sql() -> dict:
 
 def flagship(spark, sf_dir):
     """Hybrid search over symbols and units."""
-    return QUERIES["hybrid_search"](spark, sf_dir)
+    return queries()["hybrid_search"](spark, sf_dir)

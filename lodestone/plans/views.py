@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
+from ..operators.persist import persisted
 from ..operators.units import build_units
 from .base import DIRECTORIES, KINDS, SUFFIXES
 
@@ -53,6 +54,11 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_units(symbols(spark, sf_dir), files(spark, sf_dir))
 
 
+def stored_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units as an index holds them: written once, for queries that read them more than once."""
+    return persisted(units(spark, sf_dir), "units")
+
+
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as commits, customers as authors, parts as paths."""
     parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(

@@ -116,8 +116,20 @@ def test_cosine(spark):
     counts: dict[int, int] = {}
     for token in text.split():
         counts[V.fnv1a_bucket(token)] = counts.get(V.fnv1a_bucket(token), 0) + 1
-    assert one(spark, V.cosine_with(V.buckets(F.lit(text)), counts)) == pytest.approx(1)
-    assert one(spark, V.cosine_with(V.buckets(F.lit("")), counts)) == 0
-    pay, auth = (one(spark, V.cosine_with(V.buckets(F.lit(t)), counts)) for t in ("retry the failed payment", "login with a session"))
+    assert one(spark, V.cosine_with(V.sparse(F.lit(text)), counts)) == pytest.approx(1)
+    assert one(spark, V.cosine_with(V.sparse(F.lit("")), counts)) == 0
+    pay, auth = (one(spark, V.cosine_with(V.sparse(F.lit(t)), counts)) for t in ("retry the failed payment", "login with a session"))
     assert pay > auth
     assert one(spark, V.dot(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0
+
+
+def test_sparse_vectors(spark):
+    text = "payPal retry RETRY x 7 é2e HTTPServer_v2"
+    tokens = ["pay", "pal", "retry", "server", "v2", "2e"] + ["retry"] * 1
+    from collections import Counter
+
+    want = Counter(V.fnv1a_bucket(t, 64) for t in one(spark, X.tokenize(F.lit(text))))
+    got = one(spark, V.sparse(F.lit(text), 64))
+    assert {e.bucket: e.n for e in got.entries} == dict(want) and got.ss == sum(n * n for n in want.values())
+    assert set(tokens) <= set(one(spark, X.tokenize(F.lit(text))))
+    assert one(spark, V.sparse(F.lit(None).cast("string"))).entries == []
