@@ -73,34 +73,51 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "kind"))).alias("targets"))
 
 
+def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """Rows with their place (from 1) in a stated order, and how many there are: sorted by ranges, no task has all of them."""
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = persisted(dealt, "numbered")
+    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row per partition
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets += [F.lit(part), F.lit(before)]
+        before += sizes[part]
+    if not sizes:
+        return dealt.drop("_part").withColumn("idx", F.lit(0).cast("long")), 0
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("idx", (within + F.element_at(F.create_map(*offsets), F.col("_part"))).cast("long")).drop("_part"), before
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int, max_nodes: int | None = None) -> DataFrame:
     """(symbol_id, depth): breadth-first from ``starts`` (symbol_id) along source -> target.
 
     With ``max_nodes`` a level stops before the first node, in breadth-first
     order, that finds so many nodes visited already.
     """
-    hops = edges.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("symbol_id")).distinct()
+    hops = persisted(edges.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("symbol_id")).distinct(), "hops")
     visited = persisted(starts.select("symbol_id").distinct().select("symbol_id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")), "reach")
+    done = visited.count()
     for level in range(1, depth + 1):
         frontier = visited.where(F.col("depth") == level - 1).select(F.col("symbol_id").alias("from_id"), F.col("place").alias("from_place"))
         found = frontier.join(hops, "from_id").join(visited.select("symbol_id"), "symbol_id", "left_anti")
         first = found.groupBy("symbol_id").agg(F.min("from_place").alias("from_place"))
         if max_nodes is not None:
-            done = visited.count()
             if done >= max_nodes:
                 break
-            # what is capped holds a few hundred nodes, so one ordered window over a level is small
-            sizes = first.groupBy("from_place").agg(F.count("*").alias("n"))
-            before = F.coalesce(F.sum("n").over(Window.orderBy("from_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            open_places = sizes.select("from_place", before.alias("before")).where(F.col("before") + done < max_nodes)
-            first = first.join(open_places.select("from_place"), "from_place", "left_semi")
-            order = Window.orderBy("from_place", "symbol_id")
-            placed = first.select("symbol_id", F.lit(level).alias("depth"), (F.row_number().over(order) + done).cast("long").alias("place"))
+            first, size = numbered(first, "from_place", "symbol_id")
+            if not size:
+                break
+            # the nodes found from one node are in a row; those whose turn comes after the limit find none
+            turns = first.groupBy("from_place").agg(F.min("idx").alias("turn")).where(F.col("turn") - 1 + done < max_nodes)
+            first = first.join(turns.select("from_place"), "from_place", "left_semi")
+            place = F.col("idx") + done
         else:
-            placed = first.select("symbol_id", F.lit(level).alias("depth"), F.lit(0).cast("long").alias("place"))
-        new = persisted(placed, "reach")
-        if new.isEmpty():
+            place = F.lit(0).cast("long")
+        new = persisted(first.select("symbol_id", F.lit(level).alias("depth"), place.alias("place")), "reach")
+        more = new.count() if max_nodes is not None else int(not new.isEmpty())
+        if not more:
             break
+        done += more
         visited = visited.unionByName(new)
     return visited.select("symbol_id", "depth")
 
