@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,6 +18,9 @@ CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_KEYS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 """Arrow batches are bounded by bytes of text as well: each is held by the JVM and by the Python worker at once."""
 
+MADE: list[DataFrame] = []
+"""Tables of ``materialize`` that are still there."""
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 """Folds A-Z and nothing else; UTF-8 bytes above 0x7F stay."""
 
@@ -32,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs on one machine."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set(CHECKPOINT_KEY, folder)
     return folder.rstrip("/")
@@ -60,6 +66,7 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
         spark.conf.set(CLEANUP_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.lodestone_path = path
+    MADE.append(out)
     return out
 
 
@@ -72,6 +79,16 @@ def release(*tables: DataFrame) -> None:
         spark = one.sparkSession
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        MADE[:] = [t for t in MADE if t is not one]
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Delete the tables of ``materialize`` that were made within, but those put into the list."""
+    before = list(MADE)
+    kept: list[DataFrame] = []
+    yield kept
+    release(*[t for t in MADE if not any(t is k for k in (*before, *kept))])
 
 
 def splittable(df: DataFrame, key: str) -> DataFrame:

@@ -134,7 +134,8 @@ def links(prints: DataFrame) -> DataFrame:
     """Star edges (a, b) that join all distinct fingerprints at distance 2 or less."""
     placed = cells(prints)
     near = neighbours(placed.join(shared(placed, "cell").select("cell"), "cell"))
-    return near.join(shared(near, "value"), "value").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    exact = F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))).between(1, 2)
+    return near.join(shared(near, "value"), "value").where(exact).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

@@ -8,8 +8,9 @@ operation over (urls x mask words).
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and matches no rule; so does a URL whose host is empty. Ties between rules of
-equal length go to the rule listed first. Extra columns of the input are not
-looked at. An empty table gives an empty result.
+equal length go to the rule listed first. Repeated rows and null ids give a row
+each; very long URLs cost time in proportion to their length. Extra columns of
+the input are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations

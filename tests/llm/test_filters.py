@@ -266,6 +266,13 @@ def test_urls_like_brute_force(spark):
     assert urlfilter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_urls_repeated_rows_and_null_ids(spark):
+    rows = [(1, "http://x.com/fr/"), (1, "http://x.com/fr/"), (None, "http://x.com/de/"), (None, None)]
+    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted((str(r.page_id), r.rule, r.verdict) for r in got if r.rule) == [("1", "com/fr/", "allow"), ("1", "com/fr/", "allow"), ("None", "com/de/", "block")]
+    assert len(got) == 4
+
+
 def test_globs_over_many_words():
     rng = random.Random(4)
     rules = [f"{'*.' * rng.randint(0, 1)}{rng.choice('abc')}{'*' * rng.randint(0, 1)}{rng.choice('abc')}.org/{rng.choice('xy')}*{rng.choice('xyz')}" for _ in range(40)]

@@ -90,6 +90,28 @@ def test_stages_like_brute_force(spark, corpus):
     assert result == {i: (len(x), brute.sha(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
 
 
+def test_stages_of_empty_tables_and_clashing_columns(spark, corpus):
+    folder, texts, items = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(12)
+    odd = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 as score", "array(2) as spans", "'x' as digest", "7 as cell", "'y' as words", "3 as n_tokens", "4 as root", "5 as quality")
+    for stage_docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, stage_docs, folder)
+            if name != "sentencepiece":
+                assert out.columns == odd.columns
+                assert all((r.score, r.spans, r.digest, r.cell, r.words, r.root) == (1, [2], "x", 7, "y", 4) for r in out.collect())
+            else:
+                assert out.count() == stage_docs.count()
+
+
+def test_intermediate_tables_are_released(spark, corpus):
+    from lodestone.llm import common
+
+    before = list(common.MADE)
+    out = corpus_pipeline.run(spark, corpus[0])
+    assert [t for t in common.MADE if not any(t is b for b in before)] == [out]
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
