@@ -6,8 +6,10 @@ Every answer is a DataFrame. Unknown things raise ``NotFound``, bad arguments
 
 from __future__ import annotations
 
+import subprocess
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import graph, health, history, incremental, resolve, retrieval, search
 from .operators import units as U
-from .operators.persist import persisted
+from .operators.persist import persisted, scratch, shared_dir, ship
 from .operators.retrieval import BadRequest, NotFound
 from .sources import git, tree
 from .sources.extract import extract
@@ -24,9 +26,19 @@ from .streaming import jobs
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, cache: str = "/tmp/lodestone-sources"):
+    def __init__(self, spark: SparkSession, root: str, cache: str | None = None):
+        """``root`` holds the index. Clones go to ``cache``, a local path that all executors see: by default one within the shared folder."""
+        ship(spark)
         self.spark, self.store, self.cache = spark, Store(spark, root), cache
 
+    def _cache(self) -> str:
+        if self.cache is None:
+            shared = shared_dir(self.spark)
+            if "://" in shared and not shared.startswith("file://"):
+                raise BadRequest("clones need a cache folder that driver and executors mount")
+            self.cache = f"{shared.removeprefix('file://')}/lodestone-sources"
+        return self.cache
+
     # indexing
 
     def _run(self, run_id: str, source: str, stage: str, started: int, repository_id: str | None = None, error: str | None = None) -> None:
@@ -36,18 +48,27 @@ class Engine:
 
     def index(self, source: str, repository_id: str | None = None) -> str:
         """Index a folder or a repository URL; a known one is indexed anew where it changed. Returns its id."""
+        with scratch():
+            return self._index(source, repository_id)
+
+    def _index(self, source: str, repository_id: str | None) -> str:
         run_id, started = str(uuid.uuid4()), int(time.time())
         self._run(run_id, source, "queued", started)
         try:
             known = self.store.by_url(source).first()
             key = known["id"] if known else repository_id or str(uuid.uuid4())
             self._run(run_id, source, "scanning", started, key)
-            where = git.materialize(source, self.cache)
-            files = persisted(tree.walk(self.spark, where["root"], repository_id=key), "files")
-            tables = self._refresh(files, key) if known and self.store.has("files") else self._extract_all(files)
-            self._run(run_id, source, "persisting", started, key)
-            lines = int(files.agg(F.sum(F.size(X.lines(F.col("text")))).alias("n")).first()["n"] or 0)
-            for name, rows in {**tables, "touches": git.touches(self.spark, where["root"]), "files": files}.items():
+            where = git.materialize(source, self._cache())
+            prefix = git.prefix_of(where["root"])
+            files = persisted(tree.walk(self.spark, where["root"], repository_id=key, **tree.limits()), "files")
+            stage = lambda name: self._run(run_id, source, name, started, key)
+            if known and self.store.has("files"):
+                tables, lines = self._refresh(files, key, self._changes(where, known, prefix), stage)
+            else:
+                tables, lines = self._extract_all(files, stage)
+            stage("persisting")
+            past = {"touches": git.touches(self.spark, where["root"], prefix), "branches": git.branches(self.spark, where["root"])}
+            for name, rows in {**tables, **past}.items():
                 # written beside and read back first: a table may be overwritten by rows that are read from it
                 self.store.save(name, self.store.staged(rows, name), key)
             row = (key, where["name"], source, where["branch"], where["sha"], known["created_at"] if known else started, lines)
@@ -58,28 +79,50 @@ class Engine:
         self._run(run_id, source, "succeeded", started, key)
         return key
 
-    def _extract_all(self, files: DataFrame) -> dict[str, DataFrame]:
+    def _changes(self, where: dict[str, str], known, prefix: str) -> DataFrame | None:
+        """What version control says has changed since the last index; None if it can't tell."""
+        try:
+            return persisted(git.changes(self.spark, where["root"], known["commit_sha"], where["sha"], prefix), "changes")
+        except subprocess.CalledProcessError:
+            return None
+
+    @staticmethod
+    def _lines(files: DataFrame) -> DataFrame:
+        return files.select("file_id", F.size(X.lines(F.col("text"))).alias("n_lines"))
+
+    def _extract_all(self, files: DataFrame, stage: Callable[[str], None]) -> tuple[dict[str, DataFrame], int]:
+        stage("parsing")
         facts = {name: persisted(rows, name) for name, rows in extract(files).items()}
         symbols = facts["symbols"]
+        stage("resolving")
         edges = resolve.resolve(files, symbols, facts["imports"], facts["calls"], facts["heritage"])
+        stage("embedding")
         units = persisted(U.build_units(symbols, files), "units")
-        return {"symbols": symbols, "edges": edges, "units": units, "embeddings": search.embeddings(units)}
+        lines = incremental.line_count(self._lines(files)).first()["lines"]
+        return {"files": files, "symbols": symbols, "edges": edges, "units": units, "embeddings": search.embeddings(units)}, int(lines)
 
-    def _refresh(self, files: DataFrame, key: str) -> dict[str, DataFrame]:
-        """Only files whose hash changed are read again; the rest of the index is reused."""
+    def _refresh(self, files: DataFrame, key: str, diff: DataFrame | None, stage: Callable[[str], None]) -> tuple[dict[str, DataFrame], int]:
+        """Only files that are new or whose hash changed are extracted; the rest of the index is reused, all of it if nothing changed."""
         old = {name: self.store.load(name, key) for name in ("files", "symbols", "edges", "units", "embeddings")}
-        todo = incremental.plan_files(old["files"], files).where("action = 'parse'")
-        changed = persisted(files.join(todo, "path", "left_semi").select("file_id"), "changed")
-        facts = {name: persisted(rows, name) for name, rows in extract(files).items()}
-        only = {name: rows.join(changed, "file_id", "left_semi") for name, rows in facts.items()}
-        symbols = persisted(incremental.merge_symbols(old["symbols"], only["symbols"], files, changed), "symbols")
+        listed = (None, None) if diff is None else (history.parse_paths(diff), history.drop_paths(diff))
+        plan = persisted(incremental.plan_files(old["files"], files, *listed), "plan")
+        todo = files.join(plan.where("action = 'parse'"), "path", "left_semi")
+        skipped = files.join(plan.where("action like 'skipped%'"), "path", "left_semi").select("file_id")
+        lines = incremental.line_count(self._lines(todo), old["symbols"].join(skipped, "file_id", "left_semi")).first()["lines"]
+        if plan.where("action in ('parse', 'dropped')").isEmpty():
+            return {}, int(lines)
+        stage("parsing")
+        changed = persisted(todo.select("file_id"), "changed")
+        facts = {name: persisted(rows, name) for name, rows in extract(todo).items()}
+        symbols = persisted(incremental.merge_symbols(old["symbols"], facts["symbols"], files, changed), "symbols")
+        stage("resolving")
         fresh = resolve.resolve_changed(files, symbols, facts["imports"], facts["calls"], facts["heritage"], changed)
         edges = incremental.merge_edges(old["edges"], fresh, symbols, changed)
-        rebuilt = U.build_units(only["symbols"], files)
-        units = persisted(incremental.reuse_units(old["units"], rebuilt, files, changed), "units")
+        stage("embedding")
+        units = persisted(incremental.reuse_units(old["units"], U.build_units(facts["symbols"], files), files, changed), "units")
         kept, missing = incremental.reuse_embeddings(old["embeddings"], units, changed)
         vectors = kept.unionByName(search.embeddings(missing).select(*kept.columns))
-        return {"symbols": symbols, "edges": edges, "units": units, "embeddings": vectors}
+        return {"files": files, "symbols": symbols, "edges": edges, "units": units, "embeddings": vectors}, int(lines)
 
     def reindex(self, repository_id: str) -> str:
         return self.index(self._repository(repository_id)["url"])
@@ -136,11 +179,14 @@ class Engine:
             raise BadRequest(str(problem)) from problem
 
     def search(self, repository_id: str, query: str) -> DataFrame:
-        return search.hybrid_search(*self._load(repository_id, "symbols", "files", "units"), query)
+        symbols, files, units, vectors = self._load(repository_id, "symbols", "files", "units", "embeddings")
+        return search.hybrid_search(symbols, files, units, query, vectors=vectors)
 
-    def graph(self, repository_id: str, focus: str | None = None, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-        """Nodes with coordinates, and the edges among them: around a symbol, or the 48 best connected."""
+    def graph(self, repository_id: str, focus: str | None = None, depth: int = 2, full: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Nodes with coordinates, and the edges among them: all, around a symbol, or the 48 best connected."""
         nodes, edges = self._nodes(repository_id), self._load(repository_id, "edges")[0]
+        if full:
+            return nodes, edges
         if focus is None:
             kept = graph.compact_view(edges, nodes).select("symbol_id")
             return nodes.join(kept, "symbol_id", "left_semi"), graph.induced(edges, kept)
@@ -186,18 +232,22 @@ class Engine:
         return found.join(files, ["repository_id", "file_id"])
 
     def ask(self, repository_id: str, question: str, model: retrieval.Model | None = None) -> DataFrame:
-        units, edges, touches = self._load(repository_id, "units", "edges", "touches")
+        units, edges, touches, branches, vectors = self._load(repository_id, "units", "edges", "touches", "branches", "embeddings")
         question = retrieval.check_question(question)
         if retrieval.intent_of(units, question) == "evolution":
-            none = self.spark.createDataFrame([], "name string, sha string, is_default boolean")
-            rows = retrieval.answer_evolution(touches, none, question)
+            rows = retrieval.answer_evolution(touches, branches, question)
             told = F.array_join(F.collect_list(F.format_string("%s (%d)", "subject", "n")), ", ")
             return rows.agg(told.alias("text")).withColumns({"mode": F.lit("extractive"), "intent": F.lit("evolution")})
-        return retrieval.ask(units, edges, question, model)
+        return retrieval.ask(units, edges, question, model, vectors)
 
     def evolution(self, repository_id: str) -> dict[str, DataFrame]:
-        touches = self._load(repository_id, "touches")[0]
-        return {"commits": history.commits(touches).orderBy("ord"), "authors": history.authors(touches), "hotspots": history.hotspots(touches)}
+        touches, branches = self._load(repository_id, "touches", "branches")
+        return {
+            "commits": history.commits(touches).orderBy("ord"),
+            "authors": history.authors(touches),
+            "hotspots": history.hotspots(touches),
+            "branches": branches.orderBy(F.desc("is_default"), "name"),
+        }
 
     def runs(self) -> DataFrame:
         return self.store.latest("runs", RUN_SCHEMA)

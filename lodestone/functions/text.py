@@ -169,11 +169,78 @@ def inflect(verb: Column) -> Column:
     head = F.concat(ascii_upper(F.substring(verb, 1, 1)), F.substr(verb, F.lit(2)))
     return (
         F.when(verb.rlike("(s|x|ch)$"), F.concat(head, F.lit("es")))
-        .when(verb.endswith("y"), F.concat(F.regexp_replace(head, "y$", ""), F.lit("ies")))
+        .when(verb.endswith("y") & (F.length(verb) > 1), F.concat(F.regexp_replace(head, "y$", ""), F.lit("ies")))
         .otherwise(F.concat(head, F.lit("s")))
     )
 
 
+COMMENT_LINES, MAX_STEPS = 6, 8
+OPENERS = ("export ", "function ", "class ", "pub ", "def ")  # fixed values: a declaration, where leading comments end
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def after_mark(line: Column, marks: str) -> Column:
+    """The text of a comment line; null if the line begins with none of the marks (a pattern)."""
+    return F.when(line.rlike(f"^(?:{marks})"), stripped(F.regexp_replace(line, f"^(?:{marks})", "")))
+
+
+def told(notes: Column) -> Column:
+    """Comments of more than three bytes."""
+    return F.filter(notes, lambda x: x.isNotNull() & (F.octet_length(x) > 3))
+
+
+def leading_comment(text: Column) -> Column:
+    """The first comment of a snippet above its declaration, within six lines; null if there is none."""
+    head = F.transform(F.slice(lines(text), 1, COMMENT_LINES), stripped)
+
+    def step(acc: Column, line: Column) -> Column:
+        ends = line.contains("(")
+        for opener in OPENERS:
+            ends = ends | line.startswith(opener)
+        note = F.when(~acc["over"] & ~ends, after_mark(line, "//|#"))
+        found = F.coalesce(acc["found"], F.when(F.octet_length(note) > 3, note))
+        return F.struct((acc["over"] | ends).alias("over"), found.alias("found"))
+
+    start = F.struct(F.lit(False).alias("over"), F.lit(None).cast("string").alias("found"))
+    return F.aggregate(head, start, step, lambda acc: acc["found"])
+
+
+def purpose(name: Column, kind: Column, text: Column) -> Column:
+    """What a symbol is for: its leading comment, or a sentence from its name and kind."""
+    words = tokenize(name)
+    plain = F.concat(F.lit("The "), kind, F.lit(" "), name, F.lit("."))
+    rest = F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), " ")
+    act = F.concat(inflect(F.get(words, F.lit(0))), F.when(rest == "", F.lit(" this unit of work.")).otherwise(F.concat(F.lit(" a "), rest, F.lit("."))))
+    by_kind = (
+        F.when(F.size(words) == 0, plain)
+        .when(kind.isin("function", "method"), act)
+        .when(kind.isin("class", "struct", "component"), F.concat(F.lit("Defines "), name, F.lit(".")))
+        .otherwise(plain)
+    )
+    return F.coalesce(leading_comment(text), by_kind)
+
+
+def flow(text: Column, calls: Column) -> Column:
+    """The steps of a symbol: its comments, or what it calls; eight at most."""
+    marked = F.transform(F.transform(lines(text), stripped), lambda x: after_mark(x, r"//|#|\*"))
+    notes = told(F.transform(marked, lambda x: stripped(F.regexp_replace(x, "^/+", ""))))
+    return F.slice(F.when(F.size(notes) > 0, notes).otherwise(F.transform(calls, lambda c: F.concat(F.lit("Calls "), c))), 1, MAX_STEPS)
+
+
+def explanation(purpose_text: Column, steps: Column, dependencies: Column) -> Column:
+    """Purpose, numbered flow and dependencies as one text."""
+    numbered = F.array_join(F.transform(steps, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s, F.lit("\n"))), "")
+    named = F.array_join(F.transform(dependencies, lambda d: F.concat(F.lit("\u2192 "), d, F.lit("\n"))), "")
+    return F.concat(
+        F.lit("Purpose\n"), purpose_text, F.lit("\n"),
+        F.when(F.size(steps) > 0, F.concat(F.lit("\nFlow\n"), numbered)).otherwise(""),
+        F.when(F.size(dependencies) > 0, F.concat(F.lit("\nDependencies\n"), named)).otherwise(""),
+    )
+
+
 def uuid5(namespace: Column, name: Column) -> Column:
     """Name-based UUID (version 5) of a namespace UUID and a name, both strings."""
     digest = F.sha1(F.concat(F.unhex(F.replace(namespace, F.lit("-"), F.lit(""))), F.encode(name, "UTF-8")))

@@ -65,24 +65,29 @@ def ranked_authors(touches: DataFrame, limit: int) -> DataFrame:
 def parse_log(log_lines: DataFrame, prefix: str = "") -> DataFrame:
     """Lines (repo, ord, line) -> touches: a line with field separators opens a commit, others are its paths.
 
-    Lines are numbered within ``repo``; the running count of headers tells the commit.
+    Lines are numbered within ``repo``; the running count of headers tells the commit. A header of fewer than
+    five fields is dropped with the paths below it; a time that is no number is 0.
     """
     header = F.col("line").contains(FIELD)
-    order = Window.partitionBy("repo").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = log_lines.withColumns({"header": header, "commit": F.sum(header.cast("long")).over(order)}).where("commit > 0")
     parts = F.split("line", FIELD)
+    good = header & (F.size(parts) >= 5)
+    order = Window.partitionBy("repo").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = log_lines.withColumns(
+        {"header": header, "commit": F.sum(header.cast("long")).over(order), "place": F.sum(good.cast("long")).over(order)}
+    ).where("commit > 0")
     path = P.strip_prefix(F.trim("line"), prefix)
     grouped = numbered.groupBy("repo", "commit").agg(
         F.max(F.when(F.col("header"), parts)).alias("f"),
-        F.array_sort(F.collect_list(F.when(~F.col("header") & (F.trim("line") != ""), F.struct("ord", path.alias("path"))))).alias("p"),
+        F.array_sort(F.collect_list(F.when(~F.col("header") & (F.trim("line") != "") & (path != ""), F.struct("ord", path.alias("path"))))).alias("p"),
+        F.max("place").alias("place"),
     )
-    return grouped.select(
+    return grouped.where(F.size("f") >= 5).select(
         "repo",
-        (F.col("commit") - 1).cast("int").alias("ord"),
+        (F.col("place") - 1).cast("int").alias("ord"),
         F.get("f", F.lit(0)).alias("sha"),
         F.get("f", F.lit(1)).alias("author_name"),
         F.get("f", F.lit(2)).alias("author_email"),
-        F.get("f", F.lit(3)).try_cast("long").alias("authored_at"),
+        F.coalesce(F.get("f", F.lit(3)).try_cast("long"), F.lit(0)).alias("authored_at"),
         F.coalesce(F.get("f", F.lit(4)), F.lit("")).alias("subject"),
         F.transform("p", lambda x: x["path"]).alias("paths"),
     )

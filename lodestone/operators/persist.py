@@ -7,11 +7,15 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+MADE: list[tuple[SparkSession, str]] = []
+"""The intermediate tables written so far."""
 
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -49,4 +53,18 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables of ``persisted`` that are made within: for steps whose results are stored elsewhere."""
+    mark = len(MADE)
+    try:
+        yield
+    finally:
+        for spark, path in MADE[mark:]:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        del MADE[mark:]

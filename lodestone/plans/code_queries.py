@@ -263,6 +263,30 @@ def unit_handles(spark, sf_dir):
     return views.units(spark, sf_dir).select("symbol_id", F.array_join(X.handles(F.col("text")), ";").alias("handles"))
 
 
+CODE_LINE = "contains(x, '(') OR starts_with(x, 'export ') OR starts_with(x, 'function ') OR starts_with(x, 'class ') OR starts_with(x, 'pub ') OR starts_with(x, 'def ')"
+
+
+@query(
+    f"""WITH {UNITS}, l AS (SELECT symbol_id, name, kind, list_transform({lines_sql("text")}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ls, {tokens("name")} AS w FROM units),
+h AS (SELECT *, list_filter(list_transform(ls[1:6], lambda x: CASE WHEN {CODE_LINE} THEN 1 ELSE 0 END), lambda x: x >= 0) AS code FROM l),
+c AS (SELECT *, list_filter(list_transform(list_filter(ls[1:coalesce(nullif(list_position(code, 1), 0), 7) - 1], lambda x: starts_with(x, '//') OR starts_with(x, '#')),
+  lambda x: regexp_replace(regexp_replace(x, '^(//|#)', ''), '^\\s+', '')), lambda x: strlen(x) > 3)[1] AS comment FROM h),
+f AS (SELECT *, list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^(//|#|\\*)')),
+  lambda x: regexp_replace(regexp_replace(x, '^(//|#|\\*)\\s*/*', ''), '^\\s+', '')), lambda x: strlen(x) > 3) AS steps,
+  upper(substr(w[1], 1, 1)) || substr(w[1], 2) AS verb FROM c),
+g AS (SELECT *, CASE WHEN regexp_matches(w[1], '(s|x|ch)$') THEN verb || 'es' WHEN ends_with(w[1], 'y') AND length(w[1]) > 1 THEN substr(verb, 1, length(verb) - 1) || 'ies' ELSE verb || 's' END AS acts FROM f)
+SELECT symbol_id, coalesce(comment, CASE WHEN len(w) = 0 THEN 'The ' || kind || ' ' || name || '.'
+  WHEN kind IN ('function', 'method') THEN acts || CASE WHEN len(w) > 1 THEN ' a ' || array_to_string(w[2:], ' ') || '.' ELSE ' this unit of work.' END
+  WHEN kind IN ('class', 'struct', 'component') THEN 'Defines ' || name || '.' ELSE 'The ' || kind || ' ' || name || '.' END) AS purpose,
+  array_to_string((CASE WHEN len(steps) > 0 THEN steps ELSE ['Calls ' || name] END)[1:8], ';') AS flow FROM g"""
+)
+def unit_purposes(spark, sf_dir):
+    """What each unit is for and its steps."""
+    rows = views.units(spark, sf_dir)
+    name, text = F.col("name"), F.col("text")
+    return rows.select("symbol_id", X.purpose(name, F.col("kind"), text).alias("purpose"), F.array_join(X.flow(text, F.array(name)), ";").alias("flow"))
+
+
 EMBED = f"concat_ws(' ', name, kind, path, language, text)"
 
 

@@ -125,7 +125,15 @@ def graph_impact_files(spark, sf_dir):
     IMPACT
     + """, t AS (SELECT max(name) FILTER (depth = 0) AS origin, count(*) FILTER (direct) AS direct, count(*) FILTER (indirect) AS indirect, count(*) FILTER (is_test) AS is_test,
   count(*) FILTER (is_route) AS is_route, count(*) FILTER (is_component) AS is_component, count(DISTINCT path) AS files, count(DISTINCT path) FILTER (is_test) AS test_files FROM report)
- SELECT *, 'Changing ' || origin || ' affects ' || direct || ' symbols directly and ' || indirect || ' indirectly, in ' || files || ' files: ' || is_route || ' routes, ' || is_component || ' components, ' || is_test || ' tests.' AS narrative FROM t"""
+,
+ l AS (SELECT 1 AS place, *, row_number() OVER w AS k FROM report WHERE direct WINDOW w AS (ORDER BY depth, name, symbol_id)
+  UNION ALL SELECT 2, *, row_number() OVER w FROM report WHERE is_route WINDOW w AS (ORDER BY depth, name, symbol_id)
+  UNION ALL SELECT 3, *, row_number() OVER w FROM report WHERE is_test WINDOW w AS (ORDER BY depth, name, symbol_id)),
+ s AS (SELECT place, chr(10) || ['Direct dependents', 'API endpoints that sit on this path', 'Tests that exercise this symbol'][place] || ':' || chr(10)
+   || string_agg(chr(8594) || ' ' || name || ' (' || path || ')' || chr(10), '' ORDER BY k) AS told FROM l WHERE k <= CASE place WHEN 1 THEN 8 ELSE 6 END GROUP BY place)
+ SELECT *, 'Changing ' || origin || '() can affect ' || (direct + indirect) || ' symbols across ' || files || ' files.' || chr(10) || chr(10) || '- ' || is_route || ' API endpoint'
+  || CASE is_route WHEN 1 THEN '' ELSE 's' END || chr(10) || '- ' || is_component || ' UI component' || CASE is_component WHEN 1 THEN '' ELSE 's' END || chr(10) || '- ' || test_files
+  || ' test suite' || CASE test_files WHEN 1 THEN '' ELSE 's' END || chr(10) || coalesce((SELECT string_agg(told, '' ORDER BY place) FROM s), '') AS narrative FROM t"""
 )
 def graph_impact_narrative(spark, sf_dir):
     return retrieval.explain_impact(impact_rows(spark, sf_dir))
@@ -156,12 +164,12 @@ def graph_layers(spark, sf_dir):
 
 
 CALLS = f"""WITH {SYMBOLS}, sites AS (SELECT file_id, ord AS s_ord, CAST(ord + k AS INTEGER) AS line, CAST(ord * 10 + k AS INTEGER) AS ord, name AS callee
-  FROM symbols, (VALUES (0), (2)) v(k) WHERE ord % 3 = 0)"""
+  FROM symbols, (VALUES (0), (2)) v(k))"""
 
 
 def call_sites(spark, sf_dir):
-    """Two call lines below every third symbol."""
-    rows = views.symbols(spark, sf_dir).where("ord % 3 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(2))))
+    """Two call lines below every symbol."""
+    rows = views.symbols(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(2))))
     return rows.select("file_id", (F.col("ord") * 10 + F.col("k")).alias("ord"), F.col("name").alias("callee"), (F.col("ord") + F.col("k")).alias("line"))
 
 
@@ -228,7 +236,8 @@ def join_import_edges(spark, sf_dir):
 
 
 @query(
-    f"""WITH {IMPORTS}, uses AS (SELECT file_id, symbol_id AS use_id, CASE WHEN ord % 2 = 0 THEN name ELSE lead(name, 3) OVER (PARTITION BY ord ORDER BY file_id) END AS name FROM symbols),
+    f"""WITH {IMPORTS}, uses AS (SELECT s.file_id, s.symbol_id AS use_id, CASE WHEN s.ord % 2 = 0 THEN s.name ELSE o.name END AS name
+ FROM symbols s LEFT JOIN symbols o ON o.file_id = 'f' || (CAST(substr(s.file_id, 2) AS BIGINT) + 3) AND o.ord = s.ord),
 reach AS (SELECT DISTINCT file_id, target_file FROM imported),
 every AS (SELECT use_id, 0 AS rank, 0 AS a, 0 AS b, target_id FROM uses JOIN firsts USING (file_id, name)
  UNION ALL SELECT use_id, 1, import_ord, name_ord, target_id FROM uses JOIN imported USING (file_id, name)
@@ -238,13 +247,16 @@ SELECT use_id, arg_min(target_id, (rank, a, b, target_id)) AS target_id FROM eve
 def join_resolve_names(spark, sf_dir):
     """Names resolved in the file, then through imports, then through any imported file."""
     symbols = views.symbols(spark, sf_dir)
-    other = F.lead("name", 3).over(Window.partitionBy("ord").orderBy("file_id"))
-    uses = symbols.select("file_id", F.col("symbol_id").alias("use_id"), F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(other).alias("name"))
+    number = F.substr(F.col("file_id"), F.lit(2)).cast("long")
+    other = symbols.select(F.concat(F.lit("f"), (number - 3).cast("string")).alias("file_id"), "ord", F.col("name").alias("other"))
+    uses = symbols.join(other, ["file_id", "ord"], "left").select(
+        "file_id", F.col("symbol_id").alias("use_id"), F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(F.col("other")).alias("name")
+    )
     return resolve.resolve_names(uses, symbols, imported_rows(spark, sf_dir))
 
 
 @query(
-    f"""WITH {IMPORTS}, sites AS (SELECT file_id, CAST(ord + k AS INTEGER) AS line, CAST(ord * 10 + k AS INTEGER) AS ord, name AS callee FROM symbols, (VALUES (0), (2)) v(k) WHERE ord % 3 = 0),
+    f"""WITH {IMPORTS}, sites AS (SELECT file_id, CAST(ord + k AS INTEGER) AS line, CAST(ord * 10 + k AS INTEGER) AS ord, name AS callee FROM symbols, (VALUES (0), (2)) v(k)),
 placed AS (SELECT c.file_id, c.ord, c.callee, arg_min(s.symbol_id, (s.end_line - s.start_line, s.ord)) AS source_id FROM sites c JOIN symbols s ON s.file_id = c.file_id AND c.line BETWEEN s.start_line AND s.end_line GROUP BY ALL),
 called AS (SELECT p.source_id, f.target_id, 'calls' AS kind FROM placed p JOIN firsts f ON f.file_id = p.file_id AND f.name = p.callee)
 SELECT DISTINCT * FROM (SELECT * FROM called UNION ALL SELECT h.symbol_id, i.target_id, 'imports' FROM symbols h JOIN imported i USING (file_id) WHERE h.kind <> 'method') WHERE source_id <> target_id"""

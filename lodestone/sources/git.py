@@ -44,23 +44,37 @@ def line_table(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "repo string, ord int, line string")
 
 
+def prefix_of(root: str) -> str:
+    """Where a folder lies within its repository: empty at the top, or outside of any."""
+    try:
+        return git(root, "rev-parse", "--show-prefix").strip().rstrip("/")
+    except subprocess.CalledProcessError:
+        return ""
+
+
 def touches(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """The latest commits that aren't merges with their paths; none outside a repository."""
+    """The latest commits that aren't merges with their paths, below ``prefix`` if there is one; none outside a repository."""
     try:
-        text = git(root, "log", f"-n{LOG_LIMIT}", "--no-merges", f"--format={FORMAT}", "--name-only", *(["--", prefix] if prefix else []))
+        below = ["--", f":(top){prefix}"] if prefix else []
+        text = git(root, "log", f"-n{LOG_LIMIT}", "--no-merges", f"--format={FORMAT}", "--name-only", *below)
     except subprocess.CalledProcessError:
         text = ""
     return history.parse_log(line_table(spark, text), prefix)
 
 
 def branches(spark: SparkSession, root: str) -> DataFrame:
-    text = git(root, "for-each-ref", "refs/heads", "--format=%(refname:short)%1f%(objectname)")
-    default = git(root, "rev-parse", "--abbrev-ref", "HEAD").strip()
+    """Local branches, the one checked out first; none outside a repository."""
+    try:
+        text = git(root, "for-each-ref", "refs/heads", "--format=%(refname:short)%1f%(objectname)")
+        default = git(root, "rev-parse", "--abbrev-ref", "HEAD").strip()
+    except subprocess.CalledProcessError:
+        text, default = "", ""
     return history.parse_branches(line_table(spark, text), default).orderBy(F.desc("is_default"), "name")
 
 
 def changes(spark: SparkSession, root: str, since: str, until: str, prefix: str = "") -> DataFrame:
-    """What changed between two commits and in the working tree."""
-    ranged = history.parse_name_status(line_table(spark, git(root, "diff", "--name-status", "--find-renames", since, until)), prefix)
-    tree = history.parse_porcelain(line_table(spark, git(root, "status", "--porcelain", "-uall")), prefix)
+    """What changed between two commits and in the working tree, below ``prefix`` if there is one."""
+    below = ["--", f":(top){prefix}"] if prefix else []
+    ranged = history.parse_name_status(line_table(spark, git(root, "diff", "--name-status", "--find-renames", since, until, *below)), prefix)
+    tree = history.parse_porcelain(line_table(spark, git(root, "status", "--porcelain", "-uall", *below)), prefix)
     return history.merged_diff(ranged, tree)

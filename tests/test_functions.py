@@ -123,6 +123,21 @@ def test_cosine(spark):
     assert one(spark, V.dot(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0
 
 
+def test_purpose_and_flow(spark):
+    def said(name, kind, text):
+        return one(spark, X.purpose(F.lit(name), F.lit(kind), F.lit(text)))
+
+    assert said("handlePayment", "function", "  // Validates it all\nexport function x() {}") == "Validates it all"
+    assert said("handlePayment", "function", "# ab\nfunction x() {\n// inside (never)") == "Handles a payment." == said("handlePayment", "method", "")
+    assert [said(n, "function", "") for n in ("watch", "applyFix", "run", "_")] == ["Watches this unit of work.", "Applies a fix.", "Runs this unit of work.", "The function _."]
+    assert said("StripeClient", "class", "class StripeClient {}") == "Defines StripeClient." and said("MAX", "constant", "") == "The constant MAX."
+    text = "function a() {\n  // first step\n  /// second\n * third one\n  # no\n}"
+    assert one(spark, X.flow(F.lit(text), F.array(F.lit("b")))) == ["first step", "second", "third one"]
+    assert one(spark, X.flow(F.lit("x()"), F.array(F.lit("b"), F.lit("c")))) == ["Calls b", "Calls c"]
+    whole = one(spark, X.explanation(F.lit("P."), F.array(F.lit("s")), F.array(F.lit("d"))))
+    assert whole == "Purpose\nP.\n\nFlow\n1. s\n\nDependencies\n\u2192 d\n"
+
+
 def test_sparse_vectors(spark):
     text = "payPal retry RETRY x 7 é2e HTTPServer_v2"
     tokens = ["pay", "pal", "retry", "server", "v2", "2e"] + ["retry"] * 1

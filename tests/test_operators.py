@@ -47,6 +47,9 @@ def test_impact(auth):
     assert graph.impact_files(report).count() == 6
     told = retrieval.explain_impact(report).first()
     assert (told.direct, told.indirect, told.files) == (3, 2, 6)
+    lines = told.narrative.split("\n")
+    assert lines[0] == "Changing login() can affect 5 symbols across 6 files." and "- 1 API endpoint" in lines and "- 2 UI components" in lines and "- 1 test suite" in lines
+    assert lines[6:8] == ["Direct dependents:", "\u2192 logs_in_a_user (src/services/AuthService.test.ts)"] and lines.count("\u2192 sessionHandler (src/api/session.ts)") == 2
     tree = graph.impact_tree(report).first()
     assert tree.origin.name == "login" and [c.name for c in tree.children][-1] == "Dashboard"
 
@@ -119,6 +122,32 @@ def test_parse_log(spark):
     assert [(r.sha, r.authored_at, r.subject, r.paths) for r in got] == [("s1", 10, "one", ["a.rs", "other/b.rs"]), ("s2", 9, "two", []), ("s3", 8, "", [])]
 
 
+def test_parse_log_drops_broken_headers(spark):
+    head = lambda *f: history.FIELD.join(f)
+    lines = ["early.rs", head("s1", "Ann", "a@x", "10", "one"), "a.rs", head("broken", "x"), "lost.rs", head("s2", "Bob", "b@x", "soon", "two"), "crates/app/", "b.rs"]
+    df = spark.createDataFrame([("", i, x) for i, x in enumerate(lines)], "repo string, ord int, line string")
+    got = history.parse_log(df, "crates/app").orderBy("ord").collect()
+    assert [(r.ord, r.sha, r.authored_at, r.paths) for r in got] == [(0, "s1", 10, ["a.rs"]), (1, "s2", 0, ["b.rs"])]
+
+
+def test_impact_citations(spark, auth):
+    nodes, edges = auth
+    report = graph.impact_report(edges, nodes, "login")
+    units = nodes.select("symbol_id", "name", "path", F.lit(1).alias("ord"), F.lit(3).alias("start_line"), F.lit(9).alias("end_line"))
+    rows = retrieval.impact_citations(report, units).collect()
+    assert rows[0].symbol_id == "login" and rows[0].place == "src/services/AuthService.ts:3-9"
+    assert [r.symbol_id for r in rows[1:]] == ["logs_in_a_user", "sessionHandler", "useAuth", "sessionHandler", "AuthProvider", "Dashboard"]
+
+
+def test_levels_numbered_by_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("a"), F.concat(F.lit("n"), F.col("id")).alias("b"))
+    got, size = graph.numbered(rows, "a", "b")
+    want = sorted((r.a, r.b) for r in rows.collect())
+    assert size == 1000 and [(r.a, r.b) for r in got.orderBy("idx").collect()] == want
+    assert sorted(r.idx for r in got.collect()) == list(range(1, 1001))
+    assert graph.numbered(rows.limit(0), "a", "b")[1] == 0
+
+
 def test_name_status_and_porcelain(spark):
     lines = ["A\ta.ts", "M\tb.ts", "D\tc.ts", "R100\td.ts\te.ts", "C80\tf.ts\tg.ts", "T\th.ts", "X\tq", "R100\tonly", ""]
     df = spark.createDataFrame(list(enumerate(lines)), "ord int, line string")
