@@ -105,10 +105,87 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM split s LEFT JOIN fits f ON s.page_id = f.page_id AND f.k = 1
 """
 
+OP11 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.node
+), roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node
+), counts AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept
+FROM embeddings e JOIN roots r ON r.node = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+), sizes AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0
+), whole AS (SELECT CAST(count(*) AS BIGINT) AS cn, CAST(sum(n) AS BIGINT) AS cl FROM sizes
+), tf AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * cn + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w FROM df, whole
+), q AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (
+    SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY item_id, term
+), scored AS (
+  SELECT q.item_id, tf.doc_id, CAST(sum(q.times * weights.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * s.n * cn) // cl)))) AS BIGINT) AS score
+  FROM q JOIN weights USING (term) JOIN tf USING (term) JOIN sizes s ON s.doc_id = tf.doc_id, whole GROUP BY q.item_id, tf.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP13 = r"""
+WITH RECURSIVE bits(n, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8
+), words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, tab
+), places AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS put, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, (h // 10) % 8 AS g FROM words
+), changed AS (
+  SELECT doc_id, n, CASE WHEN put THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g)) END]) ELSE w END AS w
+  FROM places
+), flat AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM changed
+), pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM flat x JOIN flat y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i
+), islands AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len
+  FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(len AS BIGINT) AS len, CAST(q AS BIGINT) AS q
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s, len ORDER BY q) AS k FROM islands WHERE len >= 24 AND len >= 3 * q) WHERE k = 1
+), strongest AS (
+  SELECT doc_id, s, len, q FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len // q DESC, CAST(len % q AS DOUBLE) / q DESC, s, q) AS k FROM runs) WHERE k = 1
+), listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id
+), gone AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s + q, s + len)) AS i FROM runs) GROUP BY doc_id)
+SELECT c.doc_id, CAST(coalesce(l.n_runs, 0) AS BIGINT) AS n_runs, b.s AS start, b.len AS length, b.q AS period, (1000 * b.len) // b.q AS exponent_milli,
+       sha256(coalesce(l.lines, '')) AS runs_sha256,
+       sha256(array_to_string(list_transform(list_filter(range(0, c.n), lambda i: g.gone IS NULL OR NOT list_contains(g.gone, i)), lambda i: c.w[i + 1]), ' ')) AS collapsed_sha256
+FROM changed c LEFT JOIN listed l ON l.doc_id = c.doc_id LEFT JOIN strongest b ON b.doc_id = c.doc_id LEFT JOIN gone g ON g.doc_id = c.doc_id
+"""
+
 SQL = {
     "op3_topk_search": OP3,
     "op6_decontaminate": OP6,
     "op8_substring_dedup": OP8,
     "op9_warc": OP9,
     "op10_url_filters": OP10,
+    "op11_embedding_dedup": OP11,
+    "op12_ranked_search": OP12,
+    "op13_periodic_runs": OP13,
 }

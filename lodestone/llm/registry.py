@@ -11,7 +11,22 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mainblocks, oracles, pieces_bpe, quality, simhash, substrings, tokencounts, topk, urlfilter, warc
+from . import (
+    decontaminate,
+    mainblocks,
+    oracles,
+    periodic,
+    pieces_bpe,
+    quality,
+    ranked,
+    simhash,
+    substrings,
+    tokencounts,
+    topk,
+    urlfilter,
+    veccodes,
+    warc,
+)
 from .common import table
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -72,6 +87,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_quality,
     op2_token_counts,
@@ -83,6 +110,9 @@ QUERIES = (
     op8_substring_dedup,
     op9_warc,
     op10_url_filters,
+    op11_embedding_dedup,
+    op12_ranked_search,
+    op13_periodic_runs,
 )
 
 

@@ -20,6 +20,9 @@ COLUMNS = {
     8: ["doc_id", "n_words", "n_removed", "kept_sha256"],
     9: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     10: ["page_id", "host", "path", "rule", "verdict"],
+    11: ["vec_id", "n_links", "component_id", "kept"],
+    12: ["item_id", "rank", "doc_id", "score"],
+    13: ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
@@ -39,6 +42,6 @@ def test_whole_table_comes_back(spark, name):
     number = int(name[2:].split("_")[0])
     if number in COLUMNS:
         assert df.columns == COLUMNS[number]
-    table = "pages" if number in (5, 9, 10) else "documents"
-    if number != 3:
+    table = "pages" if number in (5, 9, 10) else "embeddings" if number == 11 else "documents"
+    if number not in (3, 12):
         assert df.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
