@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..operators.persist import ship
-from . import code_queries, graph_queries, history_queries
+from . import code_queries, extract_queries, graph_queries, history_queries
 from .base import ORACLES, QUERIES
 
-MODULES = (history_queries, code_queries, graph_queries)
+MODULES = (history_queries, code_queries, graph_queries, extract_queries)
 
 
 def queries() -> dict:

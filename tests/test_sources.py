@@ -156,7 +156,7 @@ def test_symbols(facts):
         ("Button.tsx", "Button", "component", 3, 6, None), ("Button.tsx", "Props", "interface", 7, 7, None), ("Button.tsx", "Color", "enum", 8, 8, None),
         ("sync.py", "TIMEOUT", "constant", 6, 6, None), ("sync.py", "Sync", "class", 10, 18, None), ("sync.py", "run", "method", 13, 15, "Sync"),
         ("sync.py", "stop", "method", 17, 18, "Sync"), ("sync.py", "helper", "function", 21, 23, None),
-        ("auth.rs", "Auth", "struct", 4, 4, None), ("auth.rs", "Store", "trait", 6, 8, None), ("auth.rs", "find", "method", 7, 7, "Store"),
+        ("auth.rs", "Auth", "struct", 4, 4, None), ("auth.rs", "Store", "trait", 6, 8, None),
         ("auth.rs", "find", "method", 11, 13, "Auth"), ("auth.rs", "LIMIT", "constant", 16, 16, None), ("auth.rs", "boot", "function", 18, 22, None),
     }
 
@@ -187,7 +187,7 @@ def test_engine_end_to_end(spark, root, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"))
     key = engine.index(root)
     assert [r.name for r in engine.repositories().collect()] == ["shop"]
-    assert engine.files(key).count() == 5 and engine.overview(key).first().symbols == 23
+    assert engine.files(key).count() == 5 and engine.overview(key).first().symbols == 22
     nodes = {r.name: r.symbol_id for r in engine._nodes(key).collect()}
     edges = {(r.source_id, r.target_id, r.kind) for r in engine.store.load("edges", key).collect()}
     assert (nodes["Button"], nodes["load"], "calls") in edges and (nodes["Button"], nodes["load"], "imports") in edges
