@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import graph, health, history, incremental, resolve, retrieval, search
+from .operators import adjacency, graph, health, history, incremental, narratives, postings, resolve, retrieval, search
 from .operators import units as U
-from .operators.persist import persisted, scratch, shared_dir, ship
+from .operators.persist import persisted, scratch, settled, shared_dir, ship
 from .operators.retrieval import BadRequest, NotFound
 from .sources import git, tree
 from .sources.extract import extract
@@ -47,12 +47,51 @@ class Engine:
         self.store.save_run(self.spark.createDataFrame([row], RUN_SCHEMA))
 
     def index(self, source: str, repository_id: str | None = None) -> str:
-        """Index a folder or a repository URL; a known one is indexed anew where it changed. Returns its id."""
-        with scratch():
-            return self._index(source, repository_id)
-
-    def _index(self, source: str, repository_id: str | None) -> str:
-        run_id, started = str(uuid.uuid4()), int(time.time())
+        """Index a folder or a repository URL; a known one is indexed anew where it changed. Returns its id.
+
+        A source that is being indexed isn't indexed twice: the run under way is waited for.
+        """
+        url = git.canonical(source)
+        run_id = str(uuid.uuid4())
+        holder = self.store.claim(url, run_id)
+        if holder != run_id:
+            return self._wait(holder)
+        try:
+            with scratch():
+                return self._index(url, repository_id, run_id)
+        finally:
+            self.store.release(url, run_id)
+
+    def enqueue(self, source: str) -> str:
+        """The run that would index a source now: the one under way, or a new one, which is recorded as queued."""
+        url, run_id = git.canonical(source), str(uuid.uuid4())
+        holder = self.store.claim(url, run_id)
+        if holder == run_id:
+            self._run(run_id, url, "queued", int(time.time()))
+        return holder
+
+    def run(self, run_id: str) -> str:
+        """Do what ``enqueue`` recorded; returns the repository's id."""
+        row = self.job(run_id).first()
+        try:
+            with scratch():
+                return self._index(row["source"], None, run_id)
+        finally:
+            self.store.release(row["source"], run_id)
+
+    def _wait(self, run_id: str, seconds: float = 3600) -> str:
+        until = time.time() + seconds
+        while time.time() < until:
+            row = self.runs().where(F.col("id") == run_id).first()
+            if row is not None and row["status"] == "succeeded":
+                return row["repository_id"]
+            if row is not None and row["status"] == "failed":
+                raise RuntimeError(row["error"])
+            time.sleep(0.5)
+        raise TimeoutError(f"run {run_id} hasn't ended")
+
+    def _index(self, source: str, repository_id: str | None, run_id: str) -> str:
+        started = int(time.time())
         self._run(run_id, source, "queued", started)
         try:
             known = self.store.by_url(source).first()
@@ -62,16 +101,18 @@ class Engine:
             prefix = git.prefix_of(where["root"])
             files = persisted(tree.walk(self.spark, where["root"], repository_id=key, **tree.limits()), "files")
             stage = lambda name: self._run(run_id, source, name, started, key)
-            if known and self.store.has("files"):
+            if known and self.store.has("files", key):
                 tables, lines = self._refresh(files, key, self._changes(where, known, prefix), stage)
             else:
                 tables, lines = self._extract_all(files, stage)
             stage("persisting")
+            if tables:
+                posted = persisted(postings.postings(tables["units"]), "postings")
+                tables |= {"postings": postings.dealt(posted, "run"), "grams": postings.dealt(postings.grams(posted), "gram"), "adjacency": adjacency.adjacency(persisted(tables["edges"], "edges"))}
             past = {"touches": git.touches(self.spark, where["root"], prefix), "branches": git.branches(self.spark, where["root"])}
-            for name, rows in {**tables, **past}.items():
-                # written beside and read back first: a table may be overwritten by rows that are read from it
-                self.store.save(name, self.store.staged(rows, name), key)
-            row = (key, where["name"], source, where["branch"], where["sha"], known["created_at"] if known else started, lines)
+            # all tables become current at once
+            self.store.commit(key, self.store.write(key, {**tables, **past}))
+            row = (key, where["name"], where["url"], where["branch"], where["sha"], known["created_at"] if known else started, lines)
             self.store.save_repository(self.spark.createDataFrame([row], REPOSITORY_SCHEMA))
         except Exception as problem:
             self._run(run_id, source, "failed", started, error=str(problem)[:500])
@@ -174,27 +215,33 @@ class Engine:
     def symbols(self, repository_id: str, query: str | None = None, kind: str | None = None) -> DataFrame:
         symbols, files, units = self._load(repository_id, "symbols", "files", "units")
         try:
-            return search.symbol_list(symbols, files, units, query, kind)
+            return search.symbol_list(symbols, files, units, query, kind, self._lexicon(repository_id))
         except ValueError as problem:
             raise BadRequest(str(problem)) from problem
 
+    def _lexicon(self, repository_id: str) -> postings.Lexicon:
+        return postings.Lexicon(*self._load(repository_id, "postings", "grams"))
+
     def search(self, repository_id: str, query: str) -> DataFrame:
-        symbols, files, units, vectors = self._load(repository_id, "symbols", "files", "units", "embeddings")
-        return search.hybrid_search(symbols, files, units, query, vectors=vectors)
+        symbols, files, units = self._load(repository_id, "symbols", "files", "units")
+        vectors = self.store.load("embeddings", repository_id, parts=True)
+        return search.hybrid_search(symbols, files, units, query, vectors=vectors, lexicon=self._lexicon(repository_id))
 
     def graph(self, repository_id: str, focus: str | None = None, depth: int = 2, full: bool = False) -> tuple[DataFrame, DataFrame]:
-        """Nodes with coordinates, and the edges among them: all, around a symbol, or the 48 best connected."""
-        nodes, edges = self._nodes(repository_id), self._load(repository_id, "edges")[0]
+        """Nodes and the edges among them: all (without coordinates), or those around a symbol or the 48 best connected, placed."""
+        nodes, (edges, adjacent) = self._nodes(repository_id), self._load(repository_id, "edges", "adjacency")
         if full:
             return nodes, edges
-        if focus is None:
-            kept = graph.compact_view(edges, nodes).select("symbol_id")
-            return nodes.join(kept, "symbol_id", "left_semi"), graph.induced(edges, kept)
-        self._symbol(nodes, focus)
-        kept = graph.neighborhood(edges, focus, depth).select("symbol_id")
-        inner = graph.induced(edges, kept)
-        placed = graph.layout(graph.signed_layers(inner, focus, max(depth, 1)), nodes)
-        return nodes.join(placed, "symbol_id"), inner
+        with scratch():
+            if focus is None:
+                view = settled(graph.compact_view(edges, nodes), "view")
+                inner, placed = graph.induced(edges, view), graph.compact_layout(edges, view)
+                return nodes.join(settled(placed, "placed"), "symbol_id"), settled(inner, "inner")
+            self._symbol(nodes, focus)
+            kept = settled(graph.neighborhood(edges, focus, depth, adjacent), "hood").select("symbol_id")
+            inner = settled(graph.induced(edges, kept), "inner")
+            placed = graph.layout(graph.signed_layers(inner, focus, max(depth, 1)), nodes)
+            return nodes.join(settled(placed, "placed"), "symbol_id"), inner
 
     def _symbol(self, nodes: DataFrame, symbol_id: str):
         found = nodes.where(F.col("symbol_id") == symbol_id).first()
@@ -203,16 +250,23 @@ class Engine:
         return found
 
     def impact(self, repository_id: str, symbol_id: str) -> DataFrame:
-        nodes, edges = self._nodes(repository_id), self._load(repository_id, "edges")[0]
+        nodes, (edges, adjacent) = self._nodes(repository_id), self._load(repository_id, "edges", "adjacency")
         self._symbol(nodes, symbol_id)
-        return graph.impact_report(edges, nodes, symbol_id).orderBy("depth", "name", "symbol_id")
+        with scratch():
+            return settled(graph.impact_report(edges, nodes, symbol_id, stored=adjacent), "impact").orderBy("depth", "name", "symbol_id")
 
     def explain(self, repository_id: str, symbol_id: str) -> DataFrame:
+        """What a symbol is and does, with the place of its unit as a citation."""
         self._symbol(self._nodes(repository_id), symbol_id)
         return retrieval.explain_symbol(*self._load(repository_id, "symbols", "files", "units", "edges"), symbol_id)
 
     def explain_impact(self, repository_id: str, symbol_id: str) -> DataFrame:
-        return retrieval.explain_impact(self.impact(repository_id, symbol_id))
+        """Counts, the narrative and its citations."""
+        report = self.impact(repository_id, symbol_id)
+        places = retrieval.impact_citations(report, self._load(repository_id, "units")[0])
+        entry = F.struct("list", "depth", "name", "symbol_id", "place", "key")
+        cited = places.agg(F.array_sort(F.collect_list(entry)).alias("citations"))  # seven at most
+        return retrieval.explain_impact(report).crossJoin(cited)  # one row each
 
     def dependencies(self, repository_id: str, symbol_id: str) -> DataFrame:
         return graph.dependencies(self._load(repository_id, "edges")[0], self._nodes(repository_id), symbol_id).orderBy("name")
@@ -223,6 +277,15 @@ class Engine:
     def related(self, repository_id: str, symbol_id: str) -> DataFrame:
         return graph.related(self._load(repository_id, "edges")[0], self._nodes(repository_id), symbol_id).orderBy("name")
 
+    def outline(self, repository_id: str) -> DataFrame:
+        """One row: the layers of the repository in a sentence."""
+        return narratives.outline_summary(self._load(repository_id, "files")[0])
+
+    def summary(self, repository_id: str) -> DataFrame:
+        """One row: the repository in three sentences."""
+        files, symbols = self._load(repository_id, "files", "symbols")
+        return narratives.repository_summary(files, symbols, self._repository(repository_id)["name"])
+
     def symbol(self, symbol_id: str) -> DataFrame:
         """A symbol of any repository."""
         found = self.store.everything("symbols").where(F.col("symbol_id") == symbol_id)
@@ -232,13 +295,13 @@ class Engine:
         return found.join(files, ["repository_id", "file_id"])
 
     def ask(self, repository_id: str, question: str, model: retrieval.Model | None = None) -> DataFrame:
-        units, edges, touches, branches, vectors = self._load(repository_id, "units", "edges", "touches", "branches", "embeddings")
+        units, edges, touches, branches, files, adjacent = self._load(repository_id, "units", "edges", "touches", "branches", "files", "adjacency")
+        vectors = self.store.load("embeddings", repository_id, parts=True)
         question = retrieval.check_question(question)
-        if retrieval.intent_of(units, question) == "evolution":
-            rows = retrieval.answer_evolution(touches, branches, question)
-            told = F.array_join(F.collect_list(F.format_string("%s (%d)", "subject", "n")), ", ")
-            return rows.agg(told.alias("text")).withColumns({"mode": F.lit("extractive"), "intent": F.lit("evolution")})
-        return retrieval.ask(units, edges, question, model, vectors)
+        with scratch():
+            if retrieval.intent_of(units, question) == "evolution":
+                return retrieval.ask_evolution(touches, branches, self._nodes(repository_id), question)
+            return retrieval.ask(units, edges, question, model, vectors, self._lexicon(repository_id), adjacent, files)
 
     def evolution(self, repository_id: str) -> dict[str, DataFrame]:
         touches, branches = self._load(repository_id, "touches", "branches")

@@ -121,9 +121,9 @@ def redact_secrets(text: Column) -> Column:
 
 def handles(text: Column) -> Column:
     """What a unit says it handles: its comments, else its telling tokens; six at most."""
-    trimmed = F.transform(lines(text), lambda x: F.trim(x))
+    trimmed = F.transform(lines(text), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", ""))
     marked = F.filter(trimmed, lambda x: x.startswith("//") | x.startswith("#"))
-    bare = F.transform(marked, lambda x: F.trim(F.regexp_replace(x, r"^[/#]+", "")))
+    bare = F.transform(marked, lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?://|#)", ""), r"^[\s\p{Z}]+", ""))
     comments = F.filter(bare, lambda x: F.octet_length(x) > 3)
     before = F.concat(F.array(F.lit(None).cast("string")), comments)
     changed = F.zip_with(comments, before, lambda x, y: F.when(y.isNull() | (x != y), x))

@@ -6,10 +6,11 @@ level per Spark job; the visited set is written to the shared folder each level.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .adjacency import Stored
 from .persist import persisted
 
 # fixed values
@@ -88,24 +89,33 @@ def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
     return dealt.withColumn("idx", (within + F.element_at(F.create_map(*offsets), F.col("_part"))).cast("long")).drop("_part"), before
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int, max_nodes: int | None = None) -> DataFrame:
-    """(symbol_id, depth): breadth-first from ``starts`` (symbol_id) along source -> target.
+class Hops:
+    """Steps over edges that aren't stored for it: they are written once, by the node a step leaves from."""
+
+    def __init__(self, edges: DataFrame):
+        self.rows = persisted(edges.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("symbol_id")).distinct(), "hops")
+
+    def step(self, frontier: DataFrame, size: int) -> DataFrame:
+        return frontier.join(self.rows, "from_id")
+
+
+def reach(hops: Hops | Stored, starts: DataFrame, depth: int, max_nodes: int | None = None) -> DataFrame:
+    """(symbol_id, depth): breadth-first from ``starts`` (symbol_id).
 
     With ``max_nodes`` a level stops before the first node, in breadth-first
     order, that finds so many nodes visited already.
     """
-    hops = persisted(edges.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("symbol_id")).distinct(), "hops")
     visited = persisted(starts.select("symbol_id").distinct().select("symbol_id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")), "reach")
-    done = visited.count()
+    done = size = visited.count()
     for level in range(1, depth + 1):
         frontier = visited.where(F.col("depth") == level - 1).select(F.col("symbol_id").alias("from_id"), F.col("place").alias("from_place"))
-        found = frontier.join(hops, "from_id").join(visited.select("symbol_id"), "symbol_id", "left_anti")
+        found = hops.step(frontier, size).join(visited.select("symbol_id"), "symbol_id", "left_anti")
         first = found.groupBy("symbol_id").agg(F.min("from_place").alias("from_place"))
         if max_nodes is not None:
             if done >= max_nodes:
                 break
-            first, size = numbered(first, "from_place", "symbol_id")
-            if not size:
+            first, found_now = numbered(first, "from_place", "symbol_id")
+            if not found_now:
                 break
             # the nodes found from one node are in a row; those whose turn comes after the limit find none
             turns = first.groupBy("from_place").agg(F.min("idx").alias("turn")).where(F.col("turn") - 1 + done < max_nodes)
@@ -114,33 +124,40 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, max_nodes: int | None
         else:
             place = F.lit(0).cast("long")
         new = persisted(first.select("symbol_id", F.lit(level).alias("depth"), place.alias("place")), "reach")
-        more = new.count() if max_nodes is not None else int(not new.isEmpty())
-        if not more:
+        size = new.count()
+        if not size:
             break
-        done += more
+        done += size
         visited = visited.unionByName(new)
     return visited.select("symbol_id", "depth")
 
 
-def neighborhood(edges: DataFrame, node: str, depth: int) -> DataFrame:
-    """Nodes within ``depth`` hops of a node, in either direction, all kinds."""
-    both = edges.select("source_id", "target_id").unionByName(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
-    start = edges.sparkSession.createDataFrame([(node,)], "symbol_id string")
-    return reach(both, start, max(depth, 1))
+def one(spark: SparkSession, node: str) -> DataFrame:
+    return spark.createDataFrame([(node,)], "symbol_id string")
+
 
+def neighborhood(edges: DataFrame, node: str, depth: int, stored: DataFrame | None = None) -> DataFrame:
+    """Nodes within ``depth`` hops of a node, in either direction, all kinds; ``stored`` is the edges' adjacency table."""
+    if stored is not None:
+        hops = Stored(stored, ("out", "in"))
+    else:
+        hops = Hops(edges.select("source_id", "target_id").unionByName(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))))
+    return reach(hops, one(edges.sparkSession, node), max(depth, 1))
 
-def impact(edges: DataFrame, node: str, max_nodes: int | None = MAX_NODES, depth: int = MAX_DEPTH) -> DataFrame:
+
+def impact(edges: DataFrame, node: str, max_nodes: int | None = MAX_NODES, depth: int = MAX_DEPTH, stored: DataFrame | None = None) -> DataFrame:
     """(symbol_id, depth) of what depends on a node, directly (1) or not; the node itself has depth 0."""
-    back = edges.where(F.col("kind").isin(*DEPENDENT_KINDS)).select(
-        F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")
-    )
-    start = edges.sparkSession.createDataFrame([(node,)], "symbol_id string")
-    return reach(back, start, depth, max_nodes)
+    if stored is not None:
+        hops = Stored(stored, ("in",), DEPENDENT_KINDS)
+    else:
+        back = edges.where(F.col("kind").isin(*DEPENDENT_KINDS))
+        hops = Hops(back.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+    return reach(hops, one(edges.sparkSession, node), depth, max_nodes)
 
 
-def impact_report(edges: DataFrame, nodes: DataFrame, node: str, max_nodes: int | None = MAX_NODES) -> DataFrame:
+def impact_report(edges: DataFrame, nodes: DataFrame, node: str, max_nodes: int | None = MAX_NODES, stored: DataFrame | None = None) -> DataFrame:
     """The impact set with names, and which lists each dependent is in."""
-    found = impact(edges, node, max_nodes).join(nodes, "symbol_id")
+    found = impact(edges, node, max_nodes, stored=stored).join(nodes, "symbol_id")
     path = F.col("path")
     return found.select(
         "symbol_id",
@@ -193,6 +210,16 @@ def signed_layers(edges: DataFrame, node: str, depth: int) -> DataFrame:
     return known.select("symbol_id", "layer")
 
 
+def compact_layout(edges: DataFrame, view: DataFrame) -> DataFrame:
+    """``layout`` of a compact view around its best connected node; what that doesn't lead to lies in its layer."""
+    first = view.orderBy(F.desc("degree"), "name", "symbol_id").first()
+    if first is None:
+        return layout(view.select("symbol_id", F.lit(0).alias("layer")), view)
+    layers = signed_layers(induced(edges, view), first["symbol_id"], view.count())  # a view has 48 nodes
+    every = view.select("symbol_id").join(layers, "symbol_id", "left")
+    return layout(every.select("symbol_id", F.coalesce("layer", F.lit(0)).alias("layer")), view)
+
+
 def layout(layers: DataFrame, nodes: DataFrame) -> DataFrame:
     """Coordinates: layers in rows, the nodes of a layer centred by name and id."""
     rows = layers.join(nodes.select("symbol_id", "name"), "symbol_id")

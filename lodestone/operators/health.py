@@ -67,11 +67,11 @@ def health(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
         F.count("*").alias("files"),
         F.countDistinct("language").alias("languages"),
         F.count_if(P.is_test(path)).alias("test_files"),
-        F.count_if(P.is_route(path)).alias("endpoints"),
         F.count_if(P.layer(path) != "other").alias("mapped_files"),
     )
     placed = symbols.join(files.select("file_id", "path"), "file_id")
-    of_symbols = placed.agg(F.count("*").alias("symbols"), F.count_if(P.is_test(path)).alias("test_symbols"))
+    endpoint = F.col("kind").isin("function", "method", "component") & P.is_route(path)
+    of_symbols = placed.agg(F.count("*").alias("symbols"), F.count_if(P.is_test(path)).alias("test_symbols"), F.count_if(endpoint).alias("endpoints"))
     of_edges = edges.agg(F.count_if(F.col("kind") == "imports").alias("dependencies"))
     every = of_files.join(F.broadcast(of_symbols)).join(F.broadcast(of_edges)).join(F.broadcast(complexity(symbols, edges)))
     return every.select(

@@ -9,14 +9,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-MADE: list[tuple[SparkSession, str]] = []
-"""The intermediate tables written so far."""
-
+HELD: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("held", default=None)
+"""The intermediate tables of the innermost ``scratch`` of this thread; None outside of any."""
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -52,19 +52,39 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
+    held = HELD.get()
+    if held is not None:
+        held.append((spark, path))
     df.write.parquet(path)
-    MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Delete the tables of ``persisted`` that are made within: for steps whose results are stored elsewhere."""
-    mark = len(MADE)
+    """Delete the tables of ``persisted`` that this thread makes within: for steps whose results are stored elsewhere."""
+    token = HELD.set([])
     try:
         yield
     finally:
-        for spark, path in MADE[mark:]:
+        for spark, path in HELD.get():
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        del MADE[mark:]
+        HELD.reset(token)
+
+
+SETTLED = 20_000
+
+
+def settled(df: DataFrame, label: str, limit: int = SETTLED) -> DataFrame:
+    """A short result as rows of its own, so that what it was made from can go; a longer one is written out and stays.
+
+    Call it within ``scratch``; rows are at most ``limit`` on the driver.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    held = HELD.set(None)
+    try:
+        return persisted(df, label)
+    finally:
+        HELD.reset(held)

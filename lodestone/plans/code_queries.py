@@ -109,8 +109,8 @@ def structural_complexity(spark, sf_dir):
 
 @query(
     f"""WITH {SYMBOLS}, {NEXT}, layered AS (SELECT *, {LAYER} AS layer, {TEST} AS is_test, {ROUTE} AS is_route FROM files),
-fc AS (SELECT count(*) AS files, count(DISTINCT language) AS languages, count(*) FILTER (is_test) AS test_files, count(*) FILTER (is_route) AS endpoints, count(*) FILTER (layer <> 'other') AS mapped_files FROM layered),
-sc AS (SELECT count(*) AS symbols, count(*) FILTER (is_test) AS test_symbols FROM symbols JOIN layered USING (file_id))
+fc AS (SELECT count(*) AS files, count(DISTINCT language) AS languages, count(*) FILTER (is_test) AS test_files, count(*) FILTER (layer <> 'other') AS mapped_files FROM layered),
+sc AS (SELECT count(*) AS symbols, count(*) FILTER (is_test) AS test_symbols, count(*) FILTER (is_route AND kind IN ('function', 'method', 'component')) AS endpoints FROM symbols JOIN layered USING (file_id))
 SELECT files, languages, symbols, test_files, test_symbols, endpoints, CAST(0 AS BIGINT) AS dependencies, {COMPLEXITY} AS complexity,
        round(mapped_files / files, 6) AS mapped, round(test_files / files, 6) AS test_presence FROM fc, sc"""
 )
@@ -252,8 +252,8 @@ def stable_ids(spark, sf_dir):
     )
 
 
-HANDLED = f"""WITH {UNITS}, l AS (SELECT symbol_id, text, list_transform({lines_sql("text")}, lambda x: trim(x, ' ')) AS ls FROM units),
-c AS (SELECT symbol_id, text, list_filter(list_transform(list_filter(ls, lambda x: starts_with(x, '//') OR starts_with(x, '#')), lambda x: trim(regexp_replace(x, '^[/#]+', ''), ' ')), lambda x: strlen(x) > 3) AS cs FROM l),
+HANDLED = f"""WITH {UNITS}, l AS (SELECT symbol_id, text, list_transform({lines_sql("text")}, lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')) AS ls FROM units),
+c AS (SELECT symbol_id, text, list_filter(list_transform(list_filter(ls, lambda x: starts_with(x, '//') OR starts_with(x, '#')), lambda x: regexp_replace(substr(x, CASE WHEN starts_with(x, '//') THEN 3 ELSE 2 END), '^[\\s\\pZ]+', '')), lambda x: strlen(x) > 3) AS cs FROM l),
 d AS (SELECT symbol_id, text, list_filter(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN i > 1 AND cs[i] = cs[i - 1] THEN NULL ELSE cs[i] END), lambda x: x IS NOT NULL) AS cs FROM c)
 SELECT symbol_id, array_to_string((CASE WHEN len(cs) > 0 THEN cs ELSE list_sort(list_distinct(list_filter({tokens("text")}, lambda x: length(x) > 4 AND {has("x", "fail", "retry", "notify", "status", "transaction", "stripe", "session", "auth")}))) END)[1:6], ';') AS handles FROM d"""
 

@@ -20,6 +20,16 @@ def git(root: str | Path, *args: str) -> str:
     return done.stdout
 
 
+TRANSPORTS = re.compile(r"(?:https?|ssh|git|file)://|[\w.-]+@[\w.-]+:")
+"""What may be cloned: these transports, or ``user@host:path``; helpers that run commands aren't among them."""
+
+
+def canonical(spec: str) -> str:
+    """What a repository is known by: the resolved path of a local folder, else the URL as it is."""
+    local = Path(spec)
+    return str(local.resolve()) if local.exists() else spec
+
+
 def materialize(spec: str, cache: str) -> dict[str, str]:
     """A local folder, or a clone in the cache: root, name, branch and sha."""
     local = Path(spec)
@@ -30,13 +40,15 @@ def materialize(spec: str, cache: str) -> dict[str, str]:
         root = Path(cache) / name
         if root.exists():
             git(root, "fetch", "--all", "--prune")
+        elif not TRANSPORTS.match(spec):
+            raise ValueError(f"neither a folder nor a repository that can be cloned: {spec}")
         else:
-            subprocess.run(["git", "clone", "--depth", str(CLONE_DEPTH), spec, str(root)], check=True, capture_output=True)
+            subprocess.run(["git", "clone", "--depth", str(CLONE_DEPTH), "--", spec, str(root)], check=True, capture_output=True)
     try:
         branch, sha = git(root, "rev-parse", "--abbrev-ref", "HEAD").strip(), git(root, "rev-parse", "HEAD").strip()
     except subprocess.CalledProcessError:
         branch, sha = "HEAD", "working-tree"
-    return {"root": str(root), "name": root.name, "branch": branch, "sha": sha, "url": spec}
+    return {"root": str(root), "name": root.name, "branch": branch, "sha": sha, "url": canonical(spec)}
 
 
 def line_table(spark: SparkSession, text: str) -> DataFrame:

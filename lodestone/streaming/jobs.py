@@ -32,12 +32,19 @@ def runs(events: DataFrame) -> DataFrame:
     )
 
 
+def reduce_runs(rows: DataFrame, order: str) -> DataFrame:
+    """One row per run: the last values in the order of a column; source and started_at keep their first."""
+    columns = [c for c in rows.columns if c != order]
+    first = [F.min_by(c, order).alias(c) for c in ("source", "started_at")]
+    rest = [c for c in columns if c not in ("id", "source", "started_at")]
+    last = rows.groupBy("id").agg(*first, F.max_by(F.struct(*rest), order).alias("last"))
+    return last.select("id", "source", "started_at", "last.*").select(*columns)
+
+
 def upsert_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     """New rows replace old ones by id; source and started_at keep their first value."""
     every = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)))
-    first = [F.min_by(c, "_seq").alias(c) for c in ("source", "started_at")]
-    last = [F.max_by(c, "_seq").alias(c) for c in old.columns if c not in ("id", "source", "started_at")]
-    return every.groupBy("id").agg(*first, *last).select(*old.columns)
+    return reduce_runs(every, "_seq")
 
 
 def startable(requests: DataFrame, current: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ def payment(spark):
 def test_answers_lead_with_the_right_unit(payment):
     units, edges = payment
     row = retrieval.ask(units, edges, " Where are failed payments handled? ").first()
-    assert row.intent == "locate" and row.mode == "extractive" and row.text.startswith("handleFailure() is in src/services/payment.ts:10-16.")
+    assert row.intent == "locate" and row.mode == "extractive" and row.text.startswith("handleFailure()\n\nsrc/services/payment.ts:10\n\nHandles:\n- ")
     assert "AuthProvider" not in [c.path for c in row.citations] and row.citations[0].place == "src/services/payment.ts:10-16"
     auth = retrieval.ask(units, edges, "How does authentication work?").first()
     assert auth.text.startswith("AuthProvider")
@@ -257,7 +257,7 @@ def test_runs_and_store(spark, tmp_path):
         kept.save("files", spark.createDataFrame([(n,) for n in names_], "path string"), repo)
     assert [r.path for r in kept.load("files", "r1").collect()] == ["z"] and [r.path for r in kept.load("files", "r2").collect()] == ["c"]
     plan = kept.load("files", "r1")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(repository_id" in plan
+    assert "/data/r1/" in plan and "/data/r2/" not in plan
     old = spark.createDataFrame([(1,)], "a int")
     assert store.migrate(old, {"a": "b"}, {"c": "string"}).columns == ["b", "c"]
 
