@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
-from ..operators import health, retrieval, search
+from ..operators import adjacency, health, narratives, postings, retrieval, search
 from ..operators import units as U
+from ..operators.persist import persisted
 from . import views
 from .base import FILES, SENSITIVE, SYMBOLS, UNITS, bucket, lines_sql, low, query, tokens, up
 
@@ -89,6 +90,27 @@ def layer_outline(spark, sf_dir):
     return rows.withColumn("layers", F.array_join(text, ","))
 
 
+LABEL = "CASE layer WHEN 'api' THEN 'Controllers' WHEN 'services' THEN 'Services' WHEN 'repositories' THEN 'Repositories' WHEN 'database' THEN 'Database' WHEN 'workers' THEN 'Queue' WHEN 'components' THEN 'Components' WHEN 'hooks' THEN 'Hooks' WHEN 'pages' THEN 'Pages' WHEN 'external' THEN 'External APIs' ELSE 'Other' END"
+OUTLINE_TEXT = f"""{LAYERED}, c AS (SELECT {LABEL} || ' (' || count(*) || ')' AS told, {GROUP} AS g, {ORDER} AS place, count(*) AS n FROM layered GROUP BY layer),
+gs AS (SELECT upper(substr(g, 1, 1)) || substr(g, 2) || ' — ' || CAST(sum(n) AS BIGINT) || ' file' || CASE sum(n) WHEN 1 THEN '' ELSE 's' END || ': ' || string_agg(told, ', ' ORDER BY place) AS line,
+  list_position(['frontend','backend','infrastructure','other'], g) AS p FROM c GROUP BY g),
+outlined AS (SELECT 'Inferred from paths, not an LLM. ' || string_agg(line, '. ' ORDER BY p) AS text FROM gs)"""
+
+
+@query(f"WITH {OUTLINE_TEXT} SELECT text FROM outlined")
+def outline_text(spark, sf_dir):
+    return narratives.outline_summary(views.files(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SYMBOLS}, {OUTLINE_TEXT.removeprefix(FILES + ", ")},
+shares AS (SELECT language || ' ' || CAST(round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM files)) AS INTEGER) || '%' AS told FROM files WHERE language IS NOT NULL GROUP BY language)
+SELECT 'corpus has ' || (SELECT count(*) FROM files) || ' files and ' || (SELECT count(*) FROM symbols) || ' symbols. ' || (SELECT text FROM outlined) || '. Languages: ' || (SELECT string_agg(told, ', ' ORDER BY told) FROM shares) || '.' AS text"""
+)
+def summary_text(spark, sf_dir):
+    return narratives.repository_summary(views.files(spark, sf_dir), views.symbols(spark, sf_dir), "corpus")
+
+
 @query(
     f"""WITH {FILES}, k AS (SELECT language, count(*) AS n FROM files WHERE language IS NOT NULL GROUP BY language)
 SELECT language, n AS n_files, round(100.0 * n / (SELECT sum(n) FROM k), 6) AS percent, CAST(list_position(['typescript','javascript','rust','python'], language) AS INTEGER) AS place FROM k"""
@@ -323,7 +345,10 @@ def exact_scores(spark, sf_dir):
     return search.exact_scores(views.symbols(spark, sf_dir), views.files(spark, sf_dir), views.units(spark, sf_dir), "The ")
 
 
-@query(EXACT.replace("@Q", "pages") + " SELECT symbol_id, name, path, kind, CAST(score AS DOUBLE) AS score, source FROM hits WHERE score IS NOT NULL ORDER BY score DESC, name, symbol_id LIMIT 32")
+QUERY_OF_EXACT = EXACT.replace("@Q", "pages") + " SELECT symbol_id, name, path, kind, CAST(score AS DOUBLE) AS score, source FROM hits WHERE score IS NOT NULL ORDER BY score DESC, name, symbol_id LIMIT 32"
+
+
+@query(QUERY_OF_EXACT)
 def exact_search(spark, sf_dir):
     return search.exact_search(views.symbols(spark, sf_dir), views.files(spark, sf_dir), views.units(spark, sf_dir), "pages")
 
@@ -453,9 +478,72 @@ def context_pack(spark, sf_dir):
     return retrieval.context_pack(ranked, units).select("symbol_id", "rank", "path", "bytes_so_far")
 
 
-@query()
+class Stored:
+    """What an index stores of the units: postings, vectors and adjacency."""
+
+    def __init__(self, spark, sf_dir):
+        self.units = views.stored_units(spark, sf_dir)
+        posted = persisted(postings.postings(self.units), "postings")
+        pieces = postings.dealt(postings.grams(posted), "gram")
+        self.lexicon = postings.Lexicon(posted, persisted(pieces, "grams"))
+        vectors = search.embeddings(self.units).withColumn("part", F.col("bucket") % search.VECTOR_PARTS)
+        self.vectors = persisted(vectors, "vectors")
+        self.edges = views.unit_edges(spark, sf_dir)
+        self.adjacent = persisted(adjacency.adjacency(self.edges), "adjacency")
+
+
+@query(QUERY_OF_EXACT)
+def exact_search_stored(spark, sf_dir):
+    """Exact search over postings, texts unread."""
+    stored = Stored(spark, sf_dir)
+    return search.exact_search(views.symbols(spark, sf_dir), views.files(spark, sf_dir), stored.units, "pages", lexicon=stored.lexicon)
+
+
+@query(f"WITH {SEMANTIC} SELECT symbol_id, name, path, kind, CAST(score AS DOUBLE) AS score, 'semantic' AS source FROM near ORDER BY near.score DESC, symbol_id LIMIT 16")
+def semantic_search_stored(spark, sf_dir):
+    """Semantic search over stored vectors: the question's buckets only."""
+    stored = Stored(spark, sf_dir)
+    return search.semantic_search(stored.units, QUESTION, vectors=stored.vectors)
+
+
+@query(RETRIEVE + " SELECT symbol_id, CAST(round(score, 6) AS DOUBLE) AS score, name FROM top")
+def retrieve_stored(spark, sf_dir):
+    """The candidates of a question over stored tables."""
+    stored = Stored(spark, sf_dir)
+    return retrieval.retrieve(stored.units, stored.edges, QUESTION, stored.vectors, stored.lexicon, stored.adjacent)
+
+
+IMPACT_QUESTION = "What depends on a failed payment session?"
+RETRIEVE_IMPACT = RETRIEVE.replace("WITH ", "WITH RECURSIVE ", 1).replace(QUESTION, IMPACT_QUESTION).partition("every AS (")[0] + """found AS (SELECT * FROM r UNION ALL
+  SELECT symbol_id, 0.35, name FROM around JOIN units USING (symbol_id) WHERE symbol_id NOT IN (SELECT symbol_id FROM r)),
+origin AS (SELECT symbol_id FROM found ORDER BY score DESC, name, symbol_id LIMIT 1),
+walk(symbol_id, depth) AS (SELECT symbol_id, 0 FROM origin UNION ALL SELECT e.source_id, depth + 1 FROM walk JOIN unit_edges e ON e.target_id = walk.symbol_id WHERE depth < 16),
+told AS (SELECT u.symbol_id, u.name FROM walk JOIN units u USING (symbol_id) WHERE depth = 1 OR depth > 1 AND (kind = 'component' OR regexp_matches(path, '(^|[/.\\-_])components?([/.\\-_]|$)')
+  OR ((ends_with(path, '.tsx') OR ends_with(path, '.jsx')) AND regexp_matches(name, '^\\p{Lu}')))),
+every AS (SELECT * FROM found UNION ALL SELECT symbol_id, 0.3, name FROM told WHERE symbol_id NOT IN (SELECT symbol_id FROM found)),
+top AS (SELECT symbol_id, score, name FROM every ORDER BY score DESC, name, symbol_id LIMIT 12)"""
+
+
+@query(RETRIEVE_IMPACT + " SELECT symbol_id, CAST(round(score, 6) AS DOUBLE) AS score, name FROM top")
+def retrieve_impact(spark, sf_dir):
+    """The candidates of a question about impact: direct dependents and components of the best one come in."""
+    return retrieval.retrieve(views.stored_units(spark, sf_dir), views.unit_edges(spark, sf_dir), IMPACT_QUESTION)
+
+
+ANSWERED = RETRIEVE + f""", ranked AS (SELECT u.*, CAST(row_number() OVER (ORDER BY round(top.score, 6) DESC, top.name, u.symbol_id) AS INTEGER) AS rank FROM top JOIN units u USING (symbol_id)),
+ packed AS (SELECT * FROM (SELECT *, sum(strlen(text)) OVER (ORDER BY rank) AS bytes FROM ranked) WHERE bytes <= 12000),
+ shown AS (SELECT * FROM packed WHERE path = (SELECT path FROM packed WHERE rank = 1) ORDER BY rank LIMIT 4),
+ counted AS (SELECT count(*) AS s, count(DISTINCT path) AS f FROM packed), lead AS (SELECT * FROM packed WHERE rank = 1), told AS (SELECT handles FROM ({HANDLED.replace("WITH " + UNITS + ",", "WITH").replace("FROM units)", "FROM lead)", 1).replace("';'", "chr(10) || '- '")}))
+ SELECT name || CASE WHEN kind IN ('function', 'method') THEN '()' ELSE '' END || chr(10) || chr(10) || path || ':' || start_line
+   || CASE WHEN handles = '' THEN '' ELSE chr(10) || chr(10) || 'Handles:' || chr(10) || '- ' || handles || chr(10) END AS text, 'extractive' AS mode, 'locate' AS intent,
+  CASE WHEN s >= 4 AND f >= 3 THEN 'high' WHEN s >= 2 AND f >= 2 THEN 'medium' ELSE 'low' END AS confidence,
+  'Retrieved ' || s || ' symbol' || CASE s WHEN 1 THEN '' ELSE 's' END || ' from ' || f || ' file' || CASE f WHEN 1 THEN '' ELSE 's' END AS retrieval_summary,
+  (SELECT string_agg(path || ':' || start_line || '-' || end_line, ',' ORDER BY rank) FROM shown) AS cited FROM lead, told, counted"""
+
+
+@query(ANSWERED)
 def grounded_answer(spark, sf_dir):
-    """A question answered with citations (tests check it on a small index)."""
+    """A question answered with citations."""
     rows = retrieval.ask(views.stored_units(spark, sf_dir), views.unit_edges(spark, sf_dir), QUESTION)
     return rows.select("text", "mode", "intent", "confidence", "retrieval_summary", F.array_join(F.transform("citations", lambda c: c["place"]), ",").alias("cited"))
 

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import graph, incremental, resolve, retrieval
+from ..operators import adjacency, graph, incremental, resolve, retrieval
 from ..operators import units as U
+from ..operators.persist import persisted
 from ..streaming import jobs
 from . import views
 from .base import EDGES, FILES, SYMBOLS, query
@@ -62,6 +63,22 @@ def graph_compact(spark, sf_dir):
     return graph.compact_view(views.edges(spark, sf_dir), views.nodes(spark, sf_dir))
 
 
+@query(
+    COMPACT
+    + """, inner_edges AS (SELECT DISTINCT source_id, target_id FROM edges WHERE source_id IN (SELECT symbol_id FROM top) AND target_id IN (SELECT symbol_id FROM top)),
+ steps AS (SELECT source_id AS a, target_id AS b, 1 AS step FROM inner_edges UNION SELECT target_id, source_id, -1 FROM inner_edges),
+ focus AS (SELECT symbol_id FROM top ORDER BY degree DESC, name, symbol_id LIMIT 1),
+ walk AS (SELECT symbol_id, 0 AS layer FROM focus), one AS (SELECT b AS symbol_id, arg_min(step, -step) AS layer FROM steps JOIN focus ON a = symbol_id WHERE b NOT IN (SELECT symbol_id FROM walk) GROUP BY b),
+ placed AS (SELECT * FROM walk UNION ALL SELECT * FROM one), every AS (SELECT t.symbol_id, t.name, coalesce(p.layer, 0) AS layer FROM top t LEFT JOIN placed p USING (symbol_id))
+ SELECT symbol_id, CAST(layer AS INTEGER) AS layer, CAST((row_number() OVER w - 1) * 188 - count(*) OVER (PARTITION BY layer) * 188 / 2 + 94 AS DOUBLE) AS x, CAST(layer * 118 AS DOUBLE) AS y
+ FROM every WINDOW w AS (PARTITION BY layer ORDER BY name, symbol_id)"""
+)
+def graph_compact_layout(spark, sf_dir):
+    """Coordinates of the nodes of highest degree (nations, that no path of two edges leads on from within them)."""
+    edges = views.edges(spark, sf_dir)
+    return graph.compact_layout(edges, graph.compact_view(edges, views.nodes(spark, sf_dir)))
+
+
 @query(COMPACT.replace("LIMIT 48", "LIMIT 200") + " SELECT source_id, target_id, kind FROM edges WHERE source_id IN (SELECT symbol_id FROM top) AND target_id IN (SELECT symbol_id FROM top)")
 def graph_compact_edges(spark, sf_dir):
     """The edges among the nodes of highest degree."""
@@ -111,6 +128,38 @@ def graph_impact(spark, sf_dir):
     return impact_rows(spark, sf_dir)
 
 
+def stored_edges(spark, sf_dir):
+    return persisted(adjacency.adjacency(views.edges(spark, sf_dir)), "adjacency")
+
+
+@query(IMPACT + " SELECT * FROM report")
+def graph_impact_stored(spark, sf_dir):
+    """The same over a stored adjacency table."""
+    return graph.impact_report(views.edges(spark, sf_dir), views.nodes(spark, sf_dir), ORIGIN, stored=stored_edges(spark, sf_dir))
+
+
+@query(HOOD + " SELECT * FROM hood")
+def graph_neighborhood_stored(spark, sf_dir):
+    return graph.neighborhood(views.edges(spark, sf_dir), ORIGIN, 2, stored_edges(spark, sf_dir))
+
+
+CAP = 400
+
+
+@query(
+    f"""WITH {EDGES}, back AS (SELECT DISTINCT target_id AS a, source_id AS b FROM edges WHERE kind <> 'contains'),
+one AS (SELECT b AS symbol_id, row_number() OVER (ORDER BY b) AS place FROM back WHERE a = '{NODE}'), done AS (SELECT 1 + count(*) AS n FROM one),
+two AS (SELECT b AS symbol_id, min(place) AS place FROM back JOIN one ON a = symbol_id WHERE b <> '{NODE}' AND b NOT IN (SELECT symbol_id FROM one) GROUP BY b),
+numbered AS (SELECT *, row_number() OVER (ORDER BY place, symbol_id) AS idx FROM two),
+turns AS (SELECT place FROM numbered GROUP BY place HAVING min(idx) - 1 + (SELECT n FROM done) < {CAP})
+SELECT '{NODE}' AS symbol_id, CAST(0 AS INTEGER) AS depth UNION ALL SELECT symbol_id, 1 FROM one
+UNION ALL SELECT symbol_id, 2 FROM numbered WHERE place IN (SELECT place FROM turns) AND (SELECT n FROM done) < {CAP}"""
+)
+def graph_impact_capped(spark, sf_dir):
+    """A search that the limit on nodes ends: the orders of a nation's suppliers."""
+    return graph.impact(views.edges(spark, sf_dir), NODE, CAP, depth=2)
+
+
 @query(
     IMPACT
     + """, g AS (SELECT path, count(*) AS symbols, bool_or(is_component) AS c FROM report GROUP BY path)
@@ -304,13 +353,13 @@ def inc_plan_with_diff(spark, sf_dir):
 MERGE = f"""WITH {SYMBOLS}, unit_edges AS (SELECT a.symbol_id AS source_id, b.symbol_id AS target_id, 'calls' AS kind FROM symbols a JOIN symbols b ON a.file_id = b.file_id AND b.ord = a.ord + 1),
 live_files AS (SELECT file_id FROM files WHERE doc_id % 11 <> 0), changed AS (SELECT file_id FROM files WHERE doc_id % 13 = 0),
 merged AS (SELECT symbol_id, file_id, name FROM symbols WHERE file_id IN (SELECT file_id FROM live_files) AND file_id NOT IN (SELECT file_id FROM changed)
- UNION ALL SELECT symbol_id, file_id, upper(name) FROM symbols WHERE file_id IN (SELECT file_id FROM changed) AND ord <= 3)"""
+ UNION ALL SELECT symbol_id, file_id, upper(name) FROM symbols WHERE file_id IN (SELECT file_id FROM changed))"""
 
 
 def merge_inputs(spark, sf_dir):
     files, symbols = views.files(spark, sf_dir), views.symbols(spark, sf_dir)
     changed = files.where("doc_id % 13 = 0").select("file_id")
-    fresh = symbols.join(changed, "file_id", "left_semi").where("ord <= 3").withColumn("name", F.upper("name")).select(*symbols.columns)
+    fresh = symbols.join(changed, "file_id", "left_semi").withColumn("name", F.upper("name")).select(*symbols.columns)
     return files.where("doc_id % 11 <> 0"), symbols, changed, fresh
 
 
@@ -324,13 +373,13 @@ def inc_merge_symbols(spark, sf_dir):
     MERGE
     + """ SELECT DISTINCT * FROM (
  SELECT e.* FROM unit_edges e JOIN symbols s ON s.symbol_id = e.source_id WHERE s.file_id NOT IN (SELECT file_id FROM changed) AND source_id IN (SELECT symbol_id FROM merged) AND target_id IN (SELECT symbol_id FROM merged)
- UNION ALL SELECT e.* FROM unit_edges e JOIN symbols s ON s.symbol_id = e.source_id WHERE s.file_id IN (SELECT file_id FROM changed) AND s.ord < 3) WHERE source_id <> target_id"""
+ UNION ALL SELECT e.* FROM unit_edges e JOIN symbols s ON s.symbol_id = e.source_id WHERE s.file_id IN (SELECT file_id FROM changed)) WHERE source_id <> target_id"""
 )
 def inc_merge_edges(spark, sf_dir):
     files, symbols, changed, fresh = merge_inputs(spark, sf_dir)
     edges = views.unit_edges(spark, sf_dir)
     merged = incremental.merge_symbols(symbols, fresh, files, changed)
-    starts = symbols.where("ord < 3").join(changed, "file_id", "left_semi").select(F.col("symbol_id").alias("source_id"))
+    starts = symbols.join(changed, "file_id", "left_semi").select(F.col("symbol_id").alias("source_id"))
     return incremental.merge_edges(edges, edges.join(starts, "source_id", "left_semi"), merged, changed)
 
 

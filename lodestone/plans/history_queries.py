@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import history as H
-from ..operators import retrieval
+from ..operators import narratives, retrieval
 from . import views
 from .base import TOUCHES, query
 
@@ -155,3 +155,30 @@ def evolution_commits(spark, sf_dir):
 @query("SELECT n_name AS subject, CAST(n_name = 'FRANCE' AS BIGINT) AS n, 'branches' AS route FROM nation")
 def evolution_branches(spark, sf_dir):
     return retrieval.answer_evolution(views.touches(spark, sf_dir), branch_table(spark, sf_dir), "List the branches")
+
+
+NL = "chr(10)"
+
+
+def report_sql(title: str, line: str, rows: str, order: str) -> str:
+    return f"SELECT '{title}' || {NL} || {NL} || coalesce(string_agg({line} || {NL} || {NL}, '' ORDER BY {order}), '') AS text FROM ({rows})"
+
+
+@query(report_sql("Authors", f"name || ' <' || email || '>' || {NL} || commits || ' commits · ' || files_touched || ' file touches'", AUTHORS + " ORDER BY commits DESC, name, email LIMIT 12", "commits DESC, name, email"))
+def report_authors(spark, sf_dir):
+    return narratives.evolution_report(views.touches(spark, sf_dir), branch_table(spark, sf_dir), "authors")
+
+
+@query(report_sql("Files that change most frequently", f"path || {NL} || 'Changed ' || changes || ' times' || {NL} || contributors || ' contributors'", HOTSPOTS + " ORDER BY changes DESC, contributors DESC, path LIMIT 8", "changes DESC, contributors DESC, path"))
+def report_hotspots(spark, sf_dir):
+    return narratives.evolution_report(views.touches(spark, sf_dir), branch_table(spark, sf_dir), "hotspots")
+
+
+@query(report_sql("Recent commits", f"substr(sha, 1, 8) || '  ' || subject || {NL} || author_name || ' · ' || len(paths) || ' files'", f"WITH {TOUCHES} SELECT * FROM touches ORDER BY ord LIMIT 12", "ord"))
+def report_commits(spark, sf_dir):
+    return narratives.evolution_report(views.touches(spark, sf_dir), branch_table(spark, sf_dir), "commits")
+
+
+@query(report_sql("Branches", f"n_name || CASE WHEN n_name = 'FRANCE' THEN ' (default)' ELSE '' END || {NL} || substr(md5(n_name), 1, 12)", "SELECT n_name FROM nation", "n_name <> 'FRANCE', n_name"))
+def report_branches(spark, sf_dir):
+    return narratives.evolution_report(views.touches(spark, sf_dir), branch_table(spark, sf_dir), "branches")
