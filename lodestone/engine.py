@@ -7,6 +7,7 @@ Every answer is a DataFrame. Unknown things raise ``NotFound``, bad arguments
 from __future__ import annotations
 
 import subprocess
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -25,6 +26,10 @@ from .sources.store import REPOSITORY_SCHEMA, RUN_SCHEMA, Store
 from .streaming import jobs
 
 
+PROGRESS = threading.Lock()
+"""One reader of a session at a time takes up new events: they share a checkpoint."""
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, cache: str | None = None):
         """``root`` holds the index. Clones go to ``cache``, a local path that all executors see: by default one within the shared folder."""
@@ -45,6 +50,26 @@ class Engine:
         finished = int(time.time()) if stage in jobs.TERMINAL else None
         row = (run_id, repository_id, source, stage, stage, error, started, finished)
         self.store.save_run(self.spark.createDataFrame([row], RUN_SCHEMA))
+        self._event(run_id, stage, f"{stage} {source}", repository_id, error)
+
+    def _event(self, run_id: str, stage: str, message: str, repository_id: str | None = None, error: str | None = None, **counters: int) -> None:
+        """Tell what a run does, to who follows it."""
+        row = (run_id, repository_id, stage, message, error, time.time_ns() // 1000, *(counters.get(c) for c in jobs.COUNTERS))
+        self.store.append("events", self.spark.createDataFrame([row], jobs.EVENT))
+
+    def progress(self, run_id: str, seen: int = 0) -> DataFrame:
+        """For a reader that has seen so many events of a run: the snapshot, newer events, and how many of them are gone.
+
+        What has come since the last call, by whoever, is taken up first.
+        """
+        events = self.spark.readStream.schema(jobs.EVENT).option("recursiveFileLookup", True).parquet(self.store.path("events"))
+        out = self.store.path("progress")
+        with PROGRESS:
+            jobs.follow_stream(events, out, self.store.path("progress-state")).awaitTermination()
+        found = jobs.news(self.spark.read.parquet(f"{out}/*"), run_id, seen)
+        if found.isEmpty():
+            raise NotFound(f"no job {run_id}")
+        return found
 
     def index(self, source: str, repository_id: str | None = None) -> str:
         """Index a folder or a repository URL; a known one is indexed anew where it changed. Returns its id.
@@ -106,6 +131,7 @@ class Engine:
             else:
                 tables, lines = self._extract_all(files, stage)
             stage("persisting")
+            self._event(run_id, "persisting", f"{lines} lines", key, lines=lines, **{c: tables[c].count() for c in ("files", "symbols", "edges", "units") if c in tables})
             if tables:
                 posted = persisted(postings.postings(tables["units"]), "postings")
                 tables |= {"postings": postings.dealt(posted, "run"), "grams": postings.dealt(postings.grams(posted), "gram"), "adjacency": adjacency.adjacency(persisted(tables["edges"], "edges"))}

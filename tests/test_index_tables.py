@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.engine import Engine
 from lodestone.operators import adjacency, graph, narratives, persist, postings, retrieval, search
 from lodestone.sources import git, store
+from lodestone.streaming import jobs
 
 WORDS = ("retryPayment", "handle_failure", "authToken", "x", "über", "status42", "Payments", "a_b", "log", "élan")
 UNIT = "symbol_id string, file_id string, ord int, name string, kind string, path string, language string, start_line int, end_line int, text string"
@@ -185,3 +186,21 @@ def test_scratch_is_kept_apart_by_thread(spark):
     assert short.count() == 3 and long.count() == 3
     with pytest.raises(Exception):
         mine.count()
+
+
+def test_followers_get_snapshot_tail_and_what_they_missed(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def come(*events):
+        rows = [(job, "r", f"s{ts}", f"m{ts}", None, ts, ts, None, None, None, None) for job, ts in events]
+        spark.createDataFrame(rows, jobs.EVENT).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(jobs.EVENT).parquet(source)
+        jobs.follow_stream(stream, out, str(tmp_path / "ck"), keep=4).awaitTermination(120)
+        return spark.read.parquet(f"{out}/*")
+
+    come(("a", 1), ("a", 3), ("b", 9))
+    followed = come(("a", 2), ("a", 4), ("a", 5), ("a", 6))
+    told = jobs.news(followed, "a").first()
+    assert (told.n_events, told.missed, told.snapshot.stage, [e.ts for e in told.events]) == (6, 2, "s6", [3, 4, 5, 6])
+    assert [(r.missed, [e.ts for e in r.events]) for r in (jobs.news(followed, "a", n).first() for n in (1, 4, 6, 9))] == [(1, [3, 4, 5, 6]), (0, [5, 6]), (0, []), (0, [])]
+    assert jobs.news(followed, "b").first().snapshot.files == 9 and jobs.news(followed, "c").isEmpty()

@@ -232,3 +232,19 @@ def test_engine_end_to_end(spark, root, tmp_path):
     with pytest.raises(Exception):
         engine.index(str(tmp_path / "nowhere"))
     assert engine.runs().where("status = 'failed'").count() == 1
+    # progress: the snapshot, then what is new
+    run_id = engine.runs().where("status = 'succeeded'").orderBy("started_at").first().id
+    told = engine.progress(run_id).first()
+    assert told.snapshot.stage == "succeeded" and told.missed == 0 and len(told.events) == told.n_events
+    assert [e.stage for e in told.events if e.files is None] == ["queued", "scanning", "parsing", "resolving", "embedding", "persisting", "succeeded"]
+    counted = next(e for e in told.events if e.files is not None)
+    assert (counted.files, counted.symbols) == (5, 22)
+    later = engine.progress(run_id, told.n_events - 1).first()
+    assert [e.stage for e in later.events] == ["succeeded"] and later.missed == 0 and engine.progress(run_id, told.n_events).first().events == []
+    assert engine.outline(key).first().text.startswith("Inferred") and engine.summary(key).first().text.startswith("shop has ")
+    assert [c.list for c in engine.explain_impact(key, after["load"]).first().citations][:1] == [0]
+    history = engine.ask(key, "Which files change most often?").first()
+    assert history.text.startswith("Files that change most frequently") and history.citations
+    placed = engine.graph(key)[0].first()
+    assert placed.x is not None and placed.y is not None
+    assert [r.symbol_id for r in engine.symbols(key, "flush").collect()] == [after["flush"]]
