@@ -6,12 +6,14 @@ of its tag, and how the page's running text lies around it: ``inside`` tells
 whether it stands in the container that holds most of that text, ``branch``
 what share of that container's text its own part of it has. Both come from word
 counts and link densities alone. What tags, roles, classes and ids call a
-container (``named``) is one feature more. A small decision tree, trained here
+container (``named``) is one feature more; text under a name that isn't main
+text has no weight in the search for that container, so comments, notices and
+sidebars may be longer than the article. A small decision tree, trained here
 on the labelled table below, decides which blocks are main text.
 
 Defined results: a null, empty or markup-only page has an empty text. Unclosed
 tags end where their container does; an unclosed comment, script or style runs
-to the end of the page; a ``<`` that opens no tag is text. Repeated rows give a
+to the end of the page, an unclosed button or the like up to the next tag; a ``<`` that opens no tag is text. Repeated rows give a
 row each, null ids and urls stay null. Very long pages are handled one at a
 time, in time linear in their length. An empty table gives an empty table;
 extra columns are ignored.
@@ -32,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-HIDDEN = "script|style|noscript|template|svg|title|textarea|select|button|iframe"
+HIDDEN = "script|style|title|textarea|iframe"
+"""What is text up to its end tag, or the end of the page, whatever stands in it."""
+UNSHOWN = frozenset("noscript template svg select button".split())
+"""Left out up to their end tag, where they have one before the next of their kind; else only their first words are."""
 TOKEN = re.compile(
     rf"<!--(?:.*?-->|.*\Z)|<({HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
@@ -46,7 +51,8 @@ INLINE = frozenset(
 CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table details dialog body".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_TAGS = frozenset("nav footer aside form dialog menu".split())
-GOOD_WORDS = frozenset("article content main post entry story articlebody maincontent".split())
+GOOD_WORDS = frozenset("content main maincontent".split())
+ARTICLE_WORDS = frozenset("article post entry story articlebody".split())
 BAD_WORDS = frozenset(
     "nav navbar navigation menu footer sidebar aside ad ads advert advertisement banner cookie cookies notice consent gdpr promo "
     "promotion sponsor sponsored comment comments reply replies respond discussion disqus share sharing social related recommended "
@@ -63,6 +69,16 @@ FEATURES = ("inside", "branch", "named", "kind", "words", "links", "words_before
 # kind: 2 heading, 1 paragraph, 0 anything else; words are counted up to 60
 LABELLED = (
     # (inside, branch, named, kind, words, links, words_before, links_before, words_after, links_after), main text
+    # comments longer than the article: within it or after it, named, and after it without a name
+    ((2, 0.0, -1, 1, 48, 0.0, 48, 0.0, 48, 0.0), 0),
+    ((2, 0.0, -1, 1, 60, 0.0, 60, 0.1, 60, 0.0), 0),
+    ((2, 1.0, -1, 1, 60, 0.0, 45, 0.0, 60, 0.0), 0),
+    ((2, 0.6, -1, 1, 40, 0.0, 4, 0.0, 52, 0.0), 0),
+    ((2, 1.0, -1, 2, 1, 0.0, 60, 0.0, 48, 0.0), 0),
+    ((1, 1.0, -1, 1, 48, 0.0, 48, 0.0, 48, 0.0), 0),
+    ((1, 0.0, -1, 1, 60, 0.0, 30, 0.0, 60, 0.0), 0),
+    ((0, 0.0, 0, 1, 48, 0.0, 48, 0.0, 48, 0.0), 0),
+    ((0, 0.0, 0, 1, 60, 0.0, 60, 0.0, 60, 0.0), 0),
     ((2, 1.0, 1, 2, 9, 0.0, 8, 0.0, 30, 0.0), 1),
     ((2, 1.0, 0, 2, 4, 0.0, 40, 0.0, 25, 0.0), 1),
     ((2, 1.0, 0, 2, 1, 0.0, 5, 0.0, 3, 0.0), 1),
@@ -183,31 +199,45 @@ class Block:
     branch: float = 0.0
 
 
-def hint(tag: str, attributes: str, inside: int) -> int:
-    """What an opening container says: 1 main text, -1 not, 0 nothing."""
+@dataclass(frozen=True)
+class Hint:
+    """What a container is called: ``bad`` by its tag (2) or its names (1), a page's ``head``, ``good`` as an article (2) or main part (1)."""
+
+    bad: int = 0
+    head: bool = False
+    good: int = 0
+
+
+def hint(tag: str, attributes: str) -> Hint:
     tokens: set[str] = set()
     if "=" in attributes and tag != "body":
         for a, b, c in NAMED.findall(attributes):
             tokens.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
-    if tag in BAD_TAGS or tokens & BAD_WORDS or (inside <= 0 and (tag == "header" or tokens & BAD_OUTSIDE)):
-        return -1
-    return 1 if tag in GOOD_TAGS or tokens & GOOD_WORDS else 0
+    bad = 2 if tag in BAD_TAGS and tag != "form" else 1 if tag == "form" or tokens & BAD_WORDS else 0
+    good = 2 if tag == "article" or tokens & ARTICLE_WORDS else 1 if tag == "main" or tokens & GOOD_WORDS else 0
+    return Hint(bad, tag == "header" or bool(tokens & BAD_OUTSIDE), good)
+
+
+def unshown_end(html: str, tag: str, at: int) -> int | None:
+    """Where an element that isn't shown ends; None if its tag isn't closed before the next of its kind."""
+    end = re.compile(rf"<(/?){tag}\b[^>]*>", re.I).search(html, at)
+    return end.end() if end and end[1] else None
 
 
 def blocks_of(html: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     found: list[Block] = []
-    open_tags: list[tuple[str, int, int]] = [("", 0, 0)]  # containers with what they are called, which children take on, and their number
+    open_tags: list[tuple[str, int]] = [("", 0)]  # containers and their numbers
     open_count: Counter[str] = Counter()
-    parents = [0]
+    parents, hints = [0], [Hint()]
     parts: list[str] = []
     linked: list[str] = []
-    kind, title, in_link, at = 0, False, False, 0
+    kind, title, in_link, at, skipped = 0, False, False, 0, 0
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            found.append(Block(text, len("".join(linked).split()), open_tags[-1][1], kind, title, open_tags[-1][2]))
+            found.append(Block(text, len("".join(linked).split()), 0, kind, title, open_tags[-1][1]))
         parts.clear()
         linked.clear()
 
@@ -219,16 +249,24 @@ def blocks_of(html: str) -> list[Block]:
                 linked.append(text)
 
     for m in TOKEN.finditer(html):
-        add(html[at : m.start()])
+        if m.start() < skipped:
+            continue
+        add(html[max(at, skipped) : m.start()])
         at = m.end()
         if m[1] is not None:
-            if m[1].lower() in ("button", "textarea", "select", "iframe"):
+            if m[1].lower() in ("textarea", "iframe"):
                 flush()
             continue
         closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in UNSHOWN:
+            flush()
+            if not closing and not attributes.endswith("/"):
+                end = unshown_end(html, tag, at)
+                skipped = end if end is not None else max(at, html.find("<", at))
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = not closing
@@ -248,37 +286,76 @@ def blocks_of(html: str) -> list[Block]:
                         break
             elif not closing and not attributes.endswith("/"):
                 outer = open_tags[-1]
-                named = outer[1] if outer[1] < 0 else hint(tag, attributes, outer[1]) or outer[1]
-                open_tags.append((tag, named, len(parents)))
+                open_tags.append((tag, len(parents)))
                 open_count[tag] += 1
-                parents.append(outer[2])
+                parents.append(outer[1])
+                hints.append(hint(tag, attributes))
             kind, title = 0, False
         elif tag != "br":
             kind = 0 if closing else 2 if tag in HEADINGS else 1 if tag == "p" else 0
             title = kind == 2 and tag == "h1"
-    add(html[at:])
+    add(html[max(at, skipped) :])
     flush()
-    place(found, parents)
+    strong = called(found, parents, hints)
+    place(found, parents, strong)
     return found
 
 
+def called(blocks: list[Block], parents: list[int], hints: list[Hint]) -> list[int]:
+    """Set ``named`` of the blocks; which containers are, or lie within, an article (2) or a main part (1).
+
+    What a container is called holds for all within it. A name isn't believed of a container with the page's main
+    heading, unless it is its tag, and no name is if nothing else had running text.
+    """
+    with_title = [False] * len(parents)
+    for b in blocks:
+        if b.title:
+            c = b.holder
+            while c and not with_title[c]:
+                with_title[c] = True
+                c = parents[c]
+    for trust in (True, False):
+        named, strong = [0] * len(parents), [0] * len(parents)
+        for c in range(1, len(parents)):
+            up, own = parents[c], hints[c]
+            bad = own.bad == 2 or trust and (own.bad == 1 and not with_title[c] or own.head and named[up] <= 0)
+            named[c] = -1 if named[up] < 0 or bad else 1 if named[up] > 0 or own.good else 0
+            strong[c] = max(strong[up], own.good) if named[c] >= 0 else 0
+        if any(named[b.holder] >= 0 for b in blocks):
+            break
+    for b in blocks:
+        b.named = named[b.holder]
+    return strong
+
+
 def running(b: Block) -> float:
     """How much running text a block has: its words outside links, short scraps counted half."""
     plain = b.words - min(b.linked, b.words)
     return (plain if b.kind or plain >= 10 else plain / 2) + (PARAGRAPH if b.kind == 1 and plain else TITLE if b.title and plain else 0)
 
 
-def place(blocks: list[Block], parents: list[int]) -> None:
-    """Set words, ``inside`` and ``branch`` of the blocks; a container's number is greater than its parent's."""
+def place(blocks: list[Block], parents: list[int], strong: list[int]) -> None:
+    """Set words, ``inside`` and ``branch`` of the blocks; a container's number is greater than its parent's.
+
+    Text under a name that isn't main text has no weight. Where there is an article, only its text weighs in the
+    search for the container; where there is none but a main part, that.
+    """
     mass = [0.0] * len(parents)
+    weight = [[0.0] * len(parents) for _ in range(3)]
     for b in blocks:
         b.words = len(b.text.split())
-        mass[b.holder] += running(b)
-    for c in range(len(parents) - 1, 0, -1):
-        mass[parents[c]] += mass[c]
+        if b.named >= 0:
+            mass[b.holder] += running(b)
+            for level in range(1, strong[b.holder] + 1):
+                weight[level][b.holder] += running(b)
+    weight[0] = mass
+    for one in weight:
+        for c in range(len(parents) - 1, 0, -1):
+            one[parents[c]] += one[c]
+    search = next((one for one in weight[:0:-1] if one[0] > 0), mass)
     main = 0
     for c in range(1, len(parents)):  # in page order, so each step goes from a container to one within it
-        if parents[c] == main and mass[c] >= MOST * mass[main] > 0:
+        if parents[c] == main and search[c] >= MOST * search[main] > 0:
             main = c
     part = [-1.0] * len(parents)
     part[main] = 1.0

@@ -374,6 +374,47 @@ def test_main_text_among_notices_sidebars_and_comments():
     assert mainblocks.main_text(deep) == "x"
 
 
+LEAD = "<h1>Title here</h1><p>" + "One two three four five six seven. " * 5 + "</p><p>" + "Another short paragraph of text. " * 4 + "</p>"
+LEAD_TEXT = ("Title here " + "One two three four five six seven. " * 5 + "Another short paragraph of text. " * 4).strip()
+TALK = "".join(f"<p>{f'reader {k} says a thing or two here ' * 6}</p>" for k in range(8))
+LAYOUTS = {
+    "section after": f"<article>{LEAD}</article><section id='comments'>{TALK}</section>",
+    "section without a name": f"<article>{LEAD}</article><section>{TALK}</section>",
+    "within main": f"<main><article>{LEAD}</article><section>{TALK}</section></main>",
+    "within the article": f"<article>{LEAD}<section class='user-comments'>{TALK}</section></article>",
+    "comments as articles": f"<article>{LEAD}</article><section id='comments'>{TALK.replace('<p>', '<article><p>').replace('</p>', '</p></article>')}</section>",
+    "divs": f"<div id='content'><div class='post'>{LEAD}</div><div class='comments-area'>{TALK}</div></div>",
+    "a list": f"<div class='entry'>{LEAD}</div><ol class='commentlist'>{TALK.replace('<p>', '<li><p>')}</ol>",
+    "long sidebar": f"<article>{LEAD}</article><aside>{TALK * 9}</aside>",
+    "a name that is wrong": f"<div class='page has-sidebar'>{LEAD}<div class='sidebar'>{TALK}</div></div>",
+    "a form around all": f"<form id='f'><article>{LEAD}</article><div class='notice'>{TALK}</div></form>",
+    "unclosed button": f"<article>{LEAD.replace('</h1>', '</h1><button>x')}</article><footer>f</footer>",
+    "closed controls": f"<article>{LEAD.replace('</h1>', '</h1><button>x <b>y</b></button><select><option>a</select><svg><text>z</text></svg>')}</article>",
+    "only the last button is closed": f"<article>{LEAD.replace('</h1>', '</h1><button>x').replace('</p>', '</p><button>y</button>', 1)}</article>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_main_text_of_layouts(name):
+    assert mainblocks.main_text(f"<body><nav><a href=/>Home</a></nav>{LAYOUTS[name]}</body>") == LEAD_TEXT
+
+
+@pytest.mark.parametrize("number", [1, 3, 6, 12, 30])
+def test_main_text_leaves_comments_of_any_number_out(spark, number):
+    talk = f"<section class=\"comments\">{''.join(f'<p>{f"what reader {k} says " * 18}</p>' for k in range(number))}</section>"
+    closed = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r.html and "</article>" in r.html and "</body>" in r.html]
+    assert closed
+    for html in closed:
+        want = article_text(html)
+        assert mainblocks.main_text(html.replace("</body>", talk + "</body>")) == want
+        assert mainblocks.main_text(html.replace("</article>", talk + "</article>")) == want
+
+
+def test_many_unclosed_controls_take_linear_time():
+    page = "<article>" + "<p>ok <button>x <svg>y <select>z" * 30_000
+    assert mainblocks.main_text(page).split() == ["ok"] * 30_000
+
+
 def test_extract_repeated_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><h1>T</h1><p>a b")] * 3 + [(None, None, "")], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text) for r in mainblocks.extract(df).collect()) == [("1", "T a b")] * 3 + [("None", "")]
