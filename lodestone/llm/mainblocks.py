@@ -265,7 +265,8 @@ def blocks_of(html: str) -> list[Block]:
             flush()
             if not closing and not attributes.endswith("/"):
                 end = unshown_end(html, tag, at)
-                skipped = end if end is not None else max(at, html.find("<", at))
+                following = html.find("<", at)
+                skipped = end if end is not None else following if following >= 0 else len(html)
             continue
         if tag in INLINE:
             if tag == "a":
