@@ -62,19 +62,28 @@ def ranked_authors(touches: DataFrame, limit: int) -> DataFrame:
     return authors(touches).orderBy(F.desc("commits"), "name", "email").limit(limit)
 
 
-def parse_log(log_lines: DataFrame, prefix: str = "") -> DataFrame:
+SEGMENT = 1 << 16
+
+
+def parse_log(log_lines: DataFrame, prefix: str = "", segment: int = SEGMENT) -> DataFrame:
     """Lines (repo, ord, line) -> touches: a line with field separators opens a commit, others are its paths.
 
-    Lines are numbered within ``repo``; the running count of headers tells the commit. A header of fewer than
-    five fields is dropped with the paths below it; a time that is no number is 0.
+    Lines are numbered within ``repo``; the running count of headers tells the commit. It is taken within segments of
+    ``segment`` numbers, to which the headers of the segments before are added, so one history is read by many tasks.
+    A header of fewer than five fields is dropped with the paths below it; a time that is no number is 0.
     """
     header = F.col("line").contains(FIELD)
     parts = F.split("line", FIELD)
-    good = header & (F.size(parts) >= 5)
-    order = Window.partitionBy("repo").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = log_lines.withColumns(
-        {"header": header, "commit": F.sum(header.cast("long")).over(order), "place": F.sum(good.cast("long")).over(order)}
-    ).where("commit > 0")
+    lines = log_lines.select("repo", "ord", "line").withColumns(
+        {"header": header, "good": header & (F.size(parts) >= 5), "seg": F.floor(F.col("ord") / segment)}
+    )
+    before = Window.partitionBy("repo").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lines.groupBy("repo", "seg").agg(F.count_if("header").alias("h"), F.count_if("good").alias("g")).select(
+        "repo", "seg", F.coalesce(F.sum("h").over(before), F.lit(0)).alias("headers"), F.coalesce(F.sum("g").over(before), F.lit(0)).alias("goods")
+    )
+    order = Window.partitionBy("repo", "seg").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    local = lines.withColumns({"commit": F.sum(F.col("header").cast("long")).over(order), "place": F.sum(F.col("good").cast("long")).over(order)})
+    numbered = local.join(carried, ["repo", "seg"]).withColumns({"commit": F.col("commit") + F.col("headers"), "place": F.col("place") + F.col("goods")}).where("commit > 0")
     path = P.strip_prefix(F.trim("line"), prefix)
     grouped = numbered.groupBy("repo", "commit").agg(
         F.max(F.when(F.col("header"), parts)).alias("f"),

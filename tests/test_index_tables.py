@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
-from lodestone.operators import adjacency, graph, narratives, persist, postings, retrieval, search
+from lodestone.operators import adjacency, graph, history, narratives, persist, postings, resolve, retrieval, search
 from lodestone.sources import git, store
 from lodestone.streaming import jobs
 
@@ -204,3 +204,30 @@ def test_followers_get_snapshot_tail_and_what_they_missed(spark, tmp_path):
     assert (told.n_events, told.missed, told.snapshot.stage, [e.ts for e in told.events]) == (6, 2, "s6", [3, 4, 5, 6])
     assert [(r.missed, [e.ts for e in r.events]) for r in (jobs.news(followed, "a", n).first() for n in (1, 4, 6, 9))] == [(1, [3, 4, 5, 6]), (0, [5, 6]), (0, []), (0, [])]
     assert jobs.news(followed, "b").first().snapshot.files == 9 and jobs.news(followed, "c").isEmpty()
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7])
+def test_a_history_is_read_in_segments(spark, segment):
+    sep = history.FIELD
+    lines = ["lost path"]
+    for i in range(9):
+        lines += [sep.join([f"sha{i}", "n", "e", str(i), f"subject {i}"][: 3 if i == 4 else 5]), *[f"p{i}/{k}" for k in range(i % 4)]]
+    table = spark.createDataFrame([(r, n, line) for r in ("x", "y") for n, line in enumerate(lines)], "repo string, ord int, line string")
+    whole = history.parse_log(table)
+    assert rows(history.parse_log(table, segment=segment)) == rows(whole)
+    got = {(r.ord, r.sha): r.paths for r in whole.where("repo = 'x'").collect()}
+    assert got == {(k, f"sha{i}"): [f"p{i}/{n}" for n in range(i % 4)] for k, i in enumerate(i for i in range(9) if i != 4)}
+
+
+def test_edges_of_changed_files_are_those_of_all(spark):
+    files = spark.createDataFrame([(f"f{i}", f"src/m{i}.ts", "typescript") for i in range(6)], "file_id string, path string, language string")
+    symbols = [(f"s{i}{n}", f"f{i}", k, n, kind, 1 + 3 * k, 3 + 3 * k, box) for i in range(6) for k, (n, kind, box) in enumerate((("A", "class", None), ("m", "method", "A"), ("B", "class", None), (f"own{i}", "function", None)))]
+    symbols = spark.createDataFrame(symbols, "symbol_id string, file_id string, ord int, name string, kind string, start_line int, end_line int, container string")
+    imports = spark.createDataFrame([(f"f{i}", 0, f"./m{(i + 1) % 6}", [f"own{(i + 1) % 6}"] if i % 2 else []) for i in range(6)], "file_id string, ord int, module string, names array<string>")
+    calls = spark.createDataFrame([(f"f{i}", n, name, 4) for i in range(6) for n, name in enumerate(("B", f"own{(i + 1) % 6}", "none"))], "file_id string, ord int, callee string, line int")
+    heritage = spark.createDataFrame([(f"f{i}", 0, "A", parent, "extends") for i in range(6) for parent in ("B", f"own{(i + 1) % 6}")], "file_id string, ord int, child string, parent string, kind string")
+    every = set(rows(resolve.resolve(files, symbols, imports, calls, heritage)))
+    assert {("s0A", "s0B", "extends"), ("s0A", "s1own1", "extends"), ("s0m", "s0B", "calls"), ("s0A", "s0m", "contains"), ("s1B", "s2own2", "imports")} <= every
+    changed = spark.createDataFrame([("f1",), ("f4",), ("f4",)], "file_id string")
+    got = resolve.resolve_changed(files, symbols, imports, calls, heritage, changed)
+    assert rows(got) == sorted(e for e in every if e[0][:2] in ("s1", "s4"))
