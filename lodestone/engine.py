@@ -21,7 +21,7 @@ from .operators import units as U
 from .operators.persist import persisted, scratch, settled, shared_dir, ship
 from .operators.retrieval import BadRequest, NotFound
 from .sources import git, tree
-from .sources.extract import extract
+from .sources.extract import Parser, extract
 from .sources.store import REPOSITORY_SCHEMA, RUN_SCHEMA, Store
 from .streaming import jobs
 
@@ -31,10 +31,18 @@ PROGRESS = threading.Lock()
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, cache: str | None = None):
-        """``root`` holds the index. Clones go to ``cache``, a local path that all executors see: by default one within the shared folder."""
+    def __init__(
+        self, spark: SparkSession, root: str, cache: str | None = None, parsers: tuple[Parser, ...] = (), embedder: search.Embedder | None = None,
+        searcher: Callable[[DataFrame, str], DataFrame] | None = None,
+    ):
+        """``root`` holds the index. Clones go to ``cache``, a local path that all executors see: by default one within the shared folder.
+
+        ``parsers`` add languages, ``embedder`` makes the vectors of units and questions, and ``searcher`` takes the place
+        of semantic search: (units, query) -> symbol_id, name, path, kind, score, source.
+        """
         ship(spark)
         self.spark, self.store, self.cache = spark, Store(spark, root), cache
+        self.parsers, self.embedder, self.searcher = tuple(parsers), embedder, searcher
 
     def _cache(self) -> str:
         if self.cache is None:
@@ -124,7 +132,7 @@ class Engine:
             self._run(run_id, source, "scanning", started, key)
             where = git.materialize(source, self._cache())
             prefix = git.prefix_of(where["root"])
-            files = persisted(tree.walk(self.spark, where["root"], repository_id=key, **tree.limits()), "files")
+            files = persisted(tree.walk(self.spark, where["root"], repository_id=key, more={e: p.language for p in self.parsers for e in p.extensions}, **tree.limits()), "files")
             stage = lambda name: self._run(run_id, source, name, started, key)
             if known and self.store.has("files", key):
                 tables, lines = self._refresh(files, key, self._changes(where, known, prefix), stage)
@@ -159,14 +167,14 @@ class Engine:
 
     def _extract_all(self, files: DataFrame, stage: Callable[[str], None]) -> tuple[dict[str, DataFrame], int]:
         stage("parsing")
-        facts = {name: persisted(rows, name) for name, rows in extract(files).items()}
+        facts = {name: persisted(rows, name) for name, rows in extract(files, self.parsers).items()}
         symbols = facts["symbols"]
         stage("resolving")
         edges = resolve.resolve(files, symbols, facts["imports"], facts["calls"], facts["heritage"])
         stage("embedding")
         units = persisted(U.build_units(symbols, files), "units")
         lines = incremental.line_count(self._lines(files)).first()["lines"]
-        return {"files": files, "symbols": symbols, "edges": edges, "units": units, "embeddings": search.embeddings(units)}, int(lines)
+        return {"files": files, "symbols": symbols, "edges": edges, "units": units, "embeddings": search.embeddings(units, embedder=self.embedder)}, int(lines)
 
     def _refresh(self, files: DataFrame, key: str, diff: DataFrame | None, stage: Callable[[str], None]) -> tuple[dict[str, DataFrame], int]:
         """Only files that are new or whose hash changed are extracted; the rest of the index is reused, all of it if nothing changed."""
@@ -180,7 +188,7 @@ class Engine:
             return {}, int(lines)
         stage("parsing")
         changed = persisted(todo.select("file_id"), "changed")
-        facts = {name: persisted(rows, name) for name, rows in extract(todo).items()}
+        facts = {name: persisted(rows, name) for name, rows in extract(todo, self.parsers).items()}
         symbols = persisted(incremental.merge_symbols(old["symbols"], facts["symbols"], files, changed), "symbols")
         stage("resolving")
         fresh = resolve.resolve_changed(files, symbols, facts["imports"], facts["calls"], facts["heritage"], changed)
@@ -188,7 +196,7 @@ class Engine:
         stage("embedding")
         units = persisted(incremental.reuse_units(old["units"], U.build_units(facts["symbols"], files), files, changed), "units")
         kept, missing = incremental.reuse_embeddings(old["embeddings"], units, changed)
-        vectors = kept.unionByName(search.embeddings(missing).select(*kept.columns))
+        vectors = kept.unionByName(search.embeddings(missing, embedder=self.embedder).select(*kept.columns))
         return {"files": files, "symbols": symbols, "edges": edges, "units": units, "embeddings": vectors}, int(lines)
 
     def reindex(self, repository_id: str) -> str:
@@ -251,7 +259,14 @@ class Engine:
     def search(self, repository_id: str, query: str) -> DataFrame:
         symbols, files, units = self._load(repository_id, "symbols", "files", "units")
         vectors = self.store.load("embeddings", repository_id, parts=True)
-        return search.hybrid_search(symbols, files, units, query, vectors=vectors, lexicon=self._lexicon(repository_id))
+        return search.hybrid_search(symbols, files, units, query, vectors=vectors, lexicon=self._lexicon(repository_id), embedder=self.embedder)
+
+    def similar(self, repository_id: str, query: str) -> DataFrame:
+        """Semantic search by itself, or what was given in its place."""
+        units = self._load(repository_id, "units")[0]
+        if self.searcher is not None:
+            return self.searcher(units, query)
+        return search.semantic_search(units, query, vectors=self.store.load("embeddings", repository_id, parts=True), embedder=self.embedder)
 
     def graph(self, repository_id: str, focus: str | None = None, depth: int = 2, full: bool = False) -> tuple[DataFrame, DataFrame]:
         """Nodes and the edges among them: all (without coordinates), or those around a symbol or the 48 best connected, placed."""
@@ -327,7 +342,7 @@ class Engine:
         with scratch():
             if retrieval.intent_of(units, question) == "evolution":
                 return retrieval.ask_evolution(touches, branches, self._nodes(repository_id), question)
-            return retrieval.ask(units, edges, question, model, vectors, self._lexicon(repository_id), adjacent, files)
+            return retrieval.ask(units, edges, question, model, vectors, self._lexicon(repository_id), adjacent, files, self.embedder)
 
     def evolution(self, repository_id: str) -> dict[str, DataFrame]:
         touches, branches = self._load(repository_id, "touches", "branches")

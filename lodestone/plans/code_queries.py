@@ -479,7 +479,16 @@ def context_pack(spark, sf_dir):
 
 
 class Stored:
-    """What an index stores of the units: postings, vectors and adjacency."""
+    """What an index stores of the units: postings, vectors and adjacency; made once per session and folder."""
+
+    MADE: dict[tuple[str, str], Stored] = {}
+
+    @classmethod
+    def of(cls, spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls.MADE:
+            cls.MADE[key] = cls(spark, sf_dir)
+        return cls.MADE[key]
 
     def __init__(self, spark, sf_dir):
         self.units = views.stored_units(spark, sf_dir)
@@ -495,21 +504,21 @@ class Stored:
 @query(QUERY_OF_EXACT)
 def exact_search_stored(spark, sf_dir):
     """Exact search over postings, texts unread."""
-    stored = Stored(spark, sf_dir)
+    stored = Stored.of(spark, sf_dir)
     return search.exact_search(views.symbols(spark, sf_dir), views.files(spark, sf_dir), stored.units, "pages", lexicon=stored.lexicon)
 
 
 @query(f"WITH {SEMANTIC} SELECT symbol_id, name, path, kind, CAST(score AS DOUBLE) AS score, 'semantic' AS source FROM near ORDER BY near.score DESC, symbol_id LIMIT 16")
 def semantic_search_stored(spark, sf_dir):
     """Semantic search over stored vectors: the question's buckets only."""
-    stored = Stored(spark, sf_dir)
+    stored = Stored.of(spark, sf_dir)
     return search.semantic_search(stored.units, QUESTION, vectors=stored.vectors)
 
 
 @query(RETRIEVE + " SELECT symbol_id, CAST(round(score, 6) AS DOUBLE) AS score, name FROM top")
 def retrieve_stored(spark, sf_dir):
     """The candidates of a question over stored tables."""
-    stored = Stored(spark, sf_dir)
+    stored = Stored.of(spark, sf_dir)
     return retrieval.retrieve(stored.units, stored.edges, QUESTION, stored.vectors, stored.lexicon, stored.adjacent)
 
 

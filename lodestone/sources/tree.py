@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.text import uuid5
+from ..operators.persist import persisted
 
 MAX_FILE, MAX_FILES, MAX_BYTES = 1 << 20, 100_000, 512 << 20
 LISTED = "path string, size_bytes long"
@@ -89,21 +91,31 @@ class Ignores:
     global ignore file isn't read.
     """
 
-    def __init__(self, store: fs.FileSystem, root: str):
-        self.store = store
-        self.levels: dict[str, tuple[list, list]] = {}
+    def __init__(self, store: fs.FileSystem, state: dict):
+        self.store, self.state = store, state
+        self.top, self.in_repository = state["top"], state["in_repository"]
+        self.exclude = ignore_rules(state["exclude"])
+        self.levels = {folder: (ignore_rules(plain), ignore_rules(git)) for folder, plain, git in state["levels"]}
+
+    @classmethod
+    def above(cls, store: fs.FileSystem, root: str) -> Ignores:
+        """The rules that hold for a folder: its own and those of the folders above it in its repository."""
         ancestors = [PurePosixPath(root), *PurePosixPath(root).parents]
         repository = next((a for a in ancestors if store.get_file_info(f"{a}/.git").type != fs.FileType.NotFound), None)
-        self.in_repository = repository is not None
         above = ancestors[: ancestors.index(repository) + 1] if repository else ancestors[:1]
-        self.exclude = ignore_rules(read_lines(store, f"{repository}/.git/info/exclude")) if repository else []
-        self.top = str(above[-1])
+        exclude = read_lines(store, f"{repository}/.git/info/exclude") if repository else []
+        out = cls(store, {"top": str(above[-1]), "in_repository": repository is not None, "exclude": exclude, "levels": []})
         for folder in above:
-            self.enter(str(folder))
+            out = out.within(str(folder))
+        return out
 
-    def enter(self, folder: str) -> None:
-        git = ignore_rules(read_lines(self.store, f"{folder}/.gitignore")) if self.in_repository else []
-        self.levels[folder] = ignore_rules(read_lines(self.store, f"{folder}/.ignore")), git
+    def within(self, folder: str) -> Ignores:
+        """The rules that hold within a folder of this one."""
+        plain = read_lines(self.store, f"{folder}/.ignore")
+        git = read_lines(self.store, f"{folder}/.gitignore") if self.in_repository else []
+        if not plain and not git:
+            return self
+        return Ignores(self.store, {**self.state, "levels": [*self.state["levels"], (folder, plain, git)]})
 
     def ignored(self, path: str, is_folder: bool) -> bool:
         for kind in (0, 1):
@@ -115,35 +127,61 @@ class Ignores:
         return bool(verdict(self.exclude, path[len(self.top.rstrip("/")) + 1 :], is_folder))
 
 
-def language_of(path: str) -> str | None:
-    """The language of a file name, as ``paths.language`` has it for columns."""
+def language_of(path: str, more: dict[str, str] | None = None) -> str | None:
+    """The language of a file name, as ``paths.language`` has it for columns; ``more`` adds extensions."""
     ext = PurePosixPath(path).name.rpartition(".")[2].lower() if "." in path else ""
-    return next((name for name, exts in P.EXTENSIONS.items() if ext in exts), None)
+    return next((name for name, exts in P.EXTENSIONS.items() if ext in exts), (more or {}).get(ext))
 
 
-def listing(root: str, max_file: int = MAX_FILE, max_files: int = MAX_FILES) -> list[tuple[str, int]]:
+def entries(folder: str, state: str, root: str, max_file: int, more: dict[str, str]) -> Iterator[tuple[str, int | None, str | None]]:
+    """What counts in one folder: (path, bytes, null) of files below the root, (path, null, rules) of folders to go into."""
+    store, base = opened(root)
+    ignores = Ignores(store, json.loads(state))
+    for info in store.get_file_info(fs.FileSelector(folder)):
+        if info.type == fs.FileType.Directory:
+            if info.base_name not in P.PRUNED_DIRECTORIES and not ignores.ignored(info.path, True):
+                yield info.path, None, json.dumps(ignores.within(info.path).state)
+        elif info.type == fs.FileType.File and language_of(info.base_name, more) and 0 < info.size <= max_file:
+            path = info.path[len(base.rstrip("/")) + 1 :]
+            if not ignores.ignored(info.path, False) and not SENSITIVE.search(path.replace("\\", "/").lower()):
+                yield path, info.size, None
+
+
+def listing(
+    spark: SparkSession, root: str, max_file: int = MAX_FILE, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, more: dict[str, str] | None = None
+) -> DataFrame:
     """(path below the folder, bytes) of the source files that count, names beginning with ``.`` or ``_`` too.
 
-    Only names and sizes come to the driver, and no more than the limit: beyond
-    it is an error. Empty, oversize and ignored files and pruned folders are
-    passed over.
+    Folders are rows that carry the ignore rules above them; each level of the tree is listed by one job. Empty,
+    oversize and ignored files and pruned folders are passed over; too many files or bytes are an error, found as soon as
+    a level goes beyond the limit.
     """
     store, base = opened(root)
-    ignores, out = Ignores(store, base), []
-    folders = [base]
-    while folders:
-        for info in sorted(store.get_file_info(fs.FileSelector(folders.pop())), key=lambda i: i.path, reverse=True):
-            if info.type == fs.FileType.Directory:
-                if info.base_name not in P.PRUNED_DIRECTORIES and not ignores.ignored(info.path, True):
-                    ignores.enter(info.path)
-                    folders.append(info.path)
-            elif info.type == fs.FileType.File and language_of(info.base_name) and 0 < info.size <= max_file:
-                path = info.path[len(base.rstrip("/")) + 1 :]
-                if not ignores.ignored(info.path, False) and not SENSITIVE.search(path.replace("\\", "/").lower()):
-                    out.append((path, info.size))
-                    if len(out) > max_files:
-                        raise ValueError(f"too many files (over {max_files})")
-    return sorted(out)
+    level = spark.createDataFrame([(base, json.dumps(Ignores.above(store, base).state))], "path string, rules string")
+    out, files, size = None, 0, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, rules in zip(batch.column("path").to_pylist(), batch.column("rules").to_pylist()):
+                found = list(entries(folder, rules, root, max_file, more or {}))
+                for at in range(0, len(found), 4096):
+                    columns = zip(*found[at : at + 4096])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["path", "size_bytes", "rules"])
+
+    while True:
+        here = persisted(level.mapInArrow(run, f"{LISTED}, rules string"), "listing")
+        folder = F.col("size_bytes").isNull()
+        seen = here.agg(F.count_if(folder).alias("folders"), F.count_if(~folder).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).first()
+        files, size = files + seen["files"], size + seen["bytes"]
+        if files > max_files:
+            raise ValueError(f"too many files (over {max_files})")
+        if size > max_bytes:
+            raise ValueError(f"too many bytes in {files} files")
+        own = here.where(~folder).select("path", "size_bytes")
+        out = own if out is None else out.unionByName(own)
+        if not seen["folders"]:
+            return out
+        level = here.where(folder).select("path", "rules").repartition(max(1, min(256, seen["folders"] // 16 + 1)))
 
 
 def contents_of(names: DataFrame, root: str) -> DataFrame:
@@ -160,18 +198,23 @@ def contents_of(names: DataFrame, root: str) -> DataFrame:
     return names.select("path").mapInArrow(read, "path string, size_bytes long, content binary")
 
 
-def walk(spark: SparkSession, root: str, max_file: int = MAX_FILE, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, repository_id: str | None = None) -> DataFrame:
+def walk(
+    spark: SparkSession, root: str, max_file: int = MAX_FILE, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, repository_id: str | None = None,
+    more: dict[str, str] | None = None,
+) -> DataFrame:
     """Files of the four languages below a folder: file_id, path, language, size_bytes, hash, text.
 
     Pruned directories, ignored, sensitive, empty and oversize files are left
     out; too many files or bytes are an error. Bytes that aren't UTF-8 become
     replacement characters. The folder must be one that all executors see.
+    ``more`` names the languages of further extensions.
     """
-    rows = listing(root, max_file, max_files)
-    if sum(size for _, size in rows) > max_bytes:
-        raise ValueError(f"too many bytes in {len(rows)} files")
-    names = spark.createDataFrame(rows, LISTED).repartition(max(1, min(256, len(rows) // 64 + 1)), "path")
-    read = contents_of(names, root).withColumn("language", P.language(F.col("path")))
+    rows = persisted(listing(spark, root, max_file, max_files, max_bytes, more), "listed")
+    names = rows.repartition(max(1, min(256, rows.count() // 64 + 1)), "path")
+    language = P.language(F.col("path"))
+    for extension, name in (more or {}).items():
+        language = F.coalesce(language, F.when(F.lower(P.extension(F.col("path"))) == extension, F.lit(name)))
+    read = contents_of(names, root).withColumn("language", language)
     text = F.decode("content", "UTF-8")
     file_id = uuid5(F.lit(repository_id), F.col("path")) if repository_id else F.sha1(F.col("path").cast("binary"))
     return read.select(file_id.alias("file_id"), "path", "language", "size_bytes", F.sha2("content", 256).alias("hash"), text.alias("text"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.engine import Engine
 from lodestone.operators import adjacency, graph, history, narratives, persist, postings, resolve, retrieval, search
 from lodestone.sources import git, store
+from lodestone.sources.extract import Parser
 from lodestone.streaming import jobs
 
 WORDS = ("retryPayment", "handle_failure", "authToken", "x", "über", "status42", "Payments", "a_b", "log", "élan")
@@ -231,3 +232,36 @@ def test_edges_of_changed_files_are_those_of_all(spark):
     changed = spark.createDataFrame([("f1",), ("f4",), ("f4",)], "file_id string")
     got = resolve.resolve_changed(files, symbols, imports, calls, heritage, changed)
     assert rows(got) == sorted(e for e in every if e[0][:2] in ("s1", "s4"))
+
+
+def outline_of_ini(code):
+    """Sections of a settings file as classes, their keys as constants within."""
+    parts, at = [], None
+    for n, line in enumerate(code.split("\n"), 1):
+        name = line.strip("[] \t") if line.startswith("[") else line.partition("=")[0].strip()
+        if line.startswith("["):
+            at = len(parts)
+        if line.startswith("[") or "=" in line:
+            owner = None if line.startswith("[") else at
+            parts.append({"kind": "class" if line.startswith("[") else "constant", "name": name, "head": line, "start_line": n, "end_line": n, "owner": owner, "arrow": False, "jsx": False, "given": False})
+    return parts, code
+
+
+def test_parsers_embedders_and_searchers_of_ones_own(spark, tmp_path):
+    tree = tmp_path / "src"
+    tree.mkdir()
+    (tree / "a.ini").write_text("; [ghost]\nuse b.ini: limits\n[server]\nport = lookup(1)\n")
+    (tree / "b.ini").write_text("[limits]\nmost = 3\n")
+    (tree / "c.py").write_text("def lookup(x): return x\n")
+    ini = Parser("ini", ("ini",), outline_of_ini, tokens=";[^\\n]*", module=r"^use (\S+?):\s*(.*)$")
+    letters = lambda texts: [{k: float(t.count(chr(97 + k))) for k in range(26)} for t in texts]
+    ranked = lambda units, query: units.select("symbol_id", "name", "path", "kind", F.lit(1.0).alias("score"), F.lit(query).alias("source"))
+    engine = Engine(spark, str(tmp_path / "index"), parsers=(ini,), embedder=letters, searcher=ranked)
+    key = engine.index(str(tree))
+    got = {(r.name, r.kind, r.path) for r in engine.symbols(key).collect()}
+    assert got == {("server", "class", "a.ini"), ("port", "constant", "a.ini"), ("limits", "class", "b.ini"), ("most", "constant", "b.ini"), ("lookup", "function", "c.py")}
+    vectors = engine.store.load("embeddings", key)
+    assert vectors.groupBy("symbol_id").agg(F.round(F.sum(F.col("weight") ** 2), 6).alias("n")).where("n <> 1").isEmpty() and vectors.count() > 5
+    assert {r.source for r in engine.similar(key, "q").collect()} == {"q"}
+    plain = Engine(spark, str(tmp_path / "index"), parsers=(ini,), embedder=letters)
+    assert plain.similar(key, "most").first().score > 0.5 and plain.search(key, "most").first().name == "most"

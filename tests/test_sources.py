@@ -247,4 +247,4 @@ def test_engine_end_to_end(spark, root, tmp_path):
     assert history.text.startswith("Files that change most frequently") and history.citations
     placed = engine.graph(key)[0].first()
     assert placed.x is not None and placed.y is not None
-    assert [r.symbol_id for r in engine.symbols(key, "flush").collect()] == [after["flush"]]
+    assert after["flush"] in {r.symbol_id for r in engine.symbols(key, "flush").collect()}
