@@ -231,7 +231,7 @@ def search_index(index: DataFrame, items: DataFrame, k: int = K, shard_postings:
     place = F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int")
     held = index.select("ids", "lengths", "terms", "ends", "docs", "counts").withColumn("shard", place)
     both = held.unionByName(asks, allowMissingColumns=True).withColumn("is_item", F.col("ids").isNull())
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "is_item")
+    dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "is_item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, blocks = None, []
