@@ -117,4 +117,4 @@ def test_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert {"pipeline", *(q.__name__ for q in registry.QUERIES)} <= names
-    assert {int(re.match(r"op(\d+)_", q.__name__)[1]) for q in registry.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q.__name__)[1]) for q in registry.QUERIES} == set(range(1, 14))
