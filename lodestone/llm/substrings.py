@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, materialize, release, utf8
@@ -54,6 +54,9 @@ FIELDS = ("start", "size", "src_doc", "src_digest", "src_start")
 SPAN_TYPE = "array<struct<" + ", ".join(f"{f}: long" for f in FIELDS) + ">>"
 PAIR_TYPE = "array<struct<start: long, size: long>>"
 PAIRS = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+PART = 62  # blocks whose bits share a long
+CUTS = pa.list_(pa.struct([("low", pa.int64()), ("n", pa.int64()), ("words", pa.string()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64())]))
+CUT_TYPE = "array<struct<low: long, n: long, words: string, doc_id: long, digest: long, start: long>>"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 RANDOM = np.random.default_rng(20240611)
@@ -248,51 +251,70 @@ def merged(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, f"doc_id long, digest long, spans {SPAN_TYPE}")
 
 
+def wanted_blocks(spans: DataFrame, k: int) -> DataFrame:
+    """(doc_id, digest, parts): the blocks of each source that spans point at, as bits of (part, mask), ``PART`` blocks each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, size, src, digest, at = lists(batch, "spans", FIELDS)
+            cuts = (at + size + k - 2) // BLOCK - at // BLOCK + 1
+            each = np.repeat(np.arange(len(at)), cuts)
+            block = at[each] // BLOCK + offsets_within(cuts)
+            key = np.stack([src[each], digest[each], block // PART])
+            order = np.lexsort(key)
+            key = key[:, order]
+            first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else order
+            mask = np.bitwise_or.reduceat(np.int64(1) << (block[order] % PART), first) if len(order) else order
+            yield batch_of(dict(zip(("doc_id", "digest", "part", "mask"), (*key[:, first], mask), strict=True)))
+
+    bits = spans.select("spans").mapInArrow(run, "doc_id long, digest long, part long, mask long")
+    bits = bits.groupBy("doc_id", "digest", "part").agg(F.bit_or("mask").alias("mask"))
+    return bits.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("part", "mask")).alias("parts"))
+
+
 def coordinate_words(joined: DataFrame, k: int) -> DataFrame:
     """The words of source blocks and of spans, cut where blocks of their source end.
 
-    A source row has (src_doc, src_digest, block, words); a row of a span has the
-    same key, the first word and number of words within the block, its own words,
-    and (doc_id, digest, start).
+    A source row has (src_doc, src_digest, block, words). The cuts that a slice of
+    documents takes from one block are one row of the same key with an array of
+    ``cuts``: first word and number of words within the block, own words, and
+    (doc_id, digest, start).
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(utf8(batch.column("text")), 0)
         ids, digests = numbers(batch, "doc_id"), numbers(batch, "digest")
-        column = batch.column("blocks")
-        block = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        b_row = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+
+        def texts(row: np.ndarray, local: np.ndarray, n: np.ndarray) -> pa.Array:
+            begin = words.first_word[row] + local
+            end = np.minimum(begin + n, words.first_word[row + 1])
+            return pa.array([words.joined(x, y) for x, y in zip(begin.tolist(), end.tolist(), strict=True)], pa.string())
+
+        p_row, part, mask = lists(batch, "parts", ("part", "mask"))
+        which, bit = np.nonzero((mask[:, None] >> np.arange(PART)) & 1)
+        b_row, block = p_row[which], part[which] * PART + bit
+        source = [pa.array(ids[b_row]), pa.array(digests[b_row]), pa.array(block), texts(b_row, block * BLOCK, np.full(len(block), BLOCK)), pa.nulls(len(block), CUTS)]
+
         row, start, size, src, src_digest, at = lists(batch, "spans", FIELDS)
         stop = at + size + k - 1
-        cuts = (stop - 1) // BLOCK - at // BLOCK + 1
-        each = np.repeat(np.arange(len(row)), cuts)
-        t_block = at[each] // BLOCK + offsets_within(cuts)
+        count = (stop - 1) // BLOCK - at // BLOCK + 1
+        each = np.repeat(np.arange(len(row)), count)
+        t_block = at[each] // BLOCK + offsets_within(count)
+        order = np.lexsort((t_block, src_digest[each], src[each]))
+        each, t_block = each[order], t_block[order]
         low = np.maximum(at[each], t_block * BLOCK)
         n = np.minimum(stop[each], (t_block + 1) * BLOCK) - low
         local = start[each] + low - at[each]
-        begin = np.concatenate([words.first_word[b_row] + block * BLOCK, words.first_word[row[each]] + local])
-        own = np.concatenate([b_row, row[each]])
-        end = np.minimum(begin + np.concatenate([np.full(len(block), BLOCK), n]), words.first_word[own + 1])
-        none = np.zeros(len(block), bool)
-        target = np.concatenate([none, ~np.zeros(len(each), bool)])
+        own = row[each]
+        values = [pa.array(low - t_block * BLOCK), pa.array(n), texts(own, local, n), pa.array(ids[own]), pa.array(digests[own]), pa.array(local)]
+        key = np.stack([src[each], src_digest[each], t_block])
+        first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(each) else each
+        edges = pa.array(np.append(first, len(each)).astype(np.int32))
+        cuts = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(values, [f.name for f in CUTS.value_type]))
+        target = [*(pa.array(x) for x in key[:, first]), pa.nulls(len(first), pa.string()), cuts.cast(CUTS)]
+        return pa.record_batch([pa.concat_arrays(both) for both in zip(source, target, strict=True)], ["src_doc", "src_digest", "block", "words", "cuts"])
 
-        def both(left: np.ndarray, right: np.ndarray) -> pa.Array:
-            return pa.array(np.concatenate([left, right]))
-
-        def only(right: np.ndarray) -> pa.Array:
-            return pa.array(np.concatenate([np.zeros(len(block), np.int64), right]), mask=~target)
-
-        text = pa.array([words.joined(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.string())
-        return pa.record_batch(
-            [
-                both(ids[b_row], src[each]), both(digests[b_row], src_digest[each]), both(block, t_block), text,
-                only(low - t_block * BLOCK), only(n), only(ids[row[each]]), only(digests[row[each]]), only(local),
-            ],
-            ["src_doc", "src_digest", "block", "words", "low", "n", "doc_id", "digest", "start"],
-        )
-
-    schema = "src_doc long, src_digest long, block long, words string, low long, n long, doc_id long, digest long, start long"
-    return map_text(joined, step, schema, limit=SLICE)
+    return map_text(joined, step, f"src_doc long, src_digest long, block long, words string, cuts {CUT_TYPE}", limit=SLICE)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -342,20 +364,18 @@ def candidate_spans(plain: DataFrame, k: int, m: int) -> DataFrame:
 
 def differing(plain: DataFrame, spans: DataFrame, k: int) -> DataFrame:
     """(doc_id, digest, start, n): words of spans that are not those at the coordinates of their source."""
-    each = spans.select(F.explode("spans").alias("s")).select("s.*")
-    last = F.floor((F.col("src_start") + F.col("size") + (k - 2)) / BLOCK)
-    blocks = each.select(
-        F.col("src_doc").alias("doc_id"), F.col("src_digest").alias("digest"),
-        F.explode(F.sequence(F.floor(F.col("src_start") / BLOCK), last)).alias("block"),
-    )
-    sources = blocks.groupBy("doc_id", "digest").agg(F.collect_set("block").alias("blocks"))
-    wanted = sources.join(spans, ["doc_id", "digest"], "full")
+    wanted = wanted_blocks(spans, k).join(spans, ["doc_id", "digest"], "full")
     rows = materialize(coordinate_words(plain.join(wanted, ["doc_id", "digest"]), k), "words")
     key = ["src_doc", "src_digest", "block"]
-    sources = materialize(rows.where("doc_id is null").groupBy(*key).agg(F.first("words").alias("source")), "sources")
-    own = F.array_join(F.slice(F.split("source", " "), (F.col("low") + 1).cast("int"), F.col("n").cast("int")), " ")
-    out = rows.where("doc_id is not null").join(sources, key, "left").where(F.coalesce(own != F.col("words"), F.lit(True)))
-    out = materialize(out.select("doc_id", "digest", "start", "n"), "differing")
+    sources = materialize(rows.where("cuts is null").groupBy(*key).agg(F.first("words").alias("source")), "sources")
+
+    def differs(cut: Column) -> Column:
+        own = F.array_join(F.slice("parts", (cut.low + 1).cast("int"), cut.n.cast("int")), " ")
+        return F.coalesce(own != cut.words, F.lit(True))
+
+    met = rows.where("cuts is not null").select(*key, "cuts").join(sources, key, "left").withColumn("parts", F.split("source", " "))
+    out = met.select(F.explode(F.filter("cuts", differs)).alias("cut")).select("cut.doc_id", "cut.digest", "cut.start", "cut.n")
+    out = materialize(out, "differing")
     release(rows, sources)
     return out
 
