@@ -16,6 +16,10 @@ the least of them has the links of all pairs. Components follow from the stars.
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero. Rows with a null id get a fingerprint and the component of
 their fingerprint's group, but name no component (null if no id is there).
+Repeated rows each give a row, and equal texts one component. Very long texts
+are hashed whole, in slices of rows of bounded size, one row at least. An empty
+table gives an empty table. Extra columns are ignored by ``near_duplicates`` and
+pass through ``keep_first``.
 """
 
 from __future__ import annotations
