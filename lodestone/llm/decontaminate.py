@@ -14,11 +14,12 @@ cost time.
 Items are cut into pieces of bounded length that overlap by a window less one
 word, repeated pieces are dropped, and the pieces are dealt into shards of about
 ``shard_words`` words. Spark builds a shard's automaton in one task, as flat
-arrays, and writes it to a table; the driver passes them on one by one as
-broadcasts (about 60 bytes a word of a shard). The documents go through all
-automata in one Python worker, which builds nothing: it unpacks an automaton
-once, and keeps up to ``RESIDENT_WORDS`` words of them, reading the rest anew
-for each batch.
+arrays, and writes it to a table. The documents go through the automata in
+passes: a pass takes shards of ``RESIDENT_WORDS`` words together, which the
+driver passes on one by one as broadcasts (about 60 bytes a word), and a Python
+worker unpacks each of them once and keeps it. What a pass has marked is written
+with the documents and read by the next; its broadcasts are dropped then. So
+neither a worker nor the driver ever has more than the automata of one pass.
 
 Defined results: a null text has no words and no hits. Items without words, or
 with a null id, take no part. Repeated item ids count once. Repeated documents
@@ -41,6 +42,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD_ONLY, map_text, materialize, release, utf8
 
@@ -210,8 +212,8 @@ class SuffixAutomaton:
         hit: set[int] = set()
         for v in whole:
             hit.update(self.own_items[self.own_first[v] : self.own_first[v + 1]].tolist())
-        for row in parts:
-            hit.add(int(self.short_items[row]))
+        for v in parts:
+            hit.update(self.short_items[self.short_first[v] : self.short_first[v + 1]].tolist())
         return spans, hit
 
     def move(self, v: int, code: int) -> int:
@@ -223,7 +225,7 @@ class SuffixAutomaton:
         return self._targets[at] if at < high and self._codes[at] == code else -1
 
     def stream(self, codes: list[int], base: int, spans: list[int], whole: set[int], parts: set[int]) -> None:
-        """Follow the words; note the states of whole windows and the rows of short items that end at a word."""
+        """Follow the words; note the states of whole windows and of short items that end at a word."""
         v = matched = 0
         link, length, window, move = self._link, self._length, self.window, self.move
         for i, code in enumerate(codes):
@@ -244,11 +246,10 @@ class SuffixAutomaton:
                     whole.add(state)
             u = self._short_state[v]
             while u:
-                for row in range(self._short_first[u], self._short_first[u + 1]):
-                    if self._short_sizes[row] > matched:
-                        break
-                    reach = max(reach, self._short_sizes[row])
-                    parts.add(row)
+                size = self._short_sizes[self._short_first[u]]  # one size a state, as a short item is a state's longest sequence
+                if size <= matched:
+                    reach = max(reach, size)
+                    parts.add(u)
                 u = self._short_state[link[u]]
             if reach:
                 start, end = base + i + 1 - reach, base + i + 1
@@ -325,20 +326,53 @@ def mark(
     ``finish`` turns a marked batch into a batch of the documents' columns; it
     runs in the same Python worker.
     """
-    spark = docs.sparkSession
-    names = docs.columns
     shards = shards_of(benchmark, window, shard_words)
+    rows = docs.withColumns({N_WORDS: F.lit(0).cast("long"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<long>")})
+    passes = passes_of([(r["shard"], r["n"]) for r in shards.select("shard", "n").orderBy("shard").collect()])  # two numbers per shard
+    for k, numbers in enumerate(passes):
+        sent = broadcasts(shards, numbers)
+        if k < len(passes) - 1:
+            before, rows = rows, materialize(one_pass(rows, sent, None), "marked")
+            release(before)
+            for one, _ in sent:
+                one.destroy()
+        else:
+            rows = one_pass(rows, sent, finish, docs.schema if finish else None)
+    release(shards)
+    return rows
+
+
+def passes_of(shards: list[tuple[int, int]]) -> list[list[int]]:
+    """Shard numbers, grouped so that a group has ``RESIDENT_WORDS`` words at most (or one shard); one group at least."""
+    out: list[list[int]] = [[]]
+    room = RESIDENT_WORDS
+    for number, n in shards:
+        if n > room and out[-1]:
+            out.append([])
+            room = RESIDENT_WORDS
+        out[-1].append(number)
+        room -= n
+    return out
+
+
+def broadcasts(shards: DataFrame, numbers: list[int]) -> list[tuple[Broadcast, int]]:
+    """The automata of one pass; the driver holds one at a time and keeps the others in files."""
     sent = []
-    for r in shards.select("shard").orderBy("shard").collect():  # a number per shard
-        data = shards.where(F.col("shard") == r["shard"]).first()["automaton"]  # one at a time; the driver keeps it in a file
-        one = spark.sparkContext.broadcast(bytes(data))
+    for number in numbers:
+        data = shards.where(F.col("shard") == number).first()["automaton"]
+        one = shards.sparkSession.sparkContext.broadcast(bytes(data))
         sent.append((one, one._jbroadcast.id()))
-    release(shards)
+    return sent
+
+
+def one_pass(rows: DataFrame, sent: list[tuple[Broadcast, int]], finish: Finish | None, schema: T.StructType | None = None) -> DataFrame:
+    """The rows with what the automata of one pass mark added to their marks."""
+    names = [n for n in rows.columns if n not in (N_WORDS, SPANS, ITEMS)]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [words_of(t) for t in utf8(batch.column("text"))]
-        spans: list[list[int]] = [[] for _ in texts]
-        items: list[set[int]] = [set() for _ in texts]
+        spans: list[list[int]] = [s or [] for s in batch.column(SPANS).to_pylist()]
+        items: list[set[int]] = [set(i or ()) for i in batch.column(ITEMS).to_pylist()]
         for automaton in automata(sent):
             for k, words in enumerate(texts):
                 found, hit = automaton.scan(words)
@@ -355,8 +389,7 @@ def mark(
         )
         return finish(marked) if finish else marked
 
-    schema = docs.withColumns({N_WORDS: F.lit(0).cast("long"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<long>")}).schema
-    return map_text(docs, step, docs.schema if finish else schema)
+    return map_text(rows, step, schema or rows.schema)
 
 
 def merged(spans: list[int]) -> list[int]:

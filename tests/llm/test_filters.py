@@ -197,6 +197,28 @@ def test_shards_agree(spark):
     assert pick(decontaminate.mark(docs, bench, shard_words=60)) == pick(decontaminate.mark(docs, bench))
 
 
+def test_passes_agree(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 40)))) for k in range(40)]
+    texts = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 60))) + " " + items[i][1]) for i in range(12)] + [(20, None), (21, "")]
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    pick = lambda df: sorted(map(str, df.collect()))
+    marked, kept = pick(decontaminate.mark(docs, bench)), pick(decontaminate.decontaminate(docs, bench, max_coverage=0.9))
+    monkeypatch.setattr(decontaminate, "RESIDENT_WORDS", 200)
+    shards = [(r.shard, r.n) for r in decontaminate.shards_of(bench, shard_words=60).collect()]
+    assert len(decontaminate.passes_of(shards)) > 2 and sum(map(len, decontaminate.passes_of(shards))) == len(shards)
+    assert pick(decontaminate.mark(docs, bench, shard_words=60)) == marked
+    monkeypatch.setattr(decontaminate.mark, "__defaults__", (decontaminate.WINDOW, 60, None))
+    assert pick(decontaminate.decontaminate(docs, bench, max_coverage=0.9)) == kept
+    check_contamination(spark, texts, items)
+
+
+def test_passes_hold_a_shard_each_at_least(monkeypatch):
+    monkeypatch.setattr(decontaminate, "RESIDENT_WORDS", 10)
+    assert decontaminate.passes_of([]) == [[]]
+    assert decontaminate.passes_of([(0, 25), (1, 4), (2, 6), (3, 1)]) == [[0], [1, 2], [3]]
+
+
 def test_long_items_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
     rng = random.Random(5)
