@@ -20,6 +20,9 @@ step by step are runs of marks alone: their pieces all share one score, so
 leftmost order, not rank, decides between them and the pair test isn't sound. A
 run depends on its length only.
 
+Models that rewrite characters, drop spaces, put none before a text or have
+pieces defined by users are refused when they are loaded.
+
 Defined results: a null text counts as empty; an empty text has the begin and
 end ids alone; characters outside the vocabulary fall back to their bytes.
 Repeated rows and null ids give a row each. Very long words cost time in
@@ -48,6 +51,7 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MEMO_LIMIT = 300_000
 MEMO_CHARS = 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+UNIGRAM, BPE = 1, 2
 
 
 def read_varint(data: bytes, at: int) -> tuple[int, int]:
@@ -80,12 +84,25 @@ def fields(data: bytes):
 
 
 def load_model(data: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, type) of each id of a model file."""
+    """(piece, score, type) of each id of a model file; a model that this encoder would get wrong is refused."""
     found = []
+    trainer: dict = {}
+    normalizer: dict = {}
+    back: dict = {}
     for number, value in fields(data):
         if number == 1:
             own = {1: b"", 2: 0.0, 3: NORMAL} | dict(fields(value))
             found.append((own[1].decode(), own[2], own[3]))
+        elif number in (2, 3, 5):
+            {2: trainer, 3: normalizer, 5: back}[number].update(fields(value))
+    if trainer.get(3, UNIGRAM) != BPE:
+        raise ValueError("the model isn't a BPE model")
+    if normalizer.get(2) or back.get(2):
+        raise ValueError("the model rewrites characters before encoding or after decoding")
+    if not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model must put a space before the text, keep all spaces, and mark them before words")
+    if any(kind not in (NORMAL, UNKNOWN, CONTROL, BYTE) for _, _, kind in found):
+        raise ValueError("the model has pieces that users defined, or unused ones")
     return found
 
 

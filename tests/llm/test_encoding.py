@@ -315,3 +315,21 @@ def test_top_k_ties_and_hot_vector(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, shard_numbers=90).collect())
     assert got == brute_top_k(rows)
+
+
+@pytest.mark.parametrize(
+    ("more", "why"),
+    [
+        (b"\x1a\x02\x20\x01", "keep all spaces"),
+        (b"\x1a\x02\x18\x00", "put a space before"),
+        (b"\x1a\x03\x12\x01a", "rewrites characters"),
+        (b"\x2a\x03\x12\x01a", "rewrites characters"),
+        (b"\x12\x02\x18\x01", "isn't a BPE model"),
+        (b"\x0a\x05\x0a\x01a\x18\x04", "users defined"),
+    ],
+)
+def test_models_encoded_otherwise_are_refused(more, why):
+    data = open(MODEL, "rb").read()
+    assert pieces_bpe.load_model(data)
+    with pytest.raises(ValueError, match=why):
+        pieces_bpe.load_model(data + more)
