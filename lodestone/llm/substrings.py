@@ -348,9 +348,10 @@ def candidate_spans(plain: DataFrame, k: int, m: int) -> DataFrame:
     windows = materialize(window_rows(plain.join(branching, ["doc_id", "digest"]), k), "windows")
     firsts = windows.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"),
-        F.min_by("digest", "doc_id").alias("src_digest"), F.min_by("start", "doc_id").alias("src_start"),
+        F.min_by(F.struct("digest", "start"), "doc_id").alias("src"),  # of one row, where an id has several texts
     )
-    firsts = materialize(firsts.where("src_doc <> last_doc").drop("last_doc"), "windows")
+    firsts = firsts.where("src_doc <> last_doc").selectExpr("h1", "h2", "src_doc", "src.digest as src_digest", "src.start as src_start")
+    firsts = materialize(firsts, "windows")
     single = (
         windows.join(firsts, ["h1", "h2"])
         .where("doc_id > src_doc")
