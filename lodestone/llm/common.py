@@ -21,6 +21,10 @@ BATCH_KEYS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql
 MADE: list[DataFrame] = []
 """Tables of ``materialize`` that are still there."""
 
+DEALT_BELOW = 64
+"""Documents that come in fewer pieces than this, and fewer than there are cores, are dealt to all cores: at most
+64 pieces of ``spark.sql.files.maxPartitionBytes`` go through that shuffle, on a cluster of any size."""
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 """Folds A-Z and nothing else; UTF-8 bytes above 0x7F stay."""
 
@@ -32,10 +36,10 @@ WORD_ONLY = bytes(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as it is read; documents in fewer pieces than there are cores are dealt to all of these."""
+    """A table as it is read; documents in few pieces (``DEALT_BELOW``) are dealt to all cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < min(cores, DEALT_BELOW) else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
