@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, nearcopies, pieces_bpe, quality, registry, substrings
+from lodestone.llm import decontaminate, nearcopies, pieces_bpe, quality, registry, simhash, substrings
 from lodestone.llm.common import materialize, release, scratch, table
 
 
@@ -19,9 +19,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id.
+
+    Groups are those of op 4's SimHash fingerprints; of what these leave, edited copies are found by their shingles too.
+    """
     registry.ship(spark)
-    return nearcopies.keep_first(docs)
+    return nearcopies.keep_first(materialize(simhash.keep_first(docs), "simhash-kept"))
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
