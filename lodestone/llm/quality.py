@@ -194,10 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     held = rows.select("doc_id", F.sum("n").over(order).alias("so_far"), F.row_number().over(order).alias("place"))
     kept = held.where((F.col("so_far") <= SAMPLE_FEATURES) | (F.col("place") == 1)).select("doc_id")
-    got = rows.join(kept, "doc_id").collect()
+    got = rows.join(kept, "doc_id").select("doc_id", "quality", "found").toArrow()  # batches, not a row object each: the driver holds the sample once
     release(rows)
-    got.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    return fit([np.frombuffer(r["found"], np.int32) for r in got], np.array([r["quality"] for r in got], int))
+    ids, own = got["doc_id"].to_pylist(), got["quality"].to_numpy()
+    found = [np.frombuffer(v.as_buffer(), np.int32) for v in got["found"]]
+    order = sorted(range(len(ids)), key=lambda i: (crc32(str(ids[i]).encode()), ids[i]))
+    return fit([found[i] for i in order], own[order].astype(int))
 
 
 SCORE = "_lodestone_score"  # so named that it meets no column of the input

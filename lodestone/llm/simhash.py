@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -65,16 +65,20 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row."""
+    """(doc_id, text_key, fp) for every row: ids can repeat with different texts."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch(
-            [batch.column(0), pa.array([fingerprint(t, size) for t in utf8(batch.column(1))], pa.int64())], ["doc_id", "fp"]
-        )
+        found = pa.array([fingerprint(t, size) for t in utf8(batch.column(1))], pa.int64())
+        return pa.record_batch([batch.column(0), batch.column(2), found], ["doc_id", "text_key", "fp"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_text(plain, step, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
+    return map_text(plain, step, "doc_id long, text_key long, fp long")
 
 
 def segment_counts(values: np.ndarray) -> np.ndarray:
@@ -142,8 +146,8 @@ def links(prints: DataFrame) -> DataFrame:
     return near.join(shared(near, "value"), "value").where(exact).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fingerprint as 16 hex digits, component_id."""
+def members(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, text_key, fp, component_id."""
     own = materialize(fingerprints(docs, size), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct))
@@ -152,15 +156,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     )
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = grouped.join(splittable(least, "root"), "root").select("fp", "component_id")
+    return own.join(lookup, "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, fingerprint as 16 hex digits, component_id."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return own.join(lookup, "fp").select("doc_id", hexed, "component_id")
+    return members(docs, size).select("doc_id", hexed, "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One document of each group, the one with the least id, in the columns of the input.
 
-    Rows that repeat the least id all stay; rows with a null id stay too.
+    Rows that repeat the least id all stay; rows with a null id stay too. Of rows with one id and several texts only
+    those go whose text is a copy.
     """
-    found = near_duplicates(docs, size)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == gone.gone_id, "left_anti")
+    found = members(docs, size).where("component_id < doc_id")
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, (docs.doc_id.cast("long") == gone.gone_id) & (text_key(docs.text.cast("string")) == gone.gone_key), "left_anti")
