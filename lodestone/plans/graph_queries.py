@@ -216,20 +216,26 @@ CALLS = f"""WITH {SYMBOLS}, sites AS (SELECT file_id, ord AS s_ord, CAST(ord + k
   FROM symbols, (VALUES (0), (2)) v(k))"""
 
 
-def call_sites(spark, sf_dir):
+def stored_symbols(spark, sf_dir):
+    """The symbols as an index holds them: written once, for queries that read them more than once."""
+    return persisted(views.symbols(spark, sf_dir), "symbols")
+
+
+def call_sites(symbols):
     """Two call lines below every symbol."""
-    rows = views.symbols(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(2))))
+    rows = symbols.withColumn("k", F.explode(F.array(F.lit(0), F.lit(2))))
     return rows.select("file_id", (F.col("ord") * 10 + F.col("k")).alias("ord"), F.col("name").alias("callee"), (F.col("ord") + F.col("k")).alias("line"))
 
 
 @query(CALLS + " SELECT c.file_id, c.ord, c.callee, c.line, arg_min(s.symbol_id, (s.end_line - s.start_line, s.ord)) AS symbol_id FROM sites c JOIN symbols s ON s.file_id = c.file_id AND c.line BETWEEN s.start_line AND s.end_line GROUP BY ALL")
 def join_enclosing_symbol(spark, sf_dir):
-    return resolve.enclosing_symbols(call_sites(spark, sf_dir), views.symbols(spark, sf_dir))
+    symbols = stored_symbols(spark, sf_dir)
+    return resolve.enclosing_symbols(call_sites(symbols), symbols)
 
 
 @query(f"WITH {SYMBOLS} SELECT file_id, name, arg_min(symbol_id, ord) AS target_id FROM symbols GROUP BY file_id, name")
 def join_first_by_name(spark, sf_dir):
-    return resolve.first_by_name(views.symbols(spark, sf_dir))
+    return resolve.first_by_name(stored_symbols(spark, sf_dir))
 
 
 # every file imports its neighbour of the same folder list by a relative path; odd ones by name, even ones as a whole
@@ -248,31 +254,33 @@ imported AS (
   JOIN firsts f ON f.file_id = t.target_file AND f.name = t.name)"""
 
 
-def import_facts(spark, sf_dir):
+def import_facts(spark, sf_dir, symbols):
     files = views.files(spark, sf_dir)
     after = files.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("next_path"), F.col("file_id").alias("next_file"))
     place = F.row_number().over(Window.partitionBy("file_id").orderBy("ord", "name"))
-    heads = views.symbols(spark, sf_dir).select("file_id", "ord", "name", place.alias("place")).where("place <= 3")
+    dealt = symbols.select("file_id", "ord", "name").repartition(resolve.pieces_for(symbols), "file_id")
+    heads = dealt.withColumn("place", place).where("place <= 3")
     names = heads.groupBy(F.col("file_id").alias("next_file")).agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("n"))
     rows = files.select("doc_id", "file_id").join(after, "doc_id").join(names, "next_file", "left")
     listed = F.when(F.col("doc_id") % 2 == 1, F.coalesce(F.transform("n", lambda x: x["name"]), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     module = F.concat(F.lit("/"), F.regexp_replace("next_path", r"\.[^./]*$", ""))
-    return rows.select("file_id", F.lit(1).alias("ord"), module.alias("module"), listed.alias("names"))
+    return persisted(rows.select("file_id", F.lit(1).alias("ord"), module.alias("module"), listed.alias("names")), "imports")
 
 
-def imported_rows(spark, sf_dir):
-    targets = resolve.import_targets(import_facts(spark, sf_dir), views.files(spark, sf_dir))
-    return resolve.imported_symbols(targets, views.symbols(spark, sf_dir))
+def imported_rows(spark, sf_dir, symbols):
+    targets = resolve.import_targets(import_facts(spark, sf_dir, symbols), views.files(spark, sf_dir))
+    return resolve.imported_symbols(targets, symbols)
 
 
 @query(f"WITH {IMPORTS} SELECT file_id, ord, target_file FROM targets")
 def join_import_targets(spark, sf_dir):
-    return resolve.import_targets(import_facts(spark, sf_dir), views.files(spark, sf_dir)).drop("names")
+    imports = import_facts(spark, sf_dir, stored_symbols(spark, sf_dir))
+    return resolve.import_targets(imports, views.files(spark, sf_dir)).drop("names")
 
 
 @query(f"WITH {IMPORTS} SELECT * FROM imported")
 def join_imported_symbols(spark, sf_dir):
-    return imported_rows(spark, sf_dir)
+    return imported_rows(spark, sf_dir, stored_symbols(spark, sf_dir))
 
 
 @query(
@@ -280,8 +288,8 @@ def join_imported_symbols(spark, sf_dir):
 SELECT DISTINCT h.symbol_id AS source_id, i.target_id, 'imports' AS kind FROM heads h JOIN imported i USING (file_id) WHERE h.symbol_id <> i.target_id"""
 )
 def join_import_edges(spark, sf_dir):
-    symbols = views.symbols(spark, sf_dir).withColumn("container", F.lit(None).cast("string"))
-    return resolve.clean(resolve.import_edges(symbols, imported_rows(spark, sf_dir)))
+    symbols = stored_symbols(spark, sf_dir).withColumn("container", F.lit(None).cast("string"))
+    return resolve.apart(resolve.import_edges(symbols, persisted(imported_rows(spark, sf_dir, symbols), "imported")))
 
 
 @query(
@@ -295,13 +303,13 @@ SELECT use_id, arg_min(target_id, (rank, a, b, target_id)) AS target_id FROM eve
 )
 def join_resolve_names(spark, sf_dir):
     """Names resolved in the file, then through imports, then through any imported file."""
-    symbols = views.symbols(spark, sf_dir)
+    symbols = stored_symbols(spark, sf_dir)
     number = F.substr(F.col("file_id"), F.lit(2)).cast("long")
     other = symbols.select(F.concat(F.lit("f"), (number - 3).cast("string")).alias("file_id"), "ord", F.col("name").alias("other"))
     uses = symbols.join(other, ["file_id", "ord"], "left").select(
         "file_id", F.col("symbol_id").alias("use_id"), F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(F.col("other")).alias("name")
     )
-    return resolve.resolve_names(uses, symbols, imported_rows(spark, sf_dir))
+    return resolve.resolve_names(persisted(uses, "uses"), symbols, persisted(imported_rows(spark, sf_dir, symbols), "imported"))
 
 
 @query(
@@ -312,9 +320,9 @@ SELECT DISTINCT * FROM (SELECT * FROM called UNION ALL SELECT h.symbol_id, i.tar
 )
 def resolve_edges(spark, sf_dir):
     """All edges of the files from their facts."""
-    symbols = views.symbols(spark, sf_dir).withColumn("container", F.lit(None).cast("string"))
+    symbols = stored_symbols(spark, sf_dir).withColumn("container", F.lit(None).cast("string"))
     none = spark.createDataFrame([], "file_id string, ord int, child string, parent string, kind string")
-    return resolve.resolve(views.files(spark, sf_dir), symbols, import_facts(spark, sf_dir), call_sites(spark, sf_dir), none)
+    return resolve.resolve(views.files(spark, sf_dir), symbols, import_facts(spark, sf_dir, symbols), call_sites(symbols), none)
 
 
 SNAPSHOTS = f"""WITH {FILES}, prev AS (SELECT file_id, path, hash FROM files WHERE doc_id % 19 <> 0),
