@@ -294,7 +294,7 @@ class Engine:
         nodes, (edges, adjacent) = self._nodes(repository_id), self._load(repository_id, "edges", "adjacency")
         self._symbol(nodes, symbol_id)
         with scratch():
-            return settled(graph.impact_report(edges, nodes, symbol_id, stored=adjacent), "impact").orderBy("depth", "name", "symbol_id")
+            return settled(graph.impact_report(edges, nodes, symbol_id, graph.MAX_NODES, stored=adjacent), "impact").orderBy("depth", "name", "symbol_id")
 
     def explain(self, repository_id: str, symbol_id: str) -> DataFrame:
         """What a symbol is and does, with the place of its unit as a citation."""
