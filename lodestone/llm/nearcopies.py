@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, map_text, materialize, release, small_batches, splittable, utf8
+from .common import LOWER, by_key, map_text, materialize, release, small_batches, splittable, utf8
 from .components import components
 from .simhash import SEED, shingle_hashes
 
@@ -310,9 +310,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     sets = materialize(sets_of(docs, ids), "sets")
     roots = links(crowded, nodes, sets)
     release(crowded, nodes, sets)
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    grouped = distinct.join(by_key(roots), distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    lookup = splittable(grouped.join(splittable(least, "root"), "root").select("fp", "least_id"), "fp")
-    gone = signed.join(lookup, "fp").where("least_id < doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    lookup = splittable(grouped.join(by_key(splittable(least, "root")), "root").select("fp", "least_id"), "fp")
+    gone = signed.join(by_key(lookup), "fp").where("least_id < doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     key = F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit("")))
-    return docs.join(gone, (docs.doc_id.cast("long") == gone.gone_id) & (key == gone.gone_key), "left_anti")
+    return docs.join(by_key(gone), (docs.doc_id.cast("long") == gone.gone_id) & (key == gone.gone_key), "left_anti")

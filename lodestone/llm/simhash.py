@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, map_text, materialize, splittable, utf8
+from .common import LOWER, by_key, map_text, materialize, splittable, utf8
 from .components import components
 
 SHINGLE = 3
@@ -151,12 +151,12 @@ def members(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     own = materialize(fingerprints(docs, size), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select(
+    grouped = distinct.join(by_key(roots), distinct.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lookup = grouped.join(splittable(least, "root"), "root").select("fp", "component_id")
-    return own.join(lookup, "fp").select("doc_id", "text_key", "fp", "component_id")
+    lookup = grouped.join(by_key(splittable(least, "root")), "root").select("fp", "component_id")
+    return own.join(by_key(lookup), "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -173,4 +173,4 @@ def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     found = members(docs, size).where("component_id < doc_id")
     gone = found.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    return docs.join(gone, (docs.doc_id.cast("long") == gone.gone_id) & (text_key(docs.text.cast("string")) == gone.gone_key), "left_anti")
+    return docs.join(by_key(gone), (docs.doc_id.cast("long") == gone.gone_id) & (text_key(docs.text.cast("string")) == gone.gone_key), "left_anti")

@@ -43,7 +43,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize, release, utf8
+from .common import by_key, map_text, materialize, release, utf8
 
 K = 13
 M = 7
@@ -458,7 +458,7 @@ def with_spans(docs: DataFrame, k: int, m: int) -> DataFrame:
         F.col("doc_id").alias("_lodestone_doc"), F.col("digest").alias("_lodestone_digest"), F.col("spans").alias(SPANS)
     )
     same = (docs.doc_id.cast("long") == spans["_lodestone_doc"]) & (F.xxhash64(docs.text.cast("string")) == spans["_lodestone_digest"])
-    return docs.join(spans, same, "left").drop("_lodestone_doc", "_lodestone_digest")
+    return docs.join(by_key(spans), same, "left").drop("_lodestone_doc", "_lodestone_digest")
 
 
 def kept_words(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
