@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ K = 20
 STEP = 3922
 """255 steps reach beyond 1,000,000, the most that a term's part can be."""
 BLOCK_BYTES = 8 << 20
+FILE_BLOCKS = 4
+"""Blocks of a file: Spark writes and reads all rows of a file's part at once, some 10 MB each."""
 SHARD_POSTINGS = 1 << 22
 ITEM_TERMS = 1 << 15
 BLOCK = "ids binary, lengths binary, terms array<binary>, ends binary, docs binary, counts binary, found array<int>, n_docs long, n_terms long, n_postings long"
@@ -161,11 +164,12 @@ def item_blocks(weights: DataFrame, block_terms: int = ITEM_TERMS) -> DataFrame:
 
 
 class Block:
-    """The postings of a block of documents with their first level."""
+    """The postings of a block of documents with their first level; ``row`` has buffers, and the terms as they came."""
 
     def __init__(self, row: dict, n: int, total: int):
         self.ids = np.frombuffer(row["ids"], np.int64)
-        self.number = {t: i for i, t in enumerate(row["terms"])}
+        self.terms: pa.BinaryArray = row["terms"]
+        self.number: dict[bytes, int] = {}
         self.ends = np.frombuffer(row["ends"], np.int64)
         self.docs = np.frombuffer(row["docs"], np.int32)
         self.counts = np.frombuffer(row["counts"], np.int32)
@@ -173,6 +177,12 @@ class Block:
         self.norm = 12 * (75 + (25 * lengths * n) // total)
         self.bytes = (-(-self.part(self.counts, self.docs) // STEP)).astype(np.uint8)
 
+    def meet(self, asked: pa.BinaryArray) -> None:
+        """Number the terms that are asked next: a block has far more of its own."""
+        at = pa.compute.index_in(asked, value_set=self.terms)
+        there = at.is_valid()
+        self.number = dict(zip(asked.filter(there).to_pylist(), at.filter(there).to_pylist()))
+
     def part(self, counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
         tf = counts.astype(np.int64)
         return (1_000_000_000 * tf) // (1000 * tf + self.norm[docs])
@@ -213,7 +223,7 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def search(docs: DataFrame, items: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of every item, from an index built for the call."""
-    index = materialize(build_index(docs, block_bytes), "blocks")
+    index = materialize(build_index(docs, block_bytes), "blocks", maxRecordsPerFile=str(FILE_BLOCKS))
     out = materialize(search_index(index, items, k, shard_postings), "ranked")
     release(index)
     return out
@@ -228,7 +238,10 @@ def search_index(index: DataFrame, items: DataFrame, k: int = K, shard_postings:
     shards = max(1, -(-(whole["postings"] or 0) // shard_postings), min(24, n // 2048))
     blocks = item_blocks(weighted(index, item_terms(items), n))
     asks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    place = F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int")
+    # blocks are numbered as they are read, so that shards have as many, give or take one a task
+    each = -(-whole["blocks"] // max(1, index.rdd.getNumPartitions()))
+    number = F.spark_partition_id() * each + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    place = F.pmod(number, F.lit(shards)).cast("int")
     held = index.select("ids", "lengths", "terms", "ends", "docs", "counts").withColumn("shard", place)
     both = held.unionByName(asks, allowMissingColumns=True).withColumn("is_item", F.col("ids").isNull())
     dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "is_item")
@@ -241,11 +254,15 @@ def search_index(index: DataFrame, items: DataFrame, k: int = K, shard_postings:
                 if row["shard"] != shard:
                     shard, blocks = row["shard"], []
                 if not row["is_item"]:
-                    blocks.append(Block({c: batch.column(c)[i].as_py() for c in ("ids", "lengths", "terms", "ends", "docs", "counts")}, n, total))
+                    buffers = {c: batch.column(c)[i].as_buffer() for c in ("ids", "lengths", "ends", "docs", "counts")}
+                    blocks.append(Block(buffers | {"terms": batch.column("terms")[i].values}, n, total))
                     continue
                 if not blocks:
                     continue
                 own = {c: batch.column(c)[i].as_py() for c in ("items", "sizes", "terms", "weights")}
+                asked = batch.column("terms")[i].values.unique()
+                for block in blocks:
+                    block.meet(asked)
                 out_items, out_ids, out_scores, at = [], [], [], 0
                 for item, size in zip(own["items"], own["sizes"]):
                     terms, weights = own["terms"][at : at + size], own["weights"][at : at + size]
